@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import hotdedup
+from . import hotdedup, lookalike, mojibake, namelink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,47 @@ with u as (select 'bib_reference' as table_name, ref_row_id as id, source_file,
 w as (select table_name, min(id) over (partition by table_name, source_file, k) as keep_id, id as dup_id from u where k is not null and source_file is not null)
 select * from w where dup_id > keep_id"""
 ORACLES["p5_collapsed"] = f"select {_doi_sql('doi')} as canonical_key, min(ref_row_id) as keep_id, count(*) as n_copies from bib_reference where {_doi_sql('doi')} is not null group by 1"
+
+
+TEXTS = ["article_title", "unstructured"]
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled values."""
+    return mojibake.garbled(table(spark, sf_dir, "bib_reference"), "ref_row_id", TEXTS).select("ref_row_id", "field_name")
+
+
+@query
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled values with the text restored where it can be, and whether characters are lost for good."""
+    return mojibake.garbled(table(spark, sf_dir, "bib_reference"), "ref_row_id", TEXTS)
+
+
+def _is_garbled(field: str, value: str) -> bool:
+    return field in TEXTS and mojibake.repair(value)[1]
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that hold look-alike forms, without the garbled ones."""
+    return lookalike.variants(table(spark, sf_dir, "bib_reference"), "ref_row_id", ["article_title", "first_author_lastname", "unstructured"], _is_garbled).select("ref_row_id", "field_name")
+
+
+@query
+def p2_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same values in their one form, with flags of what was changed."""
+    return lookalike.variants(table(spark, sf_dir, "bib_reference"), "ref_row_id", ["article_title", "first_author_lastname", "unstructured"])
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    return namelink.pairs(namelink.entities(table(spark, sf_dir, "bib_reference"), "first_author_lastname"))
+
+
+@query
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its entity and the entity's number of links."""
+    e = namelink.entities(table(spark, sf_dir, "bib_reference"), "first_author_lastname")
+    return e.select("name", "entity", (F.count(F.lit(1)).over(Window.partitionBy("entity")) - 1).alias("n_links"))
