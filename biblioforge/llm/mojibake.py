@@ -141,6 +141,7 @@ def cost(left: str, text: str, right: str) -> float:
     return total
 
 
+_RANK_PAIRS = {f"{a}>{b}" for a, b in PAIRS}
 _PAIR_OPS = [f"{a}>{b}" for a, b in PAIRS]
 
 
@@ -242,7 +243,8 @@ def repair(value: str | None) -> tuple[str | None, bool, bool]:
     pieces, last, changed, costs = [], 0, False, []
     ctx = [(value[max(0, a - 2) : a], value[a:b], value[b : b + 2]) for a, b in runs]
     found = [solve(*c) for c in ctx]
-    if len(ctx) > 1 and sum(f[0] for f in found) > 1.2:  # one-byte pairs, over all runs together
+    # one-byte pairs, over all runs together, where the runs give any reason for it
+    if len(ctx) > 1 and (any(f[3] and f[3][-1] in _RANK_PAIRS for f in found) or sum(f[0] for f in found) > 1.0 + 0.5 * sum(len(c[1]) for c in ctx) or any(len(c[1]) >= 4 and max(c[1]) < "\u0100" for c in ctx)):
         first, now = sum(f[0] for f in found), sum(f[1] for f in found)
         best = now - JOINT_MARGIN if all(not f[3] for f in found) else now + 0.4 * len(found) if any(len(f[3]) == 1 and f[3][0] in _PAIR_OPS for f in found) else -1.0
         for op in _PAIR_OPS:

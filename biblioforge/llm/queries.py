@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import hotdedup, lookalike, mojibake, namelink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,19 +54,24 @@ select * from w where dup_id > keep_id"""
 ORACLES["p5_collapsed"] = f"select {_doi_sql('doi')} as canonical_key, min(ref_row_id) as keep_id, count(*) as n_copies from bib_reference where {_doi_sql('doi')} is not null group by 1"
 
 
+def _bib(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Columns of bib_reference over all cores."""
+    return spread(table(spark, sf_dir, "bib_reference").select(*cols))
+
+
 TEXTS = ["article_title", "unstructured"]
 
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled values."""
-    return mojibake.garbled(table(spark, sf_dir, "bib_reference"), "ref_row_id", TEXTS).select("ref_row_id", "field_name")
+    return mojibake.garbled(_bib(spark, sf_dir, "ref_row_id", *TEXTS), "ref_row_id", TEXTS).select("ref_row_id", "field_name")
 
 
 @query
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled values with the text restored where it can be, and whether characters are lost for good."""
-    return mojibake.garbled(table(spark, sf_dir, "bib_reference"), "ref_row_id", TEXTS)
+    return mojibake.garbled(_bib(spark, sf_dir, "ref_row_id", *TEXTS), "ref_row_id", TEXTS)
 
 
 def _is_garbled(field: str, value: str) -> bool:
@@ -76,13 +81,13 @@ def _is_garbled(field: str, value: str) -> bool:
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that hold look-alike forms, without the garbled ones."""
-    return lookalike.variants(table(spark, sf_dir, "bib_reference"), "ref_row_id", ["article_title", "first_author_lastname", "unstructured"], _is_garbled).select("ref_row_id", "field_name")
+    return lookalike.variants(_bib(spark, sf_dir, "ref_row_id", "first_author_lastname", *TEXTS), "ref_row_id", ["article_title", "first_author_lastname", "unstructured"], _is_garbled).select("ref_row_id", "field_name")
 
 
 @query
 def p2_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same values in their one form, with flags of what was changed."""
-    return lookalike.variants(table(spark, sf_dir, "bib_reference"), "ref_row_id", ["article_title", "first_author_lastname", "unstructured"])
+    return lookalike.variants(_bib(spark, sf_dir, "ref_row_id", "first_author_lastname", *TEXTS), "ref_row_id", ["article_title", "first_author_lastname", "unstructured"])
 
 
 @query

@@ -34,6 +34,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """``fan_out`` only where the scan gives fewer partitions than cores, as for one small file."""
+    n = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def fan_out(df: DataFrame, *cols: str, per_core: int = 2) -> DataFrame:
     """Spread the rows of a few large files over the cores before costly Python work."""
     n = df.sparkSession.sparkContext.defaultParallelism * per_core
