@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import hotdedup, lookalike, mojibake, namelink
+from . import entitymatch, hotdedup, lookalike, mojibake, namelink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,21 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each spelling with its entity and the entity's number of links."""
     e = namelink.entities(table(spark, sf_dir, "bib_reference"), "first_author_lastname")
     return e.select("name", "entity", (F.count(F.lit(1)).over(Window.partitionBy("entity")) - 1).alias("n_links"))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bib = _bib(spark, sf_dir, "ref_row_id", "doi", "article_title", "first_author_lastname", "year", "first_page")
+    return entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(table(spark, sf_dir, "kg_resource")))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References without DOI and the resources that are the same publication."""
+    m = _matched(spark, sf_dir).where(F.col("confidence") >= entitymatch.MIN_CONFIDENCE)
+    return m.select(F.col("q").cast("bigint").alias("ref_row_id"), "br")
+
+
+@query
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with score share, gap to the runner-up and confidence."""
+    return _matched(spark, sf_dir).select(F.col("q").cast("bigint").alias("ref_row_id"), "br", F.round("share", 4).alias("share"), F.round("gap", 4).alias("gap"), F.round("confidence", 4).alias("confidence"))
