@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import spread, table
-from . import entitymatch, hotdedup, lookalike, mojibake, namelink
+from . import entitymatch, hotdedup, lookalike, mojibake, namelink, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with score share, gap to the runner-up and confidence."""
     return _matched(spark, sf_dir).select(F.col("q").cast("bigint").alias("ref_row_id"), "br", F.round("share", 4).alias("share"), F.round("gap", 4).alias("gap"), F.round("confidence", 4).alias("confidence"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal items in the texts."""
+    return pii.found(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "pii_type", "start_pos")
+
+
+@query
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return pii.redacted(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
