@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spread, table
-from . import entitymatch, hotdedup, lookalike, mojibake, namelink, pii
+from ..session import cut, spread, table
+from . import entitymatch, hotdedup, lookalike, mixing, mojibake, namelink, packing, pii, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,35 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts with typed placeholders."""
     return pii.redacted(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _sized(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    return cut(tokens.sized(spread(table(spark, sf_dir, "documents").select("doc_id", "text", *others)), "doc_id", "text", *others))
+
+
+@query
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's pieces with their containers, for each container size."""
+    return packing.packed(_sized(spark, sf_dir), table(spark, sf_dir, "container_size"))
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and share of unused space by container size."""
+    sizes = table(spark, sf_dir, "container_size")
+    p = packing.packed(_sized(spark, sf_dir), sizes)
+    per = p.groupBy("size_name").agg(F.countDistinct("container").alias("n_containers"), F.sum(F.col("n_tokens").cast("bigint")).alias("n_tokens"))
+    return per.join(sizes, "size_name").select("size_name", "n_containers", "n_tokens", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("unused_share"))
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: slots in order with their texts."""
+    return mixing.mixed(_sized(spark, sf_dir, "source"), table(spark, sf_dir, "mix_target"))
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares really reached."""
+    t = table(spark, sf_dir, "mix_target")
+    return mixing.shares(mixing.mixed(_sized(spark, sf_dir, "source"), t), t)
