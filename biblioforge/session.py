@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,20 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table written to the shared folder: columnar and compressed, so smaller than a checkpoint.
+
+    It survives the loss of executors and goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """``fan_out`` only where the scan gives fewer partitions than cores, as for one small file."""
     n = df.sparkSession.sparkContext.defaultParallelism * per_core
