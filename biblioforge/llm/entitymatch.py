@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import store
 from . import lookalike, mojibake, namelink
 
 KEEP = 0.55  # share of a query's reachable score from which a pair counts
@@ -70,24 +70,20 @@ def page_of(s: str | None) -> str | None:
     return m[0].lstrip("0") or None if m else None
 
 
-def terms(title: str, authors: list[str], year: int | None, page: str | None) -> list[str]:
-    out = []
-    for w in title.split():
-        if len(w) > 1:
-            out.append(f"t:{w}")
-        if len(w) >= 8:
-            out += [f"e:{w[:5]}", f"f:{w[-5:]}"]
-    out += [f"a:{a}" for a in authors]
-    if year:
-        out.append(f"y:{year}")
-    if page:
-        out.append(f"p:{page}")
-        out += [f"u:{year} {page}"] * bool(year) + [f"v:{a} {page}" for a in authors]
-    return list(dict.fromkeys(out))
+def with_terms(df: DataFrame) -> DataFrame:
+    """Adds the terms of a record's attributes: a letter for the field, a colon, the value."""
+    tag = lambda c, f: F.transform(c, lambda x: F.concat(F.lit(f + ":"), x))
+    words = F.filter(F.split("title", " "), lambda w: F.length(w) > 1)
+    long = F.filter(words, lambda w: F.length(w) >= 8)
+    year, page = F.col("year").cast("string"), F.col("page")
+    one = lambda c, f: F.when(c.isNotNull(), F.array(F.concat(F.lit(f + ":"), c))).otherwise(F.array().cast("array<string>"))
+    both = F.when(page.isNotNull(), F.transform("authors", lambda x: F.concat(F.lit("v:"), x, F.lit(" "), page))).otherwise(F.array().cast("array<string>"))
+    parts = (tag(words, "t"), F.transform(long, lambda w: F.concat(F.lit("e:"), F.substring(w, 1, 5))), F.transform(long, lambda w: F.concat(F.lit("f:"), F.right(w, F.lit(5)))), tag(F.col("authors"), "a"), one(year, "y"), one(page, "p"), one(F.concat(year, F.lit(" "), page), "u"), both)
+    return df.withColumn("terms", F.array_distinct(F.concat(*parts)))
 
 
-_FIELDS = [("id", pa.string()), ("title", pa.string()), ("part", pa.int32()), ("year", pa.int32()), ("page", pa.string()), ("authors", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))]
-_SCHEMA = "id string, title string, part int, year int, page string, authors array<string>, terms array<string>"
+_FIELDS = [("id", pa.string()), ("title", pa.string()), ("part", pa.int32()), ("year", pa.int32()), ("page", pa.string()), ("authors", pa.list_(pa.string()))]
+_SCHEMA = "id string, title string, part int, year int, page string, authors array<string>"
 
 
 def _read(df: DataFrame, id_col: Column, title: Column, authors: Column, year: Column, page: Column) -> DataFrame:
@@ -115,7 +111,7 @@ def _read(df: DataFrame, id_col: Column, title: Column, authors: Column, year: C
                         keys.append(known[a])
                 keys = list(dict.fromkeys(keys))
                 y_, p_ = year_of(y), page_of(p)
-                rows.append((i, title_, part, y_, p_, keys, terms(title_, keys, y_, p_)))
+                rows.append((i, title_, part, y_, p_, keys))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f[1]) for k, f in enumerate(_FIELDS)], names=[f[0] for f in _FIELDS])
 
     return df.select(id_col.cast("string").alias("id"), title.alias("title"), authors.alias("authors"), year.alias("year"), page.alias("page")).where("id is not null").mapInArrow(run, _SCHEMA)
@@ -168,15 +164,19 @@ def matched(refs: DataFrame, resources: DataFrame, keep: float = KEEP, top_k: in
     repeated resources count once; ties in score keep every tied resource within the best ``top_k`` for the
     exact check; empty tables give an empty result.
     """
-    q0, d0 = cut(refs), cut(resources)
-    field = F.substring("term", 1, 1)
-    weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
-    post = d0.select(F.col("id").alias("d"), F.explode("terms").alias("term")).select("d", F.xxhash64("term").alias("h"), F.element_at(weight, field).alias("fw"))
+    q0, d0 = (store(x.withColumn("n", F.monotonically_increasing_id())) for x in (refs, resources))
+    weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v).cast("float"))])
+
+    def terms_of(df: DataFrame, name: str) -> DataFrame:
+        return with_terms(df).select(F.col("n").alias(name), F.explode("terms").alias("term")).select(name, F.xxhash64("term").alias("h"), F.substring("term", 1, 1).alias("f"))
+
+    post = terms_of(d0, "d")
     n_docs = d0.count()
-    df = post.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.first("fw").alias("fw")).select("h", "df", (F.col("fw") * F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
-    df = cut(df)
-    q_terms = q0.select(F.col("id").alias("q"), F.explode("terms").alias("term")).select("q", F.xxhash64("term").alias("h"))
-    own = q_terms.join(df, "h").groupBy("q").agg(F.sum("w").alias("reach"), F.array_sort(F.collect_list(F.struct(F.col("df").cast("double").alias("df"), "w", "h"))).alias("ts"))
+    df = store(post.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"), F.first("f").alias("f")))
+    idf = lambda n, f: F.element_at(weight, f) * F.log1p((F.lit(float(n_docs)) - n + 0.5) / (n + 0.5))
+    terms = F.array_sort(F.collect_list(F.struct("df", "h", "f")))
+    own = terms_of(q0, "q").select("q", "h").join(df, "h").groupBy("q").agg(terms.alias("ts")).withColumn("ts", F.transform("ts", lambda t: F.struct(t["h"].alias("h"), idf(t["df"], t["f"]).alias("w"))))
+    own = own.withColumn("reach", F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + t["w"]))
     # rarest first; the tail whose weights sum to less than the bound is left out of the postings join
     tail = F.aggregate(
         F.reverse("ts"),
@@ -184,30 +184,29 @@ def matched(refs: DataFrame, resources: DataFrame, keep: float = KEEP, top_k: in
         lambda acc, t: F.when(acc["open"] & (acc["sum"] + t["w"] < F.col("reach") * keep), F.struct((acc["sum"] + t["w"]).alias("sum"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), F.lit(False).alias("open"))),
     )
     own = own.withColumn("tail", tail).select("q", "reach", F.col("tail.sum").alias("rest"), F.slice("ts", F.lit(1), F.size("ts") - F.col("tail.n")).alias("head"), F.slice("ts", F.size("ts") - F.col("tail.n") + 1, F.col("tail.n")).alias("tail_terms"))
-    ess = own.select("q", "reach", "rest", F.explode("head").alias("t")).select("q", "reach", "rest", F.col("t.h").alias("h"), F.col("t.w").alias("w"))
-    met = ess.join(post.select("d", "h"), "h").groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("reach").alias("reach"), F.first("rest").alias("rest")).where(F.col("s") + F.col("rest") >= keep * F.col("reach"))
+    own = store(own)
+    ess = own.select("q", (keep * F.col("reach") - F.col("rest")).cast("float").alias("need"), F.explode("head").alias("t")).select("q", "need", F.col("t.h").alias("h"), F.col("t.w").cast("float").alias("w"))
+    met = ess.join(post.select("d", "h"), "h").groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("need").alias("need")).where(F.col("s") >= F.col("need") - 1e-4).select("q", "d", "s")
     # full scores of what is left
-    qa = q0.select(F.col("id").alias("q"), F.struct("title", "part", "year", "page", "authors").alias("qa"))
-    da = d0.select(F.col("id").alias("d"), F.struct("title", "part", "year", "page", "authors").alias("da"), F.transform("terms", lambda x: F.xxhash64(x)).alias("dh"))
-    tails = own.select("q", "tail_terms")
-    return _decide(met.join(tails, "q"), qa, da, top_k, keep)
+    qa = q0.select(F.col("n").alias("q"), F.col("id").alias("ref_id"), F.struct("title", "part", "year", "page", "authors").alias("qa"))
+    da = with_terms(d0).select(F.col("n").alias("d"), F.col("id").alias("br"), F.struct("title", "part", "year", "page", "authors").alias("da"), F.transform("terms", lambda x: F.xxhash64(x)).alias("dh"))
+    cand = met.join(da, "d").join(own.select("q", "reach", "tail_terms"), "q")
+    # what the terms left out of the postings join add
+    more = F.aggregate("tail_terms", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("dh", t["h"]), t["w"]).otherwise(0.0))
+    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") >= keep).select("q", "br", "share", "da").join(qa, "q")
+    return _decide(full, top_k)
 
 
-def _decide(met: DataFrame, qa: DataFrame, da: DataFrame, top_k: int, keep: float) -> DataFrame:
-    cand = met.join(da, "d").join(qa, "q")
+def _decide(full: DataFrame, top_k: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.to_pydict()
             rows = [compare(q, d) for q, d in zip(x["qa"], x["da"])]
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("d"), b.column("share"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())], names=["q", "d", "share", "sim", "agree", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("br"), b.column("share"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())], names=["q", "d", "share", "sim", "agree", "ok"])
 
-    # the full score: what the terms left out of the postings join add
-    more = F.aggregate("tail_terms", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("dh", t["h"]), t["w"]).otherwise(0.0))
-    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") >= keep)
-    byq = Window.partitionBy("q").orderBy(F.desc("share"), "d")
-    ranked = full.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("share")))).withColumn("next", F.lead("share", 1).over(byq)).where(F.col("rank") <= top_k)
-    scored = ranked.select("q", "d", "share", "qa", "da").mapInArrow(check, "q string, d string, share double, sim double, agree int, ok boolean")
+    ranked = full.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("share")))).where(F.col("rank") <= top_k)
+    scored = ranked.select("ref_id", "br", "share", "qa", "da").mapInArrow(check, "q string, d string, share double, sim double, agree int, ok boolean")
     w = Window.partitionBy("q")
     best = scored.withColumn("top", F.max(F.when(F.col("ok"), F.col("share") + F.col("agree"))).over(w)).withColumn("second", F.coalesce(F.max(F.when(~F.col("ok"), F.col("share"))).over(w), F.lit(0.0)))
     mine = best.where(F.col("ok") & (F.col("share") + F.col("agree") >= F.col("top")))

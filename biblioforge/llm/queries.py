@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, spread, table
+from ..session import spread, store, table
 from . import entitymatch, hotdedup, lookalike, mixing, mojibake, namelink, packing, pii, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,7 +134,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
-    return cut(tokens.sized(spread(table(spark, sf_dir, "documents").select("doc_id", "text", *others)), "doc_id", "text", *others))
+    return store(tokens.sized(spread(table(spark, sf_dir, "documents").select("doc_id", "text", *others)), "doc_id", "text", *others))
 
 
 @query
