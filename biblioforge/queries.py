@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import nested
+from .plans import matching
 from .session import fan_out, table
 
 
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_documents": p4_documents,
     "p4_references": p4_references,
     "p4_authors": p4_authors,
+    **matching.QUERIES,
 }
 
 _P4_DOCS = """
@@ -59,3 +61,4 @@ union all select raw_id, ref_index::int, 0 from k where (raw_id, ref_index) not
     + """ select m.raw_id, m ->> 'DOI' as doc_doi, case json_type(m -> 'title') when 'ARRAY' then m -> 'title' ->> 0 else m ->> 'title' end as doc_title,
 coalesce(c, 0)::int as n_references from m left join (select raw_id, count(*) as c from r where json_type(ref) <> 'NULL' group by 1) n on n.raw_id = m.raw_id""",
 }
+ORACLES |= matching.ORACLES
