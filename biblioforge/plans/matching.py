@@ -33,11 +33,13 @@ def query(sql: str | None = None):
 
 
 def _kg(spark, d):
+    # inferring constraints through projections of that many computed columns takes the optimizer a minute
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return X.kg(spark, d)
 
 
 def _refs(spark, d):
-    return X.refs(X.kg(spark, d))
+    return X.refs(_kg(spark, d))
 
 
 def _prep(spark, d):
@@ -333,7 +335,7 @@ def set_difference(spark, d):
     return neg.select("base", "doi").subtract(pred.select("base", "doi"))
 
 
-@query(f"{_EV}, l as (select doi, max_by(base, k) as gold_base, max(k) as gold_k from pos group by 1) select p.doi, p.base, gold_k from pred p join l using (doi)")
+@query(f"{_EV}, l as (select doi, max(k) as gold_k from gold where k % 7 <> 0 group by 1) select p.doi, p.base, gold_k from pred p join l using (doi)")
 def filtered_matches(spark, d):
     pos, _, pred = _sets(spark, d)
     gold = pos.select("doi", "base", F.col("k").alias("gold_k"), F.col("k").alias("ordinal"))
