@@ -18,6 +18,7 @@ text inside a JSON string, a one-element array) are unwrapped and indexed again
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,8 +45,8 @@ for _a, _bs in {
 }.items():
     _NEXT[_a, list(_bs)] = True
 
-_DIGITS, _HEX = np.zeros(256, bool), np.zeros(256, bool)
-_DIGITS[48:58] = True
+_NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
 _ESCAPES = np.zeros(256, bool)
 _ESCAPES[list(b'"\\/bfnrtu')] = True
@@ -226,11 +227,7 @@ def index(raw: np.ndarray, starts: np.ndarray) -> Index:
     for i in c:
         s_ = raw[pos[i] : end[i]].tobytes()
         if s_ not in (b"true", b"false", b"null") and not (s_.isdigit() and (len(s_) == 1 or s_[:1] != b"0")):
-            try:
-                ok_ = s_[:1] in b"-0123456789" and np.isfinite(json.loads(s_)) is not None
-            except ValueError:
-                ok_ = False
-            bad[i] |= not ok_
+            bad[i] |= _NUMBER.fullmatch(s_) is None
     good[doc[bad]] = False
     # string content: known escapes, four digits after \u, no control characters
     if len(at):
@@ -254,6 +251,8 @@ def index(raw: np.ndarray, starts: np.ndarray) -> Index:
 
 def _unwrapped(ix: Index) -> tuple[np.ndarray, list[int], list[bytes]]:
     """Documents whose top is an object; for those wrapped otherwise, the inner text to index next."""
+    if not len(ix.kind):
+        return np.zeros(len(ix.good), bool), [], []
     top = np.where(ix.root >= 0, ix.kind[ix.root], -1)
     again, texts = [], []
     for d in np.flatnonzero(top == _STR):

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from ..schema import UNMATCHED_COLUMNS
 
-NA = F.lit("N/A")
+NA = "N/A"
 
 
 def matches(won: DataFrame) -> DataFrame:
     """The matches table; missing values read ``N/A``."""
-    or_na = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), NA)
+    or_na = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NA))
     return won.select(F.col("ref_id").alias("reference_id"), or_na("r_title").alias("article_title"), or_na("title").alias("matched_title"), F.col("score").cast("int").alias("score"), or_na("doi").alias("matched_doi"), F.col("br").alias("meta_id"), "query_type")
 
 
 def unmatched(report: DataFrame, refs: DataFrame) -> DataFrame:
     """The unmatched table with its 16 columns; scores that a pass did not give read ``N/A``."""
-    x = report.select("ref_id", *[F.coalesce(F.col(c).cast("string"), NA).alias(c) for c in ("best_score", "score_original", "score_without_year")], "threshold_failed").join(refs, "ref_id")
-    have = {"reference_id": F.col("ref_id"), "score_after_grobid": NA, "grobid_attempted": F.lit("No")}
+    x = report.select("ref_id", *[F.coalesce(F.col(c).cast("string"), F.lit(NA)).alias(c) for c in ("best_score", "score_original", "score_without_year")], "threshold_failed").join(refs, "ref_id")
+    have = {"reference_id": F.col("ref_id"), "score_after_grobid": F.lit(NA), "grobid_attempted": F.lit("No")}
     return x.select(*[have.get(c, F.col(c) if c in x.columns else F.lit("")).alias(c) for c in UNMATCHED_COLUMNS])
 
 
