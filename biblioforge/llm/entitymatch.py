@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from ..session import store
 from . import lookalike, mojibake, namelink
 
-KEEP = 0.68  # share of a query's reachable score from which a pair counts
+KEEP = 0.55  # share of a query's reachable score from which a pair counts
 MUTUAL = 0.6  # of the resource's best share
 TOP_K = 3
-WEIGHTS = {"t": 1.0, "e": 0.5, "f": 0.5, "a": 1.0, "y": 1.0, "p": 1.0, "u": 0.5, "v": 0.5}
+#: Weights of the fields' terms. Years and pages tell little alone and much together with the page or author.
+WEIGHTS = {"t": 1.0, "e": 0.5, "f": 0.5, "a": 0.7, "y": 0.5, "p": 0.3, "u": 1.0, "v": 1.0}
 #: Logistic calibration (intercept, share of own score, gap to the runner-up, agreeing attributes), set by hand
 #: so that pairs with only a title template in common stay below one half.
 CALIBRATION = (-9.0, 12.0, 4.0, 1.0)

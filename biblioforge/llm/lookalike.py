@@ -218,9 +218,9 @@ def _compose_all(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray
     cc = t.ccc[_low(c)].astype(np.int64)
     starter = (cc == 0) | np.r_[True, r[1:] != r[:-1]]
     seg = np.cumsum(starter) - 1
-    order = np.lexsort((np.arange(len(c)), np.where(starter, 0, cc), seg))
+    order = np.lexsort((np.arange(len(c)), np.where(starter & (cc == 0), 0, cc), seg))
     c, r, cc, starter, seg = c[order], r[order], cc[order], starter[order], seg[order]
-    head = np.flatnonzero(starter)
+    head = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
     rank = np.arange(len(c)) - head[seg]
     keep = np.ones(len(c), bool)
     base, last = c[head].astype(np.int64), np.zeros(len(head), np.int64)
@@ -274,11 +274,13 @@ def _twins(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.n
     w, s, c = word[at], script[at].astype(np.int64), cp[at]
     # symbols of science: a Greek letter alone before a hyphen or digit, or a unit
     nxt = np.r_[cp, 0, 0][at + 1]
-    prev_letter = np.r_[0, script][at] > 0
-    nxt_letter = np.r_[script, 0][at + 1] > 0
+    before, behind = np.r_[-1, word][at] == w, np.r_[word, -1][at + 1] == w  # neighbours count within the word only
+    nxt = np.where(behind, nxt, 0)
+    prev_letter = before & (np.r_[0, script][at] > 0)
+    nxt_letter = behind & (np.r_[script, 0][at + 1] > 0)
     digit = ((nxt >= 48) & (nxt < 58)) | (nxt == 45) | (nxt == 0x2010) | (nxt == 0x2011) | ((nxt >= 0x2070) & (nxt < 0x20A0))
     science = (s == _GREEK) & ~prev_letter & ~nxt_letter & digit
-    after = np.r_[script, 0, 0][at + 2] > 0
+    after = (np.r_[script, 0, 0][at + 2] > 0) & (np.r_[word, -1, -1][at + 2] == w)
     for a, b in _UNITS:
         science |= (c == ord(a)) & ~prev_letter & (nxt == ord(b)) & ~after
     n = word[-1] + 1

@@ -39,7 +39,7 @@ PAIRS = (
 )
 #: Ties go to the likelier encoding.
 _RANK = {f"{a}>{b}": 0.3 + 0.004 * i for i, (a, b) in enumerate(PAIRS)} | {f"{a}>utf-8": 0.003 * i for i, a in enumerate(SHOWN)}
-UTF8_MARGIN, PAIR_MARGIN, JOINT_MARGIN = 0.3, 1.5, 2.0
+UTF8_MARGIN, PAIR_MARGIN, JOINT_MARGIN = 0.3, 1.5, 1.6
 MAX_STEPS, MAX_EXPANDED, CACHE = 4, 60, 200_000
 
 _COMMON = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒąćęłńóśźżĄĆĘŁŃŚŹŻčďěňřšťůžČĎĚŇŘŠŤŮŽľĺŕĽőűŐŰğışŞİșțȘȚăĂđĐ")
