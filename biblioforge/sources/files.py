@@ -9,12 +9,14 @@ from pyspark.sql import types as T
 from ..functions import native as N
 from ..schema import CROSSREF, DUMP
 
-ENCODINGS = ("utf-8", "windows-1252")
+#: Where Windows-1252 differs from Latin-1, which Spark decodes by itself.
+_HIGH = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_LATIN, _WINDOWS = "".join(map(chr, _HIGH)), bytes(_HIGH).decode("cp1252")
 
 
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 with or without mark, else Windows-1252."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, ENCODINGS[1]))
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.translate(F.decode(content, "iso-8859-1"), _LATIN, _WINDOWS))
     return F.regexp_replace(text, r"^\x{FEFF}", "")
 
 
