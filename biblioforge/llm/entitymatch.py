@@ -5,7 +5,8 @@ authors, year, first page, and year and author each with the page. A term occurs
 field and fields have no length to correct for, so BM25 comes down to the sum of the weights
 ``field weight x idf`` of the shared terms.
 
-Pruning is exact: a pair counts only from ``KEEP`` of the query's own reachable score. The commonest terms
+Pruning is exact: a pair counts only from ``KEEP`` of the query's own reachable score, and from ``KEEP_REST``
+of what it reaches without pages. The commonest terms
 of a query whose weights together stay below that bound can't make a pair count alone, so postings are
 joined for the other, rarer terms only; what a pair could still gain from the commonest bounds it before
 the full score is taken. No pair above the bound is lost, and no posting list of a hot author is read.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from ..session import store
 from . import lookalike, mojibake, namelink
 
-KEEP = 0.55  # share of a query's reachable score from which a pair counts
+KEEP = 0.58  # share of a query's reachable score from which a pair counts
+KEEP_REST = 0.8  # and share of what it reaches without pages, which resources often lack
 MUTUAL = 0.6  # of the resource's best share
 TOP_K = 3
 #: Weights of the fields' terms. Years and pages tell little alone and much together with the page or author.
@@ -178,25 +180,26 @@ def matched(refs: DataFrame, resources: DataFrame, keep: float = KEEP, top_k: in
     df = store(post.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"), F.first("f").alias("f")))
     idf = lambda n, f: F.element_at(weight, f) * F.log1p((F.lit(float(n_docs)) - n + 0.5) / (n + 0.5))
     terms = F.array_sort(F.collect_list(F.struct("df", "h", "f")))
-    own = terms_of(q0, "q").select("q", "h").join(df, "h").groupBy("q").agg(terms.alias("ts")).withColumn("ts", F.transform("ts", lambda t: F.struct(t["h"].alias("h"), idf(t["df"], t["f"]).alias("w"))))
-    own = own.withColumn("reach", F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + t["w"]))
+    own = terms_of(q0, "q").select("q", "h").join(df, "h").groupBy("q").agg(terms.alias("ts")).withColumn("ts", F.transform("ts", lambda t: F.struct(t["h"].alias("h"), idf(t["df"], t["f"]).alias("w"), t["f"].isin("p", "u", "v").alias("paged"))))
+    own = own.withColumn("reach", F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + t["w"])).withColumn("paged", F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + F.when(t["paged"], t["w"]).otherwise(0.0)))
+    own = own.withColumn("need", F.greatest(keep * F.col("reach"), KEEP_REST * (F.col("reach") - F.col("paged"))))
     # rarest first; the tail whose weights sum to less than the bound is left out of the postings join
     tail = F.aggregate(
         F.reverse("ts"),
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")),
-        lambda acc, t: F.when(acc["open"] & (acc["sum"] + t["w"] < F.col("reach") * keep), F.struct((acc["sum"] + t["w"]).alias("sum"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), F.lit(False).alias("open"))),
+        lambda acc, t: F.when(acc["open"] & (acc["sum"] + t["w"] < F.col("need")), F.struct((acc["sum"] + t["w"]).alias("sum"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), F.lit(False).alias("open"))),
     )
-    own = own.withColumn("tail", tail).select("q", "reach", F.col("tail.sum").alias("rest"), F.slice("ts", F.lit(1), F.size("ts") - F.col("tail.n")).alias("head"), F.slice("ts", F.size("ts") - F.col("tail.n") + 1, F.col("tail.n")).alias("tail_terms"))
+    own = own.withColumn("tail", tail).select("q", "reach", "need", F.col("tail.sum").alias("rest"), F.slice("ts", F.lit(1), F.size("ts") - F.col("tail.n")).alias("head"), F.slice("ts", F.size("ts") - F.col("tail.n") + 1, F.col("tail.n")).alias("tail_terms"))
     own = store(own)
-    ess = own.select("q", (keep * F.col("reach") - F.col("rest")).cast("float").alias("need"), F.explode("head").alias("t")).select("q", "need", F.col("t.h").alias("h"), F.col("t.w").cast("float").alias("w"))
+    ess = own.select("q", (F.col("need") - F.col("rest")).cast("float").alias("need"), F.explode("head").alias("t")).select("q", "need", F.col("t.h").alias("h"), F.col("t.w").cast("float").alias("w"))
     met = ess.join(post.select("d", "h"), "h").groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("need").alias("need")).where(F.col("s") >= F.col("need") - 1e-4).select("q", "d", "s")
     # full scores of what is left
     qa = q0.select(F.col("n").alias("q"), F.col("id").alias("ref_id"), F.struct("title", "part", "year", "page", "authors").alias("qa"))
     da = with_terms(d0).select(F.col("n").alias("d"), F.col("id").alias("br"), F.struct("title", "part", "year", "page", "authors").alias("da"), F.transform("terms", lambda x: F.xxhash64(x)).alias("dh"))
-    cand = met.join(da, "d").join(own.select("q", "reach", "tail_terms"), "q")
+    cand = met.join(da, "d").join(own.select("q", "reach", F.col("need").alias("least"), "tail_terms"), "q")
     # what the terms left out of the postings join add
     more = F.aggregate("tail_terms", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("dh", t["h"]), t["w"]).otherwise(0.0))
-    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") >= keep).select("q", "br", "share", "da").join(qa, "q")
+    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") * F.col("reach") >= F.col("least") - 1e-3).select("q", "br", "share", "da").join(qa, "q")
     return _decide(full, top_k)
 
 
