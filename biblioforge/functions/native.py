@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from ..config import MatchConfig
 _EDGE = r"^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$"
 _PREFIX = r"^(?:doi:|https?://(?:dx\.)?doi\.org/)"
 #: What a title's signs and Greek letters become before it is compared.
-TITLE_SIGNS = (("–", "-"), ("—", "-"), ("−", "-"), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("…", "..."), ("(1)H", "1H"), ("(13)C", "13C"))
-GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("ε", "epsilon"), ("κ", "kappa"), ("λ", "lambda"), ("μ", "mu"), ("π", "pi"), ("ω", "omega"))
-#: Garbled sequences and what they stood for (opt-in repair of raw citations).
-GARBLED = (("â€“", "–"), ("â€”", "—"), ("â€™", "’"), ("â€œ", "“"), ("Ã©", "é"), ("Ã¨", "è"), ("Ã¼", "ü"), ("Ã¶", "ö"), ("Ã¤", "ä"))
+TITLE_SIGNS = (("–", "-"), ("—", "-"), ("−", "-"), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("´", "'"), ("¨", '"'), ("…", "..."))
+GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("ε", "epsilon"), ("ζ", "zeta"), ("η", "eta"), ("θ", "theta"), ("ω", "omega"), ("Ω", "Omega"))
+ISOTOPES = (("(1)H", "1H"), ("(13)C", "13C"))
+#: Garbled sequences of raw citations and what replaces them (an opt-in repair).
+GARBLED = (("âˆ†", "Δ"), ('Î"', "Δ"), ('â€"', "–"), ("â€˜", "'"), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("Â", ""))
+#: Latin letters with marks and the letters they stand on, from their decompositions.
+_MARKED = {chr(c): d[0] for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFKD", chr(c)))[0].isascii() and len(d) == 2}
 
 
 def strip(c: Column) -> Column:
@@ -57,8 +62,9 @@ def norm_author(c: Column) -> Column:
 
 def norm_title(c: Column) -> Column:
     """Signs and Greek letters by name, ASCII words in lower case, single blanks."""
-    for a, b in TITLE_SIGNS + GREEK:
+    for a, b in TITLE_SIGNS + GREEK + ISOTOPES:
         c = F.replace(c, F.lit(a), F.lit(b))
+    c = F.translate(c, "".join(_MARKED), "".join(_MARKED.values()))
     c = F.regexp_replace(F.trim(F.lower(c)), r"[.!?;:]+$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9\s-]", ""), r"\s+", " "))
 

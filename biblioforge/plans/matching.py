@@ -113,7 +113,12 @@ def clean_literal(spark, d):
     return table(spark, d, "bib_reference").where(F.col("article_title").rlike(r"^[ -~]*$")).select("ref_row_id", N.clean_literal(F.col("article_title")).alias("literal"))
 
 
-@query("""select ref_row_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(unstructured, 'â€“', '–'), 'â€”', '—'), 'â€™', '’'), 'â€œ', '“'), 'Ã©', 'é'), 'Ã¨', 'è'), 'Ã¼', 'ü'), 'Ã¶', 'ö'), 'Ã¤', 'ä') as cleaned from bib_reference""")
+_REPAIR = "unstructured"
+for _a, _b in N.GARBLED:
+    _REPAIR = "replace({}, '{}', '{}')".format(_REPAIR, _a.replace("'", "''"), _b.replace("'", "''"))
+
+
+@query(f"select ref_row_id, {_REPAIR} as cleaned from bib_reference")
 def repair_garbled(spark, d):
     return table(spark, d, "bib_reference").select("ref_row_id", N.repair_garbled(F.col("unstructured")).alias("cleaned"))
 
