@@ -195,15 +195,20 @@ def matched(refs: DataFrame, resources: DataFrame, keep: float = KEEP, top_k: in
     met = ess.join(post.select("d", "h"), "h").groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("need").alias("need")).where(F.col("s") >= F.col("need") - 1e-4).select("q", "d", "s")
     # full scores of what is left
     qa = q0.select(F.col("n").alias("q"), F.col("id").alias("ref_id"), F.struct("title", "part", "year", "page", "authors").alias("qa"))
-    da = with_terms(d0).select(F.col("n").alias("d"), F.col("id").alias("br"), F.struct("title", "part", "year", "page", "authors").alias("da"), F.transform("terms", lambda x: F.xxhash64(x)).alias("dh"))
-    cand = met.join(da, "d").join(own.select("q", "reach", F.col("need").alias("least"), "tail_terms"), "q")
+    da = d0.select(F.col("n").alias("d"), F.col("id").alias("br"), F.struct("title", "part", "year", "page", "authors").alias("da"))
+    # pairs carry narrow arrays only; attributes join what is left at the end
+    short = lambda h: F.hash(h)
+    dh = with_terms(d0).select(F.col("n").alias("d"), F.transform("terms", lambda x: short(F.xxhash64(x))).alias("dh"))
+    tails = own.select("q", F.col("reach").cast("float").alias("reach"), F.col("need").cast("float").alias("least"), F.transform("tail_terms", lambda t: short(t["h"])).alias("th"), F.transform("tail_terms", lambda t: t["w"].cast("float")).alias("tw"))
+    cand = met.join(dh, "d").join(tails, "q")
     # what the terms left out of the postings join add
-    more = F.aggregate("tail_terms", F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains("dh", t["h"]), t["w"]).otherwise(0.0))
-    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") * F.col("reach") >= F.col("least") - 1e-3).select("q", "br", "share", "da").join(qa, "q")
-    return _decide(full, top_k)
+    more = F.aggregate(F.zip_with("th", "tw", lambda h, w: F.when(F.array_contains("dh", h), w).otherwise(F.lit(0.0).cast("float"))), F.lit(0.0), lambda acc, w: acc + w)
+    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") * F.col("reach") >= F.col("least") - 1e-3).select("q", "d", "share")
+    full = full.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("share")))).where(F.col("rank") <= top_k).drop("rank").join(da, "d").join(qa, "q")
+    return _decide(full)
 
 
-def _decide(full: DataFrame, top_k: int) -> DataFrame:
+def _decide(full: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,8 +216,7 @@ def _decide(full: DataFrame, top_k: int) -> DataFrame:
             rows = [compare(q, d) for q, d in zip(x["qa"], x["da"])]
             yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("br"), b.column("share"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())], names=["q", "d", "share", "sim", "agree", "ok"])
 
-    ranked = full.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("share")))).where(F.col("rank") <= top_k)
-    scored = ranked.select("ref_id", "br", "share", "qa", "da").mapInArrow(check, "q string, d string, share double, sim double, agree int, ok boolean")
+    scored = full.select("ref_id", "br", "share", "qa", "da").mapInArrow(check, "q string, d string, share double, sim double, agree int, ok boolean")
     w = Window.partitionBy("q")
     best = scored.withColumn("top", F.max(F.when(F.col("ok"), F.col("share") + F.col("agree"))).over(w)).withColumn("second", F.coalesce(F.max(F.when(~F.col("ok"), F.col("share"))).over(w), F.lit(0.0)))
     mine = best.where(F.col("ok") & (F.col("share") + F.col("agree") >= F.col("top")))
