@@ -9,6 +9,9 @@ lower for UTF-8 bytes, since these prove themselves. Pairs of one-byte encodings
 also weighed over all runs of a value together. Results are kept by run and context, so the search itself
 runs once for each different run in a task.
 
+UTF-7 read as ASCII (``Schw+AOQ-che``) is found by its groups, which must decode strictly to plausible
+non-ASCII text, and is decoded before the search.
+
 Losses can't be undone but are found: U+FFFD, and ``?`` in the place of a letter, quote or dash.
 """
 
@@ -29,6 +32,11 @@ RUN = re.compile(r"(?:[^\x00-\x7f]|(?<=[\xc2-\xef\x80-\x9f]) (?=[\x80-\xbf])|&(?
 #: A question mark in the place of a letter, or of a quote or dash before one, or between digits.
 LOST = re.compile(r"(?<=[^\W\d_])\?(?=[a-zß-öø-ÿ])|(?<=[A-ZÀ-Þ])\?(?=[^\W\d_])|(?<![^\s(\[“‘\"'«])\?(?=[^\W_])|\?\?+(?=\w)|(?<=\w)\?\?+|(?<=\d)\?(?=\d)")
 
+#: Groups of UTF-7; most of what looks like one (``CD5+IgM-``) decodes to nothing or to nothing plausible.
+UTF7 = re.compile(r"\+([A-Za-z0-9+/]{3,})-?")
+#: Cost up to which a decoded group is plausible: at all, and for each character.
+UTF7_BASE, UTF7_EACH = 1.0, 0.8
+
 #: Encodings in which UTF-8 bytes may have been shown.
 SHOWN = ("cp1252", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "koi8-r", "gbk", "big5", "shift_jis", "iso8859-2", "iso8859-15", "cp1254", "cp1253", "cp1257")
 #: (shown in, written in) for texts that were not UTF-8.
@@ -232,10 +240,52 @@ def solve(left: str, run: str, right: str) -> tuple[float, float, str, tuple[str
     return out
 
 
+_MATHS = set("≤≥≈≠→←↔↑↓√∞−∑∂∆⁺⁻⁼₊₋₌")
+
+
+def _utf7_group(group: str) -> str | None:
+    """What a group stands for, or nothing where it doesn't decode or gives unusual characters."""
+    try:
+        text = f"+{group}-".encode().decode("utf-7")
+    except UnicodeDecodeError:
+        return None
+    if all(c.isprintable() or c in "\xa0\xad\u2002\u2003\u2009\u200b\u202f\u3000" for c in text) and not any(unicodedata.category(c) in ("Sm", "So", "Sc", "Sk") and c > "\x7f" and c not in _SYMBOLS | _MATHS | {"°"} for c in text):
+        return text
+    return None
+
+
+def utf7(value: str) -> list[str]:
+    """The text split at its UTF-7 groups, every second piece decoded; whole where no group is plausible."""
+    found = []  # start, end, text, cost above what is plausible; ASCII groups have no cost
+    for m in UTF7.finditer(value):
+        text = _utf7_group(m[1])
+        a = max(value.rfind(c, 0, m.start()) for c in " \t\n") + 1
+        if text is not None and "://" not in value[a : m.start()]:
+            left, right = value[max(0, m.start() - 2) : m.start()], value[m.end() : m.end() + 2]
+            _, c, best, ops = solve(left, text, right)
+            if ops and ops[-1].endswith(">utf-8"):  # UTF-8 within UTF-7 proves itself
+                text = best
+            else:
+                c = cost(left, text.replace("µ", "μ"), right)
+            found.append((m.start(), m.end(), text, None if text.isascii() else c - UTF7_BASE - UTF7_EACH * len(text)))
+    over = [f[3] for f in found if f[3] is not None]
+    if not any(x <= 0 for x in over):
+        return [value]
+    whole = sum(over) <= 0
+    pieces, last = [], 0
+    for a, b, text, x in found:
+        if x is None or x <= 0 or whole:
+            pieces += [value[last:a], text]
+            last = b
+    return [*pieces, value[last:]]
+
+
 def repair(value: str | None) -> tuple[str | None, bool, bool]:
     """(text, whether it was garbled, whether characters are lost for good)."""
     if not value:
         return value, False, False
+    if "+" in value and len(pieces := utf7(value)) > 1:  # decoded groups stay, the text between them is repaired as any other
+        return "".join(x if i % 2 else repair(x)[0] for i, x in enumerate(pieces)), True, repair("".join(pieces))[2]
     lossy = "�" in value or "?" in value and any(LOST.search(w) for w in value.split() if "://" not in w)
     runs = [(m.start(), m.end()) for m in RUN.finditer(value)]
     if not runs:
@@ -267,9 +317,9 @@ def repair(value: str | None) -> tuple[str | None, bool, bool]:
 
 
 def suspects(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, field_name, value) of the values that could be garbled: any beyond plain ASCII without ``?`` and ``&``."""
+    """(id, field_name, value) of the values that could be garbled: any beyond plain ASCII without ``?``, ``&`` and UTF-7 groups."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])
-    return df.select(F.col(id_col).alias(id_col), F.explode(pairs).alias("p")).select(id_col, "p.field_name", "p.value").where(F.col("value").rlike(r"[^\x00-\x7F]|\?|&"))
+    return df.select(F.col(id_col).alias(id_col), F.explode(pairs).alias("p")).select(id_col, "p.field_name", "p.value").where(F.col("value").rlike(r"[^\x00-\x7F]|\?|&|\+[A-Za-z0-9+/]{3}"))
 
 
 def garbled(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -39,6 +39,26 @@ def test_more_mojibake():
     assert mojibake.repair("Ã¤" * 50_000)[0] == "ä" * 50_000
 
 
+UTF7 = ["Untersuchungen zur Schwäche und", "Über die Gewässer der künstlichen Trübung", "γ-tubulin wounds 1568–1577", "²⁹Si and NO₃⁻ in 5 µm", "Эволюция почвы в вулкане", "„Größe“ der Wälder", "A água após a estação: região"]
+
+
+@pytest.mark.parametrize("text", UTF7)
+def test_utf7_read_as_ascii_is_restored(text):
+    bad = text.encode("utf-7").decode("ascii")
+    assert bad != text and mojibake.repair(bad) == (text, True, False)
+
+
+@pytest.mark.parametrize("text", ["DNA+RNA-based", "CD5+IgM- and CD27+IgA- cells", "EPA+ALA-rich diet", "STEMI+AMI-related", "CKD+AKI-free", "C++ and a+b+c", "Na+/K+-ATPase", "+ACE-I therapy", "CD4+CD25+FoxP3- cells", "https://x.org/?q=Schw+AOQ-che"])
+def test_plus_signs_are_no_utf7(text):
+    assert mojibake.repair(text)[:2] == (text, False)
+
+
+def test_utf7_passes_the_prefilter(spark):
+    df = spark.createDataFrame([(1, "Schw+AOQ-che", None), (2, "DNA+RNA-based", "Schwache"), (3, "Ertr+AOQ-ge 7, 1568+IBM-1577", "a + b")], "i bigint, t string, u string")
+    got = mojibake.garbled(df, "i", ["t", "u"]).collect()
+    assert {(r.i, r.field_name, r.repaired, r.lossy) for r in got} == {(1, "t", "Schwäche", False), (3, "t", "Erträge 7, 1568–1577", False)}
+
+
 chars = st.sampled_from([*"ae sé中ạ", "́", "̣", "̈", "̧", "가", "ᄀ", "ᅡ", "ᆨ", "K", "Å"])
 
 
