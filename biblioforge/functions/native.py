@@ -55,9 +55,13 @@ def page_key(c: Column) -> Column:
     return F.ltrim(c, F.lit("0"))
 
 
+#: All white space, as Python's ``str.split`` has it.
+_BLANKS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def norm_author(c: Column) -> Column:
     """Lower case, single blanks; accents stay."""
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, _BLANKS, " ")))
 
 
 def norm_title(c: Column) -> Column:
@@ -75,7 +79,7 @@ def main_title(article: Column, volume: Column, journal: Column) -> Column:
 
 def clean_literal(c: Column) -> Column:
     """A literal as queries see it: special signs and control characters are blanks, 1,000 characters at most."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f<>{}|^`]", " "), r"\s+", " ")), 1, 1000)
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f<>{}|^`]", " "), _BLANKS, " ")), 1, 1000)
 
 
 def title_pattern(c: Column, cfg: MatchConfig = MatchConfig()) -> Column:

@@ -73,6 +73,12 @@ def norm_author(spark, d):
     return table(spark, d, "bib_reference").where(plain).select("ref_row_id", N.norm_author(F.col("first_author_lastname")).alias("author_norm"))
 
 
+@query()
+def norm_author_all(spark, d):
+    """norm_author of every row; DuckDB's white space is ASCII only, so no SQL."""
+    return table(spark, d, "bib_reference").select("ref_row_id", N.norm_author(F.col("first_author_lastname")).alias("author_norm"))
+
+
 _YEAR_SQL = r"try_cast(nullif(regexp_extract({0}, '\b(17|18|19|20)\d{{2}}\b'), '') as int)"
 
 
@@ -113,6 +119,12 @@ def clean_literal(spark, d):
     return table(spark, d, "bib_reference").where(F.col("article_title").rlike(r"^[ -~]*$")).select("ref_row_id", N.clean_literal(F.col("article_title")).alias("literal"))
 
 
+@query()
+def clean_literal_all(spark, d):
+    """clean_literal of every row, composed first; DuckDB's white space is ASCII only, so no SQL."""
+    return table(spark, d, "bib_reference").select("ref_row_id", N.clean_literal(fuzzy.nfc(F.col("article_title"))).alias("literal"))
+
+
 _REPAIR = "unstructured"
 for _a, _b in N.GARBLED:
     _REPAIR = "replace({}, '{}', '{}')".format(_REPAIR, _a.replace("'", "''"), _b.replace("'", "''"))

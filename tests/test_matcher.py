@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -8,6 +11,7 @@ from biblioforge.functions import fuzzy
 from biblioforge.functions import native as N
 from biblioforge.operators import resolve, scoring
 from biblioforge.operators import strategies as S
+from biblioforge.plans import matching
 
 CFG = MatchConfig()
 
@@ -112,3 +116,16 @@ def test_fuzzy_title_and_unmatched(spark):
     assert (u.best_score, u.threshold_failed) == (21, "Yes")
     empty = resolve.winners(scoring.score(S.all_candidates(r.limit(0), kg), CFG), CFG)
     assert empty.count() == 0
+
+
+WIDE = ["  Müller\u00a0 Ö", "ÉCOLE\u2009\u3000X ", "Smith\tJ", "ΟΔΟΣ", "İnan", "Поляков\u2028А", "\u202fNg", "A\x85B", "C\x1fD", "", " ", None, "e\u0301tude <b>|\u00a0x^`", "中\u3000文", "é" * 1200]
+
+
+def test_authors_and_literals_of_all_rows(spark, tmp_path):
+    spark.createDataFrame([(i, v, v) for i, v in enumerate(WIDE)], "ref_row_id bigint, first_author_lastname string, article_title string").write.parquet(f"{tmp_path}/bib_reference.parquet")
+    author = lambda v: None if v is None else " ".join(v.lower().split())
+    literal = lambda v: None if v is None else " ".join(re.sub(r"[\x00-\x1f\x7f<>{}|^`]", " ", unicodedata.normalize("NFC", v)).split())[:1000]
+    got = {r[0]: r[1] for r in matching.QUERIES["norm_author_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: author(v) for i, v in enumerate(WIDE)}
+    got = {r[0]: r[1] for r in matching.QUERIES["clean_literal_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: literal(v) for i, v in enumerate(WIDE)}
