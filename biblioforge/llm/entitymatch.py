@@ -5,8 +5,8 @@ authors, year, first page, and year and author each with the page. A term occurs
 field and fields have no length to correct for, so BM25 comes down to the sum of the weights
 ``field weight x idf`` of the shared terms.
 
-Pruning is exact: a pair counts only from ``KEEP`` of the query's own reachable score, and from ``KEEP_REST``
-of what it reaches without pages. The commonest terms
+Pruning is exact: a pair counts only from ``KEEP`` of the score the query can reach with the fields that the
+resource has; a resource without page is not judged by terms of the page. The commonest terms
 of a query whose weights together stay below that bound can't make a pair count alone, so postings are
 joined for the other, rarer terms only; what a pair could still gain from the commonest bounds it before
 the full score is taken. No pair above the bound is lost, and no posting list of a hot author is read.
@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from ..session import store
 from . import lookalike, mojibake, namelink
 
-KEEP = 0.58  # share of a query's reachable score from which a pair counts
-KEEP_REST = 0.8  # and share of what it reaches without pages, which resources often lack
+KEEP = 0.55  # share of a pair's reachable score from which it counts
 MUTUAL = 0.6  # of the resource's best share
 TOP_K = 3
 #: Weights of the fields' terms. Years and pages tell little alone and much together with the page or author.
 WEIGHTS = {"t": 1.0, "e": 0.5, "f": 0.5, "a": 0.7, "y": 0.5, "p": 0.3, "u": 1.0, "v": 1.0}
+#: Fields that a resource needs for a term: 1 page, 2 year, 4 authors.
+NEEDS = {"t": 0, "e": 0, "f": 0, "a": 4, "y": 2, "p": 1, "u": 3, "v": 5}
 #: Logistic calibration (intercept, share of own score, gap to the runner-up, agreeing attributes), set by hand
 #: so that pairs with only a title template in common stay below one half.
 CALIBRATION = (-9.0, 12.0, 4.0, 1.0)
@@ -170,40 +171,44 @@ def matched(refs: DataFrame, resources: DataFrame, keep: float = KEEP, top_k: in
     exact check; empty tables give an empty result.
     """
     q0, d0 = (store(x.withColumn("n", F.monotonically_increasing_id())) for x in (refs, resources))
+    has = F.col("page").isNotNull().cast("int") + 2 * F.col("year").isNotNull().cast("int") + F.when(F.size("authors") > 0, 4).otherwise(0)
+    d0 = d0.withColumn("c", has)
+    kinds = sorted(r[0] for r in d0.select("c").distinct().collect())  # 8 at most
     weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v).cast("float"))])
 
-    def terms_of(df: DataFrame, name: str) -> DataFrame:
-        return with_terms(df).select(F.col("n").alias(name), F.explode("terms").alias("term")).select(name, F.xxhash64("term").alias("h"), F.substring("term", 1, 1).alias("f"))
+    def terms_of(df: DataFrame, name: str, *others: str) -> DataFrame:
+        return with_terms(df).select(F.col("n").alias(name), *others, F.explode("terms").alias("term")).select(name, *others, F.xxhash64("term").alias("h"), F.substring("term", 1, 1).alias("f"))
 
-    post = terms_of(d0, "d")
+    post = terms_of(d0, "d", "c")
     n_docs = d0.count()
     df = store(post.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"), F.first("f").alias("f")))
     idf = lambda n, f: F.element_at(weight, f) * F.log1p((F.lit(float(n_docs)) - n + 0.5) / (n + 0.5))
     terms = F.array_sort(F.collect_list(F.struct("df", "h", "f")))
-    own = terms_of(q0, "q").select("q", "h").join(df, "h").groupBy("q").agg(terms.alias("ts")).withColumn("ts", F.transform("ts", lambda t: F.struct(t["h"].alias("h"), idf(t["df"], t["f"]).alias("w"), t["f"].isin("p", "u", "v").alias("paged"))))
-    own = own.withColumn("reach", F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + t["w"])).withColumn("paged", F.aggregate("ts", F.lit(0.0), lambda acc, t: acc + F.when(t["paged"], t["w"]).otherwise(0.0)))
-    own = own.withColumn("need", F.greatest(keep * F.col("reach"), KEEP_REST * (F.col("reach") - F.col("paged"))))
+    need_of = F.create_map(*[F.lit(x) for kv in NEEDS.items() for x in kv])
+    own = terms_of(q0, "q").select("q", "h").join(df, "h").groupBy("q").agg(terms.alias("ts")).withColumn("ts", F.transform("ts", lambda t: F.struct(t["h"].alias("h"), idf(t["df"], t["f"]).cast("float").alias("w"), F.element_at(need_of, t["f"]).alias("m"))))
+    own = store(own)
+    fits = lambda t: t["m"].bitwiseAND(F.col("c")) == t["m"]
+    total = lambda ts: F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + t["w"])
+    # each query by the fields that resources have
+    by = own.withColumn("c", F.explode(F.array(*[F.lit(k) for k in kinds]).cast("array<int>"))).withColumn("ts", F.filter("ts", fits)).withColumn("need", keep * total("ts")).where("need > 0")
     # rarest first; the tail whose weights sum to less than the bound is left out of the postings join
     tail = F.aggregate(
         F.reverse("ts"),
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")),
         lambda acc, t: F.when(acc["open"] & (acc["sum"] + t["w"] < F.col("need")), F.struct((acc["sum"] + t["w"]).alias("sum"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), F.lit(False).alias("open"))),
     )
-    own = own.withColumn("tail", tail).select("q", "reach", "need", F.col("tail.sum").alias("rest"), F.slice("ts", F.lit(1), F.size("ts") - F.col("tail.n")).alias("head"), F.slice("ts", F.size("ts") - F.col("tail.n") + 1, F.col("tail.n")).alias("tail_terms"))
-    own = store(own)
-    ess = own.select("q", (F.col("need") - F.col("rest")).cast("float").alias("need"), F.explode("head").alias("t")).select("q", "need", F.col("t.h").alias("h"), F.col("t.w").cast("float").alias("w"))
-    met = ess.join(post.select("d", "h"), "h").groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("need").alias("need")).where(F.col("s") >= F.col("need") - 1e-4).select("q", "d", "s")
+    head = F.slice("ts", F.lit(1), F.size("ts") - F.col("tail.n"))
+    ess = by.withColumn("tail", tail).select("q", "c", (F.col("need") - F.col("tail.sum")).cast("float").alias("need"), F.explode(head).alias("t")).select("q", "c", "need", F.col("t.h").alias("h"), F.col("t.w").alias("w"))
+    met = ess.join(post.select("d", "c", "h"), ["h", "c"]).groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("need").alias("need")).where(F.col("s") >= F.col("need") - 1e-4).select("q", "d")
     # full scores of what is left
     qa = q0.select(F.col("n").alias("q"), F.col("id").alias("ref_id"), F.struct("title", "part", "year", "page", "authors").alias("qa"))
     da = d0.select(F.col("n").alias("d"), F.col("id").alias("br"), F.struct("title", "part", "year", "page", "authors").alias("da"))
     # pairs carry narrow arrays only; attributes join what is left at the end
     short = lambda h: F.hash(h)
-    dh = with_terms(d0).select(F.col("n").alias("d"), F.transform("terms", lambda x: short(F.xxhash64(x))).alias("dh"))
-    tails = own.select("q", F.col("reach").cast("float").alias("reach"), F.col("need").cast("float").alias("least"), F.transform("tail_terms", lambda t: short(t["h"])).alias("th"), F.transform("tail_terms", lambda t: t["w"].cast("float")).alias("tw"))
-    cand = met.join(dh, "d").join(tails, "q")
-    # what the terms left out of the postings join add
-    more = F.aggregate(F.zip_with("th", "tw", lambda h, w: F.when(F.array_contains("dh", h), w).otherwise(F.lit(0.0).cast("float"))), F.lit(0.0), lambda acc, w: acc + w)
-    full = cand.withColumn("share", (F.col("s") + more) / F.col("reach")).where(F.col("share") * F.col("reach") >= F.col("least") - 1e-3).select("q", "d", "share")
+    dh = with_terms(d0).select(F.col("n").alias("d"), "c", F.transform("terms", lambda x: short(F.xxhash64(x))).alias("dh"))
+    qs = own.select("q", F.transform("ts", lambda t: F.struct(short(t["h"]).alias("h"), t["w"].alias("w"), t["m"].alias("m"))).alias("ts"))
+    cand = met.join(dh, "d").join(qs, "q").withColumn("ts", F.filter("ts", fits))
+    full = cand.withColumn("share", total(F.filter("ts", lambda t: F.array_contains("dh", t["h"]))) / total("ts")).where(F.col("share") >= keep - 1e-4).select("q", "d", "share")
     full = full.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("share")))).where(F.col("rank") <= top_k).drop("rank").join(da, "d").join(qa, "q")
     return _decide(full)
 

@@ -144,6 +144,15 @@ def test_entity_match(spark):
     assert entitymatch.matched(entitymatch.read_refs(bib.limit(0)), entitymatch.read_resources(kg)).count() == 0
 
 
+def test_page_of_other_works_costs_no_pageless_resource(spark):
+    bib = spark.createDataFrame([(1, None, "Deep lakes and rivers of Valonidex", "Krülbman", "2001", "17")], "ref_row_id bigint, doi string, article_title string, first_author_lastname string, year string, first_page string")
+    other = [(f"br/{i}", "Deep lakes and rivers of Valonidex", "1950", f"Name{i}", str(100 + i)) for i in range(10, 50)]
+    hot = [("br/2", "Growth of wounds", "1990", "Krülbman", "17"), ("br/3", "Stems and leaves", "2001", "Other", "17")]
+    kg = spark.createDataFrame([("br/1", "Deep lakes and rivers of Valonidex", "2001-05", "Krülbman", None), *hot, *other], "br string, title string, pub_date string, author_name string, start_page string")
+    got = entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg)).collect()
+    assert [(r.q, r.br) for r in got] == [("1", "br/1")] and got[0].confidence >= entitymatch.MIN_CONFIDENCE
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 250), min_size=1, max_size=80), st.integers(20, 100))
 def test_packing(sizes, capacity):
