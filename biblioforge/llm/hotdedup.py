@@ -70,13 +70,14 @@ def duplicates(rows: DataFrame, id_col: str, group_col: str, key: Column, hot_ro
     return out.where("dup_id > keep_id").distinct() if hot is not None else out.where("dup_id > keep_id")
 
 
-def collapsed(rows: DataFrame, id_col: str, key: Column, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """One record per key: (canonical_key, keep_id, n_copies). Null keys give none."""
-    own = rows.select(F.col(id_col).alias("id"), key.alias("k")).where("k is not null").withColumn("kh", F.xxhash64("k"))
+def collapsed(rows: DataFrame, id_col: str, key: Column, hot_rows: int = HOT_ROWS, salts: int = SALTS, within: tuple[str, ...] = ()) -> DataFrame:
+    """One record per key, within the groups of the columns ``within``: (*within, canonical_key, keep_id, n_copies). Null keys and groups give none."""
+    known = " and ".join(f"{c} is not null" for c in ("k", *within))
+    own = rows.select(*within, F.col(id_col).alias("id"), key.alias("k")).where(known).withColumn("kh", F.xxhash64(*within, "k"))
     cold, hot = _split_hot(own, hot_rows)
     agg = lambda d: d.agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies"))
-    out = agg(cold.groupBy("k"))
+    out = agg(cold.groupBy(*within, "k"))
     if hot is not None:
-        part = agg(hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy("k", "salt"))
-        out = out.unionByName(part.groupBy("k").agg(F.min("keep_id").alias("keep_id"), F.sum("n_copies").alias("n_copies")))
-    return out.select(F.col("k").alias("canonical_key"), "keep_id", "n_copies")
+        part = agg(hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).groupBy(*within, "k", "salt"))
+        out = out.unionByName(part.groupBy(*within, "k").agg(F.min("keep_id").alias("keep_id"), F.sum("n_copies").alias("n_copies")))
+    return out.select(*within, F.col("k").alias("canonical_key"), "keep_id", "n_copies")

@@ -35,6 +35,14 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotdedup.collapsed(table(spark, sf_dir, "bib_reference"), "ref_row_id", hotdedup.canonical_doi(F.col("doi")))
 
 
+@query
+def p5_collapsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per DOI within a citing file, in both tables, with its number of copies."""
+    bib = table(spark, sf_dir, "bib_reference").select(F.lit("bib_reference").alias("table_name"), "source_file", F.col("ref_row_id").alias("id"), F.col("doi").alias("d"))
+    mat = table(spark, sf_dir, "matches").select(F.lit("matches").alias("table_name"), "source_file", F.col("match_id").alias("id"), F.col("matched_doi").alias("d"))
+    return hotdedup.collapsed(bib.unionByName(mat), "id", hotdedup.canonical_doi(F.col("d")), within=("table_name", "source_file"))
+
+
 def _doi_sql(c: str) -> str:
     """canonical_doi in DuckDB's SQL."""
     blanks, dashes, tail = r"[\s\x{00AD}\x{00A0}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{2060}\x{3000}\x{FEFF}]+", r"[\x{2010}-\x{2015}\x{2212}]", r"""[.,;:"<>\]}?!]+$"""
@@ -51,6 +59,10 @@ with u as (select 'bib_reference' as table_name, ref_row_id as id, source_file,
   union all select 'matches', match_id, source_file, {_doi_sql('matched_doi')} from matches),
 w as (select table_name, min(id) over (partition by table_name, source_file, k) as keep_id, id as dup_id from u where k is not null and source_file is not null)
 select * from w where dup_id > keep_id"""
+ORACLES["p5_collapsed_files"] = f"""
+with u as (select 'bib_reference' as table_name, ref_row_id as id, source_file, {_doi_sql('doi')} as k from bib_reference
+  union all select 'matches', match_id, source_file, {_doi_sql('matched_doi')} from matches)
+select table_name, source_file, k as canonical_key, min(id) as keep_id, count(*) as n_copies from u where k is not null and source_file is not null group by 1, 2, 3"""
 ORACLES["p5_collapsed"] = f"select {_doi_sql('doi')} as canonical_key, min(ref_row_id) as keep_id, count(*) as n_copies from bib_reference where {_doi_sql('doi')} is not null group by 1"
 
 

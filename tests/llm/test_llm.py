@@ -136,6 +136,14 @@ def test_duplicates(spark, hot):
     assert c.agg(F.sum("n_copies")).first()[0] == 61 and c.where("canonical_key = '10.1/hot'").first().keep_id == 0
 
 
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_collapsed_within_files_of_both_tables(spark, hot):
+    rows = [("bib_reference", "f", 1, "10.1/a"), ("bib_reference", "f", 2, "doi:10.1/A"), ("bib_reference", "g", 3, "10.1/a"), ("matches", "f", 1, "10.1/a"), ("matches", "f", 2, "10.1/a"), ("matches", None, 3, "10.1/a"), ("matches", "g", 4, None)]
+    df = spark.createDataFrame(rows, "table_name string, source_file string, id bigint, d string")
+    got = hotdedup.collapsed(df, "id", hotdedup.canonical_doi(F.col("d")), hot_rows=hot, within=("table_name", "source_file"))
+    assert sorted(map(tuple, got.collect())) == [("bib_reference", "f", "10.1/a", 1, 2), ("bib_reference", "g", "10.1/a", 3, 1), ("matches", "f", "10.1/a", 1, 2)]
+
+
 def test_entity_match(spark):
     bib = spark.createDataFrame([(1, None, "Deep lakes of Valonidex: II. Results", "Krülbman, A.", "2001", "17", "x"), (2, ".", "Deep laeks of Valonidex", "Krulbman", "2002", "", "x"), (3, "10.1/x", "Deep lakes of Valonidex", "Krülbman", "2001", "17", "x"), (4, "", "Deep lakes of Gepronisax", "Other", "1990", "5", "x"), (5, None, None, None, None, None, "x"), (6, None, "Deep lakes of Valonidex", "Krülbman", "1987", "400", "x")], "ref_row_id bigint, doi string, article_title string, first_author_lastname string, year string, first_page string, br string")
     kg = spark.createDataFrame([("br/1", "Deep Lakes of Valonidex (II)", "2001-05", "Krülbman", "17"), ("br/1", "Deep Lakes of Valonidex (II)", "2001-05", "Second", "17"), *[(f"br/{i}", f"Shallow soil in Mogilox{i} and more", "1999", f"Name{i}", str(i)) for i in range(10, 40)], ("br/9", None, None, None, None)], "br string, title string, pub_date string, author_name string, start_page string")
