@@ -177,6 +177,28 @@ def observed_predicates(spark, d):
     return p.select("br", F.array_join("a", ", ").alias("predicates"))
 
 
+# the same of all resources
+
+
+@query(f"with {X.KG_SQL} select br, 'dcterms:title' as p, title as o from kg union all select br, 'prism:publicationDate', pub_date from kg union all select br, 'datacite:hasIdentifier', 'id/' || br from kg union all select br, 'pro:isDocumentContextFor', 'ar/' || br from kg union all select br, 'frbr:partOf', 'issue/' || br from kg union all select br, 'frbr:embodiment', 're/' || br from kg")
+def unnest_props_all(spark, d):
+    g = _kg(spark, d)
+    return graph.properties(graph.to_triples(g), g)
+
+
+@query(f"with {X.KG_SQL} select br, title as \"dcterms:title\", pub_date as \"prism:publicationDate\" from kg")
+def pivot_properties_all(spark, d):
+    g = _kg(spark, d)
+    return evaluate.pivoted(graph.properties(graph.to_triples(g), g), ["dcterms:title", "prism:publicationDate"])
+
+
+@query(f"with {X.KG_SQL} select br, array_to_string(list_sort(['dcterms:title','prism:publicationDate','datacite:hasIdentifier','pro:isDocumentContextFor','frbr:partOf','frbr:embodiment']), ', ') as predicates from kg")
+def observed_predicates_all(spark, d):
+    g = _kg(spark, d)
+    p = graph.properties(graph.to_triples(g), g).groupBy("br").agg(F.array_sort(F.collect_set("p")).alias("a"))
+    return p.select("br", F.array_join("a", ", ").alias("predicates"))
+
+
 # ---- candidates, one query a strategy
 
 

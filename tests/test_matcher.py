@@ -129,3 +129,11 @@ def test_authors_and_literals_of_all_rows(spark, tmp_path):
     assert got == {i: author(v) for i, v in enumerate(WIDE)}
     got = {r[0]: r[1] for r in matching.QUERIES["clean_literal_all"](spark, str(tmp_path)).collect()}
     assert got == {i: literal(v) for i, v in enumerate(WIDE)}
+
+
+@pytest.mark.parametrize(("name", "rows"), [("unnest_props_all", 6), ("pivot_properties_all", 1), ("observed_predicates_all", 1)])
+def test_properties_of_all_resources(spark, name, rows):
+    d = "/root/testdata/sf0.001"
+    got = matching.QUERIES[name](spark, d)
+    n = spark.read.parquet(f"{d}/orders.parquet").count()
+    assert got.count() == rows * n and got.select("br").distinct().count() == n
