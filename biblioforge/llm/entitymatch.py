@@ -1,69 +1,104 @@
 """References and graph resources that are the same publication, without a common key.
 
-Retrieval is BM25 over one inverted index of all attributes: words of the title and the ends of long ones,
-authors, year, first page, and year and author each with the page. A term occurs once or not at all in a
-field and fields have no length to correct for, so BM25 comes down to the sum of the weights
-``field weight x idf`` of the shared terms.
-
-Pruning is exact: a pair counts only from ``KEEP`` of the score the query can reach with the fields that the
-resource has; a resource without page is not judged by terms of the page. The commonest terms
-of a query whose weights together stay below that bound can't make a pair count alone, so postings are
-joined for the other, rarer terms only; what a pair could still gain from the commonest bounds it before
-the full score is taken. No pair above the bound is lost, and no posting list of a hot author is read.
-
-A pair of one query's best candidate must also be among the best of the resource (mutual nearest, up to a
-tolerance, since one work is cited many times), and gets its confidence by logistic calibration of score
-and score gap. An exact check follows: numbered parts, years and pages that contradict tell reprints and
-other parts apart.
+Retrieval is BM25 over one inverted index of titles' words, authors and years. Weights are counted over all
+resources: the table of terms with at least ``postings / FREQUENT`` postings, at most ``FREQUENT`` entries
+whatever the data, goes to every task; how often the rarer terms of queries occur comes by a join. A word that
+no resource has is expanded to the words of the index within two edits that share its first or last letters;
+without any it weighs as the rarest of the table: it speaks against a match, but is never probed.
+
+The index is cut into shards by what the final check asks for anyway: two known pages must be equal and two
+known years at most one apart. A query with a page reads its page's shard and the shards by year of resources
+without page; a query without page reads the shards by year. No posting list of a hot word or author is
+read whole, and nothing that could count is left out.
+
+Pruning is exact. A resource is retrieved from ``KEEP`` of the score that the query gives itself. A query's
+commonest terms, together below that bound, can't make a pair count alone, so only its other, rarer terms are
+probed (``essential``), and a pair stays while its partial score and all that the rest could add reach the
+bound. A sketch of 64 bits that every posting carries tells at once which of the query's terms the resource
+can't have, which drops most pairs before they are shuffled. The bound rises to what the query's best candidate has for sure (k = 1), less ``GAP``, as a runner-up
+further below no longer changes the confidence: first after the shards by page, then over all candidates.
+What is left is scored in full.
+
+The test for mutual nearest runs within a citing file, as a file cites a work once: of its references that
+have the same resource as their best, the nearest one is taken. Confidence is logistic in share, gap and
+agreement, fitted on at most ``LABELLED`` references that do have a DOI known to the graph. An exact check
+follows: pages, years or numbered parts that contradict tell reprints and other parts apart.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from . import lookalike, mojibake, namelink
-
-KEEP = 0.55  # share of a pair's reachable score from which it counts
-MUTUAL = 0.6  # of the resource's best share
-TOP_K = 3
-#: Weights of the fields' terms. Years and pages tell little alone and much together with the page or author.
-WEIGHTS = {"t": 1.0, "e": 0.5, "f": 0.5, "a": 0.7, "y": 0.5, "p": 0.3, "u": 1.0, "v": 1.0}
-#: Fields that a resource needs for a term: 1 page, 2 year, 4 authors.
-NEEDS = {"t": 0, "e": 0, "f": 0, "a": 4, "y": 2, "p": 1, "u": 3, "v": 5}
-#: Logistic calibration (intercept, share of own score, gap to the runner-up, agreeing attributes), set by hand
-#: so that pairs with only a title template in common stay below one half.
-CALIBRATION = (-9.0, 12.0, 4.0, 1.0)
+from . import hotdedup, lookalike, mojibake, namelink
+
+K1, B = 1.2, 0.2
+WEIGHTS = {"t": 1.0, "a": 0.7, "y": 0.5}
+FREQUENT = 50_000  # most terms whose weights are told apart; bounds what is broadcast
+LABELLED = 3_000  # most references with DOI from which the confidence is fitted
+LABELLED_CANDIDATES = 12  # of each in the fit
+#: Share of the score that a query gives itself from which a resource is retrieved: with an equal page, and without one.
+KEEP_PAGE, KEEP_OTHER = 0.5, 0.75
+GAP = 0.25  # shares by which a runner-up can lie below the best and still change the confidence
 MIN_CONFIDENCE = 0.5
+SCALE = 1000  # of bounds as whole numbers
+CHEAP = 500  # postings of a term over all pages that are probed in a page's shard although the bound doesn't ask for it
+
+FEATURES = ("one", "share", "gap", "title", "back", "miss", "mass", "page", "year", "near", "author", "stranger", "parts")
+#: Coefficients where there are too few labelled pairs, and the centre of the fit's penalty.
+PRIOR = np.array([-14.0, 2.0, 8.0, 8.0, 3.0, -6.0, 1.5, 4.0, 2.0, 0.5, 2.0, -3.0, -2.0])
+RIDGE = 0.05
 
 _WORD = re.compile(r"[^\W_]+")
-_DECOR = re.compile(r"\(n\s*≥\s*\d+\)\s*†|[§√]\s*\d+|[‰†‡]|&\s*beyond")
-_PART = re.compile(r"(?::\s*([ivx]+)\.\s*\w+|\bpart\s+([ivx]+|\d+)|\(([ivx]+|\d+)\)|\s([ivx]+|\d{1,2}))\s*[.…]*\s*$")
+_PART = re.compile(r"(?::\s*([ivx]+)\.\s*\w+|\bpart\s+([ivx]+|\d+)|\(([ivx]+|\d+)\)|(?<=[\w,:;.])\s([ivx]+|\d{1,2}))\s*[.…]*\s*$")
+_TAIL = re.compile(r"(?:\s*\([^()]*[^\w\s()'’.,-][^()]*\)|\s+[^\w\s()]+)\s*$")  # signs at the end, or a bracket that holds some
+_TAG = re.compile(r"<[^<>]{1,20}>")
 _ROMAN = {r: i for i, r in enumerate(("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"), 1)}
+_HAN = re.compile("[぀-ヿ㐀-鿿가-힣]")
 
 
 def clean_title(s: str | None) -> tuple[str, int]:
     """(folded words of a title without its part, number of the part or 0)."""
     if not s:
         return "", 0
-    s = mojibake.repair(s)[0] if not s.isascii() or "&" in s else s
-    s = re.sub(r"\s+", " ", re.sub(r"<[^<>]{1,20}>", "", html.unescape(s))).lower()
-    s = _DECOR.sub(" ", s).strip(" .")
+    if "&" in s:
+        s = html.unescape(s)
+    if "<" in s:
+        s = _TAG.sub("", s)
+    s = " ".join(s.lower().split()).strip(" .")
+    while (n := _TAIL.sub("", s)) != s and n:
+        s = n
     part = 0
-    if m := _PART.search(s):
+    if m := _PART.search(s[-40:] if len(s) > 40 else s):
         p = next(g for g in m.groups() if g)
-        n = _ROMAN.get(p) or (int(p) if p.isdigit() else 0)
-        if n and m.start() > 8:
-            part, s = n, s[: m.start()]
+        n, at = _ROMAN.get(p) or (int(p) if p.isdigit() else 0), m.start() + max(0, len(s) - 40)
+        if n and at > 8:
+            part, s = n, s[:at]
     return " ".join(_WORD.findall(namelink.fold(s))), part
 
 
+def words_of(title: str) -> dict[str, int]:
+    """Different words with their counts; scripts without blanks give pairs of characters."""
+    out: list[str] = []
+    for w in title.split():
+        if len(w) > 2 and not w.isascii() and _HAN.search(w):
+            out += [w[i : i + 2] for i in range(len(w) - 1)]
+        elif len(w) > 1:
+            out.append(w)
+    return Counter(out)
+
+
 def year_of(s: str | None) -> int | None:
     m = re.search(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", s or "")
     return int(m[1]) if m else None
@@ -71,174 +106,407 @@ def year_of(s: str | None) -> int | None:
 
 def page_of(s: str | None) -> str | None:
     m = re.search(r"[a-z]?\d+", (s or "").lower())
-    return m[0].lstrip("0") or None if m else None
+    return m[0].lstrip("e").lstrip("0") or None if m else None
+
 
+_RECORD = "words array<string>, tf array<int>, part int, year int, page string, authors array<string>, sketch bigint"
+_STRINGS = pa.list_(pa.string())
 
-def with_terms(df: DataFrame) -> DataFrame:
-    """Adds the terms of a record's attributes: a letter for the field, a colon, the value."""
-    tag = lambda c, f: F.transform(c, lambda x: F.concat(F.lit(f + ":"), x))
-    words = F.filter(F.split("title", " "), lambda w: F.length(w) > 1)
-    long = F.filter(words, lambda w: F.length(w) >= 8)
-    year, page = F.col("year").cast("string"), F.col("page")
-    one = lambda c, f: F.when(c.isNotNull(), F.array(F.concat(F.lit(f + ":"), c))).otherwise(F.array().cast("array<string>"))
-    both = F.when(page.isNotNull(), F.transform("authors", lambda x: F.concat(F.lit("v:"), x, F.lit(" "), page))).otherwise(F.array().cast("array<string>"))
-    parts = (tag(words, "t"), F.transform(long, lambda w: F.concat(F.lit("e:"), F.substring(w, 1, 5))), F.transform(long, lambda w: F.concat(F.lit("f:"), F.right(w, F.lit(5)))), tag(F.col("authors"), "a"), one(year, "y"), one(page, "p"), one(F.concat(year, F.lit(" "), page), "u"), both)
-    return df.withColumn("terms", F.array_distinct(F.concat(*parts)))
 
+def bit(term: str) -> int:
+    """A term's place in a record's sketch of 64 bits."""
+    return zlib.crc32(term.encode()) & 63
 
-_FIELDS = [("id", pa.string()), ("title", pa.string()), ("part", pa.int32()), ("year", pa.int32()), ("page", pa.string()), ("authors", pa.list_(pa.string()))]
-_SCHEMA = "id string, title string, part int, year int, page string, authors array<string>"
 
+def _sketch(words: list[str], authors: list[str], year: int | None) -> int:
+    out = 0
+    for s in (*(f"t:{w}" for w in words), *(f"a:{a}" for a in authors), f"y:{year}"):
+        out |= 1 << bit(s)
+    return out - (1 << 64) if out >> 63 else out
 
-def _read(df: DataFrame, id_col: Column, title: Column, authors: Column, year: Column, page: Column) -> DataFrame:
-    """Attributes in comparable form with their terms. ``authors`` is an array."""
+
+def _read(df: DataFrame, title: str, authors: str, year: str, page: str, *others: str) -> DataFrame:
+    """``others`` and the attributes in comparable form. ``authors`` is an array."""
+    own = df.select(*others, F.col(title).alias("__title"), F.col(authors).alias("__authors"), F.col(year).alias("__year"), F.col(page).alias("__page"))
+    kinds = dict(own.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
         for b in batches:
-            titles = lookalike.normalise(b.column(1))[0].to_pylist()
-            raw = b.column(1).to_pylist()
-            rows = []
-            for i, t, t0, au, y, p in zip(b.column(0).to_pylist(), titles, raw, b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                if t0 and not t0.isascii() and mojibake.repair(t0)[1]:
-                    t = t0
-                title_, part = clean_title(t)
-                keys = []
-                for a in au or []:
-                    if a and a not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        n = lookalike.normalise(pa.array([a]))[0][0].as_py() if not a.isascii() else a
-                        r = namelink.parse(mojibake.repair(n)[0])
-                        known[a] = namelink.umlauts(r["key"]) if r else ""
-                    if a and known[a]:
-                        keys.append(known[a])
-                keys = list(dict.fromkeys(keys))
-                y_, p_ = year_of(y), page_of(p)
-                rows.append((i, title_, part, y_, p_, keys))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f[1]) for k, f in enumerate(_FIELDS)], names=[f[0] for f in _FIELDS])
-
-    return df.select(id_col.cast("string").alias("id"), title.alias("title"), authors.alias("authors"), year.alias("year"), page.alias("page")).where("id is not null").mapInArrow(run, _SCHEMA)
-
-
-def _similar(a: str, b: str) -> float:
-    """Share of the words of a title found in the other, typos allowed; a shortened title compares with the other's start."""
-    x, y = a.split(), b.split()
-    if not x or not y:
-        return 0.0
-    if len(y) < len(x):
-        x, y = y, x
-    got, left = 0.0, list(y)
-    for w in x:
-        if w in left:
-            got += len(w)
-            left.remove(w)
+            raw, au, ye, pg = (b.column(b.num_columns - 4 + i).to_pylist() for i in range(4))
+            titles = lookalike.normalise(b.column(b.num_columns - 4))[0].to_pylist()
+            if len(known) > 200_000:
+                known.clear()
+            new = list({a for x in au for a in x or () if a and a not in known})
+            for a, n in zip(new, lookalike.normalise(pa.array(new, pa.string()))[0].to_pylist() if new else ()):
+                r = namelink.parse(n if n.isascii() else mojibake.repair(n)[0])
+                known[a] = namelink.umlauts(r["key"]) if r else ""
+            words, tf, part, keys = [], [], [], []
+            for t, n, a in zip(raw, titles, au):
+                if t and not (t.isascii() and "+" not in t and "?" not in t):
+                    fixed, bad, _ = mojibake.repair(t)
+                    n = fixed if bad else n
+                c, p = clean_title(n)
+                w = words_of(c)
+                words.append(list(w))
+                tf.append(list(w.values()))
+                part.append(p)
+                keys.append(list(dict.fromkeys(k for x in a or () if x and (k := known[x]))))
+            years = list(map(year_of, ye))
+            cols = [pa.array(words, _STRINGS), pa.array(tf, pa.list_(pa.int32())), pa.array(part, pa.int32()), pa.array(years, pa.int32()), pa.array(map(page_of, pg), pa.string()), pa.array(keys, _STRINGS), pa.array(map(_sketch, words, keys, years), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-4], *cols], names=[*others, "words", "tf", "part", "year", "page", "authors", "sketch"])
+
+    return own.mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in others) + _RECORD)
+
+
+def read_refs(bib: DataFrame) -> DataFrame:
+    """References without DOI (null, blank or a lone mark) and with a title; null ids are left out."""
+    no_doi = F.col("doi").isNull() | ~F.col("doi").rlike(r"[\p{L}\p{N}]") | F.upper(F.trim("doi")).isin("N/A")
+    return _refs(bib.where(no_doi & F.col("article_title").rlike(r"\S")))
+
+
+def _refs(bib: DataFrame) -> DataFrame:
+    own = bib.where("ref_row_id is not null").select(
+        F.col("ref_row_id").cast("bigint").alias("id"), F.xxhash64("source_file").alias("file"), F.when(F.col("reference_id").isNull() | F.col("source_file").isNull(), F.xxhash64("ref_row_id")).otherwise(F.xxhash64("source_file", "reference_id")).alias("cited"),
+        "article_title", F.array("first_author_lastname").alias("authors"), "year", "first_page",
+    )
+    return _read(own, "article_title", "authors", "year", "first_page", "id", "file", "cited")
+
+
+def read_resources(kg: DataFrame) -> DataFrame:
+    """One record per resource, with all its authors."""
+    one = kg.where("br is not null").groupBy("br").agg(F.max("title").alias("title"), F.max("pub_date").alias("pub_date"), F.max("start_page").alias("start_page"), F.collect_set("author_name").alias("authors"))
+    return _read(one, "title", "authors", "pub_date", "start_page", "br")
+
+
+def read_labelled(bib: DataFrame, kg: DataFrame, most: int = LABELLED) -> DataFrame:
+    """At most ``most`` references whose DOI a resource has, with that resource as ``truth``; chosen by a hash."""
+    doi = hotdedup.canonical_doi(F.col("doi"))
+    some = bib.where(F.col("doi").contains("10.") & F.col("article_title").rlike(r"\S")).orderBy(F.xxhash64("ref_row_id", F.lit(3))).limit(2 * most).withColumn("__doi", doi)
+    truth = kg.where("br is not null and doi is not null").select(F.lower(F.trim("doi")).alias("__doi"), "br").join(F.broadcast(some.select("__doi").distinct()), "__doi", "left_semi")
+    got = store(some.join(F.broadcast(truth.groupBy("__doi").agg(F.min("br").alias("truth"))), "__doi").limit(most))  # at most 2 x most DOIs on either side
+    return _refs(got).join(F.broadcast(got.select(F.col("ref_row_id").cast("bigint").alias("id"), "truth")), "id")
+
+
+class Weights:
+    """BM25's statistics: resources, mean length, and by frequent term the weight and the greatest impact of a resource.
+
+    Of rarer terms a query brings its own counts along (``rare``); their greatest impact is that of any term.
+    """
+
+    def __init__(self, n: int, mean: float, least: float, frequent: dict[str, tuple[int, float]], most: float) -> None:
+        self.n, self.mean, self.most = n, mean, most
+        self.rare = self.idf(max(1.0, min(least, n)))
+        self.w = {s: (self.idf(k), m) for s, (k, m) in frequent.items()}
+
+    def idf(self, df: float) -> float:
+        return math.log1p((self.n - df + 0.5) / (df + 0.5)) if self.n else 0.0
+
+    def impact(self, tf: int, length: int) -> float:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def weights(self, terms: list[str], rare: list[dict] | None) -> list[tuple[float, list[tuple[str, float, float]]]]:
+        """(weight, [(term of the index, weight, the most that any resource can get)]) of a query's terms."""
+        own: dict[str, list[dict]] = {}
+        for r in rare or ():
+            own.setdefault(r["s"], []).append(r)
+        out = []
+        for s in terms:
+            most = self.most if s[0] == "t" else WEIGHTS[s[0]]
+            if (k := self.w.get(s)) is not None:
+                out.append((k[0], [(s, k[0], k[0] * k[1])]))
+            elif s in own:
+                found = [(r["v"], u, u * most) for r in own[s] for u in (self.idf(r["n"]) * r["f"],)]
+                out.append((max(u for _, u, _ in found), found))
+            else:
+                out.append((self.rare, []))
+        return out
+
+
+def _length() -> Column:
+    return F.aggregate("tf", F.lit(0), lambda a, x: a + x)
+
+
+def statistics(resources: DataFrame) -> Weights:
+    """Counted over all resources. At most ``FREQUENT`` terms can have that many postings, so their table is bounded."""
+    size = resources.agg(F.count(F.lit(1)), F.avg(_length()), F.sum(F.size("words") + F.size("authors") + F.col("year").isNotNull().cast("int"))).first()
+    n, mean, least = size[0], max(1.0, float(size[1] or 1)), int(size[2] or 0) / FREQUENT
+    x = _terms(resources.select("*", _length().alias("len")), "len").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.max(_impact(mean)).alias("most"))
+    x = x.groupBy(F.when(F.col("n") >= least, F.col("s")).alias("s")).agg(F.max("n"), F.max("most")).collect() if n else []
+    return Weights(n, mean, least, {r[0]: (r[1], r[2]) for r in x if r[0] is not None}, max((r[2] for r in x), default=1.0))
+
+
+def _with_rare(queries: DataFrame, resources: DataFrame, w: Weights) -> DataFrame:
+    """Adds ``rare``: for a query's terms ``s`` beside the frequent ones the same or near terms ``v`` of the index.
+
+    ``n`` is their number of resources, ``f`` the likeness of the spelling.
+    """
+    frequent = F.broadcast(queries.sparkSession.createDataFrame([(s,) for s in w.w], "s string"))
+    index = _terms(resources, "d").groupBy(F.col("s").alias("v")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    own = _terms(queries, "q").join(frequent, "s", "left_anti").select("q", "s").join(index.withColumnRenamed("v", "s"), "s", "left")
+    size = F.length("s") - 2
+    ends = lambda c, n: F.array(F.xxhash64(F.lit(0), F.substring(c, 3, n)), F.xxhash64(F.lit(1), F.right(c, F.lit(n))))
+    keys = lambda c, size: F.explode(F.when(size >= 8, ends(c, 5)).otherwise(ends(c, 2)))
+    missing = own.where(F.col("n").isNull() & F.col("s").startswith("t:") & (size >= 5)).select("s").distinct().select("s", keys("s", size).alias("key"))
+    words = index.where(F.col("v").startswith("t:") & (F.length("v") >= 6)).select("v", "n", keys("v", F.length("v") - 2).alias("key"))
+    apart = F.levenshtein("s", "v", 2)
+    near = missing.join(words, "key").where(F.abs(F.length("s") - F.length("v")) <= 2).withColumn("e", apart)
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    near = near.where((F.col("e") == 1) | (F.col("e") == 2) & ((size >= 8) | (letters("s") == letters("v")))).select("s", "v", "n", (1 - F.col("e") / size).alias("f")).distinct()
+    same = own.where("n is not null").select("q", "s", F.col("s").alias("v"), "n", F.lit(1.0).alias("f"))
+    other = own.where("n is null").select("q", "s").join(near, "s").select("q", "s", "v", "n", "f")
+    return queries.join(same.unionByName(other).groupBy("q").agg(F.collect_list(F.struct("s", "v", "n", "f")).alias("rare")), "q", "left")
+
+
+def _impact(mean: float) -> Column:
+    """What a resource gets for a term of weight 1."""
+    tf, field = F.col("tf"), F.substring("s", 1, 1)
+    return F.when(field == "t", tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean)) * WEIGHTS["t"]).when(field == "a", WEIGHTS["a"]).otherwise(WEIGHTS["y"])
+
+
+def _terms(df: DataFrame, *others: str) -> DataFrame:
+    """(others..., s, tf): one row a term; ``s`` is a letter for the field, a colon, the value; tf is 0 beside titles."""
+    word = F.posexplode("words").alias("__i", "__w")
+    t = df.select(*others, "tf", word).select(*others, F.concat(F.lit("t:"), "__w").alias("s"), F.get("tf", F.col("__i")).alias("tf"))
+    a = df.select(*others, F.explode(F.array_distinct("authors")).alias("__a")).select(*others, F.concat(F.lit("a:"), "__a").alias("s"), F.lit(0).alias("tf"))
+    y = df.where("year is not null").select(*others, F.concat(F.lit("y:"), F.col("year").cast("string")).alias("s"), F.lit(0).alias("tf"))
+    return t.unionByName(a).unionByName(y)
+
+
+#: Shards: resources by page; all by year, for queries without page; those without page by year.
+_PAGE, _ALL, _PAGELESS = 1, 2, 3
+_NO_YEAR, _ANY_YEAR = -1, -2
+
+
+def _keyed(shard: int, v: Column) -> Column:
+    return F.xxhash64("h", F.lit(shard), v)
+
+
+def _postings(resources: DataFrame, w: Weights, paged: bool) -> DataFrame:
+    """(key, d, imp, sketch) of the index of the shards by page, or of the others; a key is a term within a shard."""
+    x = _terms(resources.select("*", _length().alias("len")), "d", "page", "year", "len", "sketch")
+    x = x.select("d", "sketch", "page", F.coalesce("year", F.lit(_NO_YEAR)).alias("y"), _impact(w.mean).cast("float").alias("imp"), F.xxhash64("s").alias("h"))
+    if paged:
+        return x.where("page is not null").select("d", "imp", "sketch", _keyed(_PAGE, F.hash("page")).alias("key"))
+    near = F.when(F.col("y") != _NO_YEAR, F.array(*[_keyed(_PAGELESS, F.col("y") + k) for k in (-1, 0, 1)])).otherwise(F.array(_keyed(_PAGELESS, F.lit(_NO_YEAR))))
+    keys = F.when(F.col("page").isNotNull(), F.array(_keyed(_ALL, F.col("y")))).otherwise(F.concat(F.array(_keyed(_ALL, F.col("y")), _keyed(_PAGELESS, F.lit(_ANY_YEAR))), near))
+    return x.select("d", "imp", "sketch", F.explode(keys).alias("key"))
+
+
+def essential(terms: list[tuple[str, float, float]], need: float, cheap: float) -> tuple[list[tuple[str, float]], float]:
+    """(terms to probe with their weights, what the rest can add). ``terms`` are (term, weight, most that a resource can get).
+
+    The rest is the commonest terms that together stay below ``need``; of these, terms of at least the weight
+    ``cheap`` are probed too.
+    """
+    rest, order = 0.0, sorted(terms, key=lambda t: (t[1], t[0]))
+    for i, t in enumerate(order):
+        if t[1] >= cheap or rest + t[2] >= need:
+            return [(x[0], x[1]) for x in order[i:]], rest
+        rest += t[2]
+    return [], rest
+
+
+def _probes(queries: DataFrame, w: Weights, paged: bool, years: list[int]) -> DataFrame:
+    """(q, key, w, need, rest, own, bounds): the probes of all queries, with the bits and bounds of all their terms.
+
+     ``queries`` has ``best``, the share that another resource has for sure.
+    """
+    cheap = w.idf(min(w.n, CHEAP)) if paged else math.inf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("q", "s", "page", "year", "w", "need", "rest", "own", "bounds")}
+            for q, words, tf, year, page, authors, rare, best in zip(*(b.column(i).to_pylist() for i in range(8))):
+                names = [*(f"t:{x}" for x in words), *(f"a:{a}" for a in authors), *[f"y:{year}"] * (year is not None)]
+                weights, n = w.weights(names, rare), sum(tf)
+                own = sum(u * (w.impact(tf[i], n) if i < len(tf) else 1.0) * WEIGHTS[s[0]] for i, (s, (u, _)) in enumerate(zip(names, weights)))  # the best of near words
+                need = max(KEEP_PAGE if paged else KEEP_OTHER, (best or 0.0) - GAP) * own
+                found = [x for _, y in weights for x in y]
+                probes, rest = essential(found, need, cheap)
+                bounds = [bit(v) << 24 | min(math.ceil(m * SCALE), (1 << 24) - 1) for v, _, m in found]
+                for s, u in probes:
+                    for k, v in zip(out, (q, s, page, year, u, need, rest, own, bounds)):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int32())))], names=list(out))
+
+    rows = queries.select("q", "words", "tf", "year", "page", "authors", "rare", "best").mapInArrow(run, "q bigint, s string, page string, year int, w float, need float, rest float, own float, bounds array<int>")
+    rows = rows.withColumn("h", F.xxhash64("s"))
+    year, none = F.col("year"), F.lit(_NO_YEAR)
+    if paged:
+        keys = F.array(_keyed(_PAGE, F.hash("page")))
+    else:
+        every = F.transform(F.array(*[F.lit(y) for y in [*years, _NO_YEAR]]), lambda y: _keyed(_ALL, y))  # the resources' years, a few hundred at most
+        keys = F.when(F.col("page").isNotNull(), F.when(year.isNull(), F.array(_keyed(_PAGELESS, F.lit(_ANY_YEAR)))).otherwise(F.array(_keyed(_PAGELESS, year), _keyed(_PAGELESS, none)))).otherwise(
+            F.when(year.isNull(), every).otherwise(F.array(*[_keyed(_ALL, v) for v in (year - 1, year, year + 1, none)]))
+        )
+    return rows.select("q", "w", "need", "rest", "own", "bounds", F.explode(keys).alias("key"))
+
+
+def _candidates(queries: DataFrame, resources: DataFrame, w: Weights, small: bool = False) -> DataFrame:
+    """(q, d) that can be a query's best or its runner-up. ``small`` tells that the queries are a bounded sample.
+
+    The shards by page come first: what they give for sure raises the bound for the others.
+    """
+    years = [r[0] for r in resources.where("year is not null").select("year").distinct().collect()]  # 600 at most, see year_of
+
+    def met(queries: DataFrame, paged: bool) -> DataFrame:
+        probes = _probes(queries, w, paged, years)
+        probes = F.broadcast(probes) if small else probes
+        # a resource's sketch bounds what it can have of a query's terms before any pair is shuffled
+        there = lambda b: F.getbit("sketch", F.shiftright(b, 24)).cast("int") * b.bitwiseAND(F.lit((1 << 24) - 1))
+        reach = F.aggregate("bounds", F.lit(0).cast("bigint"), lambda a, b: a + there(b))
+        x = _postings(resources, w, paged).join(probes, "key").where(reach + 1 >= F.col("need") * SCALE).groupBy("q", "d").agg(F.sum(F.col("w") * F.col("imp")).alias("s"), *[F.max(c).alias(c) for c in ("need", "rest", "own")])
+        return x.where(F.col("s") + F.col("rest") >= F.col("need") - 1e-3).select("q", "d", (F.col("s") / F.col("own")).cast("float").alias("low"), ((F.col("s") + F.col("rest")) / F.col("own")).cast("float").alias("high"))
+
+    first = store(met(queries.where("page is not null").withColumn("best", F.lit(0.0)), True))
+    sure = first.groupBy("q").agg(F.max("low").cast("double").alias("best"))
+    both = first.unionByName(met(queries.join(sure, "q", "left"), False))
+    return both.withColumn("best", F.max("low").over(Window.partitionBy("q"))).where(F.col("high") >= F.col("best") - GAP - 1e-3).select("q", "d")
+
+
+def _soft(x: list[str], y: list[str], weight: dict[str, float]) -> tuple[float, float]:
+    """(share of the weight of the words of ``x`` found in ``y``, near spellings in part; greatest weight that is missing)."""
+    have, own = set(y), set(x)
+    total = got = miss = 0.0
+    free = None
+    for t in x:
+        u = weight[t]
+        total += u
+        if t in have:
+            got += u
             continue
+        if free is None:
+            free = [v for v in y if v not in own]
         best = 0.0
-        for v in left:
-            if len(w) > 3 and abs(len(v) - len(w)) <= 2 and w[:1] + w[-1:] and namelink.edit(w, v, 2) <= (1 if len(w) < 8 else 2):
-                best, hit = float(len(w)) * 0.9, v
-                break
-        if best:
-            left.remove(hit)
-            got += best
-        elif len(w) >= 8 and w == max(x, key=len):
-            return 0.0  # the word that tells the title from its like is another
-    return got / sum(map(len, x))
-
-
-def compare(q: dict, d: dict) -> tuple[float, int, bool]:
-    """(title similarity, agreeing attributes, whether nothing contradicts)."""
-    sim = _similar(q["title"], d["title"])
-    year = None if q["year"] is None or d["year"] is None else abs(q["year"] - d["year"])
-    page = None if not q["page"] or not d["page"] else q["page"].lstrip("e") == d["page"].lstrip("e")
-    author = None
-    if q["authors"] and d["authors"]:
-        author = any(x == y or namelink.edit(x, y, 1) <= 1 or len(x) > 6 and (x in y or y in x) for x in q["authors"] for y in d["authors"])
-    agree = (year is not None and year <= 1) + bool(page) + bool(author)
-    contra = page is False or year is not None and year > 1 or q["part"] and d["part"] and q["part"] != d["part"]
-    generic = min(len(q["title"]), len(d["title"])) < 20
-    contra = contra or author is False and page is not True and (generic or sim < 0.97)
-    enough = agree >= 3 if generic else agree >= 1 or sim >= 0.97
-    return sim, agree, not contra and enough and sim >= (0.95 if generic else 0.72)
+        if len(t) > 3:
+            for v in free:
+                if abs(len(v) - len(t)) <= 2 and (t[0] == v[0] or t[-1] == v[-1]) and (e := namelink.edit(t, v, 2)) <= 2:
+                    best = max(best, 1 - e / len(t))
+        got += u * best
+        miss = max(miss, u * (1 - best))
+    return (got / total if total else 0.0), miss
 
 
-def matched(refs: DataFrame, resources: DataFrame, keep: float = KEEP, top_k: int = TOP_K) -> DataFrame:
-    """(ref id, resource id, confidence, share, gap) of pairs that are the same publication.
+def measure(q: dict, d: dict, w: Weights) -> tuple[float, float, float, float, float, float, int, int, int, bool]:
+    """(score, share, title, back, miss, mass, page, year, author, whether nothing contradicts) of a pair.
 
-    Both frames come from ``read_refs`` and ``read_resources``. Records without any term match nothing;
-    repeated resources count once; ties in score keep every tied resource within the best ``top_k`` for the
-    exact check; empty tables give an empty result.
+    Agreements are 1, disagreements -1, unknown 0; for years 1 is equal and 2 one apart.
     """
-    q0, d0 = (store(x.withColumn("n", F.monotonically_increasing_id())) for x in (refs, resources))
-    has = F.col("page").isNotNull().cast("int") + 2 * F.col("year").isNotNull().cast("int") + F.when(F.size("authors") > 0, 4).otherwise(0)
-    d0 = d0.withColumn("c", has)
-    kinds = sorted(r[0] for r in d0.select("c").distinct().collect())  # 8 at most
-    weight = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v).cast("float"))])
-
-    def terms_of(df: DataFrame, name: str, *others: str) -> DataFrame:
-        return with_terms(df).select(F.col("n").alias(name), *others, F.explode("terms").alias("term")).select(name, *others, F.xxhash64("term").alias("h"), F.substring("term", 1, 1).alias("f"))
-
-    post = terms_of(d0, "d", "c")
-    n_docs = d0.count()
-    df = store(post.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("df"), F.first("f").alias("f")))
-    idf = lambda n, f: F.element_at(weight, f) * F.log1p((F.lit(float(n_docs)) - n + 0.5) / (n + 0.5))
-    terms = F.array_sort(F.collect_list(F.struct("df", "h", "f")))
-    need_of = F.create_map(*[F.lit(x) for kv in NEEDS.items() for x in kv])
-    own = terms_of(q0, "q").select("q", "h").join(df, "h").groupBy("q").agg(terms.alias("ts")).withColumn("ts", F.transform("ts", lambda t: F.struct(t["h"].alias("h"), idf(t["df"], t["f"]).cast("float").alias("w"), F.element_at(need_of, t["f"]).alias("m"))))
-    own = store(own)
-    fits = lambda t: t["m"].bitwiseAND(F.col("c")) == t["m"]
-    total = lambda ts: F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + t["w"])
-    # each query by the fields that resources have
-    by = own.withColumn("c", F.explode(F.array(*[F.lit(k) for k in kinds]).cast("array<int>"))).withColumn("ts", F.filter("ts", fits)).withColumn("need", keep * total("ts")).where("need > 0")
-    # rarest first; the tail whose weights sum to less than the bound is left out of the postings join
-    tail = F.aggregate(
-        F.reverse("ts"),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(True).alias("open")),
-        lambda acc, t: F.when(acc["open"] & (acc["sum"] + t["w"] < F.col("need")), F.struct((acc["sum"] + t["w"]).alias("sum"), (acc["n"] + 1).alias("n"), F.lit(True).alias("open"))).otherwise(F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), F.lit(False).alias("open"))),
-    )
-    head = F.slice("ts", F.lit(1), F.size("ts") - F.col("tail.n"))
-    ess = by.withColumn("tail", tail).select("q", "c", (F.col("need") - F.col("tail.sum")).cast("float").alias("need"), F.explode(head).alias("t")).select("q", "c", "need", F.col("t.h").alias("h"), F.col("t.w").alias("w"))
-    met = ess.join(post.select("d", "c", "h"), ["h", "c"]).groupBy("q", "d").agg(F.sum("w").alias("s"), F.first("need").alias("need")).where(F.col("s") >= F.col("need") - 1e-4).select("q", "d")
-    # full scores of what is left
-    qa = q0.select(F.col("n").alias("q"), F.col("id").alias("ref_id"), F.struct("title", "part", "year", "page", "authors").alias("qa"))
-    da = d0.select(F.col("n").alias("d"), F.col("id").alias("br"), F.struct("title", "part", "year", "page", "authors").alias("da"))
-    # pairs carry narrow arrays only; attributes join what is left at the end
-    short = lambda h: F.hash(h)
-    dh = with_terms(d0).select(F.col("n").alias("d"), "c", F.transform("terms", lambda x: short(F.xxhash64(x))).alias("dh"))
-    qs = own.select("q", F.transform("ts", lambda t: F.struct(short(t["h"]).alias("h"), t["w"].alias("w"), t["m"].alias("m"))).alias("ts"))
-    cand = met.join(dh, "d").join(qs, "q").withColumn("ts", F.filter("ts", fits))
-    full = cand.withColumn("share", total(F.filter("ts", lambda t: F.array_contains("dh", t["h"]))) / total("ts")).where(F.col("share") >= keep - 1e-4).select("q", "d", "share")
-    full = full.withColumn("rank", F.rank().over(Window.partitionBy("q").orderBy(F.desc("share")))).where(F.col("rank") <= top_k).drop("rank").join(da, "d").join(qa, "q")
-    return _decide(full)
-
-
-def _decide(full: DataFrame) -> DataFrame:
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.to_pydict()
-            rows = [compare(q, d) for q, d in zip(x["qa"], x["da"])]
-            yield pa.RecordBatch.from_arrays([b.column("ref_id"), b.column("br"), b.column("share"), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.bool_())], names=["q", "d", "share", "sim", "agree", "ok"])
+    names = [f"t:{t}" for t in q["words"]] + [f"a:{a}" for a in q["authors"]] + [f"y:{q['year']}"]
+    known = w.weights(names, q["rare"])
+    u = [x for x, _ in known]
+    weight = {t: w.w.get(f"t:{t}", (w.rare,))[0] for t in d["words"]} | dict(zip(q["words"], u))
+    n, m, k = sum(q["tf"]), sum(d["tf"]), len(q["words"])
+    dt = dict(zip(d["words"], d["tf"]))
+    score = own = 0.0
+    for f, (x, found) in zip(q["tf"], known[:k]):
+        own += x * w.impact(f, n) * WEIGHTS["t"]
+        score += WEIGHTS["t"] * max((y * w.impact(dt[v[2:]], m) for v, y, _ in found if v[2:] in dt), default=0.0)
+    for a, x in zip(q["authors"], u[k:]):
+        own += x * WEIGHTS["a"]
+        score += x * WEIGHTS["a"] * (a in d["authors"])
+    year = 0
+    if q["year"] is not None:
+        own += u[-1] * WEIGHTS["y"]
+        if d["year"] is not None:
+            apart = abs(q["year"] - d["year"])
+            score += u[-1] * WEIGHTS["y"] * (apart == 0)
+            year = 1 if apart == 0 else 2 if apart == 1 else -1
+    page = 0 if not q["page"] or not d["page"] else 1 if q["page"] == d["page"] else -1
+    author = 0
+    if q["authors"] and d["authors"]:
+        author = 1 if any(x == y or namelink.edit(x, y, 1) <= 1 or len(x) > 6 and (x in y or y in x) for x in q["authors"] for y in d["authors"]) else -1
+    fits = page >= 0 and year >= 0 and not (q["part"] and d["part"] and q["part"] != d["part"])
+    mass = math.log1p(sum(weight[t] for t in q["words"]))
+    title, miss = _soft(q["words"], d["words"], weight)
+    back, _ = _soft(d["words"], q["words"], weight)
+    return score, score / own if own else 0.0, title, back, miss / w.rare if w.rare else 0.0, mass, page, year, author, fits
 
-    scored = full.select("ref_id", "br", "share", "qa", "da").mapInArrow(check, "q string, d string, share double, sim double, agree int, ok boolean")
-    w = Window.partitionBy("q")
-    best = scored.withColumn("top", F.max(F.when(F.col("ok"), F.col("share") + F.col("agree"))).over(w)).withColumn("second", F.coalesce(F.max(F.when(~F.col("ok"), F.col("share"))).over(w), F.lit(0.0)))
-    mine = best.where(F.col("ok") & (F.col("share") + F.col("agree") >= F.col("top")))
-    mutual = mine.withColumn("best_of_d", F.max("share").over(Window.partitionBy("d"))).where(F.col("share") >= MUTUAL * F.col("best_of_d"))
-    a, b, c, e = CALIBRATION
-    z = F.lit(a) + F.lit(b) * F.col("share") + F.lit(c) * (F.col("share") - F.col("second")) + F.lit(e) * F.col("agree")
-    return mutual.select("q", F.col("d").alias("br"), "share", (F.col("share") - F.col("second")).alias("gap"), "sim", "agree", (1 / (1 + F.exp(-z))).alias("confidence"))
 
+_MEASURES = ("score", "share", "title", "back", "miss", "mass", "page", "year", "author", "fits", "parts")
 
-def read_refs(bib: DataFrame) -> DataFrame:
-    """References without DOI (null, blank or a lone mark) and with a title."""
-    no_doi = F.col("doi").isNull() | ~F.col("doi").rlike(r"[\p{L}\p{N}]") | F.upper(F.trim("doi")).isin("N/A")
-    has = F.col("article_title").rlike(r"\S")
-    return _read(bib.where(no_doi & has), F.col("ref_row_id"), F.col("article_title"), F.array("first_author_lastname"), F.col("year"), F.col("first_page"))
 
+def _measured(pairs: DataFrame, queries: DataFrame, resources: DataFrame, w: Weights, small: bool = False) -> DataFrame:
+    """(q, d, br, measures) of candidate pairs."""
+    shared = pairs.sparkSession.sparkContext.broadcast(w)
+    fields = ("words", "tf", "part", "year", "page", "authors")
+    qs = queries.select("q", F.struct(*fields, "rare").alias("qa"))
+    qs = F.broadcast(qs) if small else qs
+    both = pairs.join(qs, "q").join(resources.select("d", "br", F.struct(*fields).alias("da")), "d")
 
-def read_resources(kg: DataFrame) -> DataFrame:
-    """One record per resource, with all its authors."""
-    one = kg.where("br is not null").groupBy("br").agg(F.max("title").alias("title"), F.max("pub_date").alias("pub_date"), F.max("start_page").alias("start_page"), F.collect_set("author_name").alias("authors"))
-    return _read(one, F.col("br"), F.col("title"), F.col("authors"), F.col("pub_date"), F.col("start_page"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(*measure(q, d, shared.value), (q["part"] > 0) != (d["part"] > 0)) for q, d in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            cols = [pa.array([r[i] for r in rows], pa.float32() if i < 6 else pa.int8() if i < 9 else pa.bool_()) for i in range(11)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["q", "d", "br", *_MEASURES])
+
+    return both.select("q", "d", "br", "qa", "da").mapInArrow(run, "q bigint, d bigint, br string, score float, share float, title float, back float, miss float, mass float, page tinyint, year tinyint, author tinyint, fits boolean, parts boolean")
+
+
+def _ranked(measured: DataFrame) -> DataFrame:
+    """Adds ``gap``: how far a candidate is above the best of the others, in shares, at most ``GAP``; negative below it, 0 for ties.
+
+    Candidates that contradict rank at half their share.
+    """
+    rank = F.col("share") * F.when(F.col("fits"), 1.0).otherwise(0.5)
+    by = Window.partitionBy("q").orderBy(F.desc("rank"), "d")
+    x = measured.withColumn("rank", rank).withColumn("nth", F.row_number().over(by)).withColumn("first", F.max("rank").over(Window.partitionBy("q"))).withColumn("second", F.max(F.when(F.col("nth") > 1, F.col("rank"))).over(Window.partitionBy("q")))
+    other = F.when(F.col("nth") == 1, F.coalesce("second", F.lit(0.0))).otherwise(F.col("first"))
+    return x.withColumn("gap", F.greatest(F.lit(-GAP), F.least(F.lit(GAP), F.col("rank") - other)))
+
+
+def _features() -> list[Column]:
+    page, year, author = F.col("page"), F.col("year"), F.col("author")
+    num = lambda c: c.cast("double")
+    return [F.lit(1.0), num(F.col("share")), num(F.col("gap")), num(F.col("title")), num(F.col("back")), num(F.col("miss")), num(F.col("mass")), num(page == 1), num(year == 1), num(year == 2), num(author == 1), num(author == -1), num(F.col("parts"))]
+
+
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge: float = RIDGE) -> np.ndarray:
+    """Coefficients of greatest likelihood, drawn towards ``prior``; without pairs the prior itself. Newton steps."""
+    w = prior.copy()
+    pull = np.full(len(prior), ridge)
+    for _ in range(25 if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - y) + pull * (w - prior)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 4 / max(1e-9, float(np.abs(step).max())))
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def calibrated(labelled: DataFrame, resources: DataFrame, w: Weights) -> np.ndarray:
+    """Coefficients fitted on the labelled references' candidates; both are bounded, see ``LABELLED``."""
+    queries = store(_with_rare(labelled.withColumn("q", F.col("id")), resources, w))
+    pairs = _ranked(_measured(_candidates(queries, resources, w, small=True), queries, resources, w, small=True)).where(F.col("fits") & (F.col("nth") <= LABELLED_CANDIDATES))
+    rows = pairs.join(F.broadcast(queries.select("q", "truth")), "q").select(F.array(*_features()).alias("x"), (F.col("br") == F.col("truth")).cast("int").alias("y")).collect()
+    return fit(np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], float))
+
+
+def matched(refs: DataFrame, resources: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """(id, br, share, gap, confidence) of pairs that are the same publication, each reference's best.
+
+    The frames come from ``read_refs``, ``read_resources`` and ``read_labelled``; without labelled ones, or
+    with few, the confidence rests on ``PRIOR``. Records without any term match nothing; equal records are
+    asked once; a reference with several equally good resources gets each of them, at a gap of 0; empty tables
+    give an empty result. Jobs run while the query is built: tables of both sides are stored, and the weights
+    and the fit are taken.
+    """
+    resources = store(resources.withColumn("d", F.monotonically_increasing_id()))
+    w = statistics(resources)
+    coefficients = calibrated(labelled, resources, w) if labelled is not None and w.n else PRIOR
+    fields = ("words", "tf", "part", "year", "page", "authors")
+    rows = store(refs.withColumn("sig", F.xxhash64(*fields)))
+    queries = store(rows.groupBy("sig").agg(F.first(F.struct(*fields)).alias("r")).select("sig", "r.*").withColumn("q", F.monotonically_increasing_id()))
+    sigs, queries = queries.select("q", "sig"), store(_with_rare(queries.drop("sig"), resources, w))
+    pairs = _ranked(_measured(_candidates(queries, resources, w), queries, resources, w)).where(F.col("fits") & (F.col("rank") == F.col("first")) & (F.col("share") >= F.when(F.col("page") == 1, KEEP_PAGE).otherwise(KEEP_OTHER) - 1e-3))
+    z = reduce(lambda a, b: a + b, [F.lit(float(c)) * x for c, x in zip(coefficients, _features())])
+    best = pairs.select("q", "br", "share", "gap", "title", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+    mine = rows.select("id", "file", "cited", "sig").join(sigs, "sig").join(best, "q").drop("q", "sig")
+    # mutual nearest within the citing file; rows of one citation that were delivered again stand together
+    near = F.struct("confidence", "share", "cited")
+    top = mine.groupBy("file", "br").agg(F.max(near).alias("top")).select("file", "br", F.col("top.cited").alias("cited"))
+    return mine.join(top, ["file", "br", "cited"]).select("id", "br", "share", "gap", "confidence")

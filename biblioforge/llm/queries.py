@@ -116,21 +116,21 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bib = _bib(spark, sf_dir, "ref_row_id", "doi", "article_title", "first_author_lastname", "year", "first_page")
-    return entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(table(spark, sf_dir, "kg_resource")))
+    bib = _bib(spark, sf_dir, "ref_row_id", "source_file", "reference_id", "doi", "article_title", "first_author_lastname", "year", "first_page")
+    kg = table(spark, sf_dir, "kg_resource")
+    return entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg), entitymatch.read_labelled(bib, kg))
 
 
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References without DOI and the resources that are the same publication."""
-    m = _matched(spark, sf_dir).where(F.col("confidence") >= entitymatch.MIN_CONFIDENCE)
-    return m.select(F.col("q").cast("bigint").alias("ref_row_id"), "br")
+    return _matched(spark, sf_dir).select(F.col("id").alias("ref_row_id"), "br")
 
 
 @query
 def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with score share, gap to the runner-up and confidence."""
-    return _matched(spark, sf_dir).select(F.col("q").cast("bigint").alias("ref_row_id"), "br", F.round("share", 4).alias("share"), F.round("gap", 4).alias("gap"), F.round("confidence", 4).alias("confidence"))
+    return _matched(spark, sf_dir).select(F.col("id").alias("ref_row_id"), "br", F.round("share", 4).alias("share"), F.round("gap", 4).alias("gap"), F.round("confidence", 4).alias("confidence"))
 
 
 @query

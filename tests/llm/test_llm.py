@@ -144,21 +144,75 @@ def test_collapsed_within_files_of_both_tables(spark, hot):
     assert sorted(map(tuple, got.collect())) == [("bib_reference", "f", "10.1/a", 1, 2), ("bib_reference", "g", "10.1/a", 3, 1), ("matches", "f", "10.1/a", 1, 2)]
 
 
+BIB = "ref_row_id bigint, source_file string, reference_id string, doi string, article_title string, first_author_lastname string, year string, first_page string"
+KG = "br string, title string, pub_date string, author_name string, start_page string"
+
+
 def test_entity_match(spark):
-    bib = spark.createDataFrame([(1, None, "Deep lakes of Valonidex: II. Results", "Krülbman, A.", "2001", "17", "x"), (2, ".", "Deep laeks of Valonidex", "Krulbman", "2002", "", "x"), (3, "10.1/x", "Deep lakes of Valonidex", "Krülbman", "2001", "17", "x"), (4, "", "Deep lakes of Gepronisax", "Other", "1990", "5", "x"), (5, None, None, None, None, None, "x"), (6, None, "Deep lakes of Valonidex", "Krülbman", "1987", "400", "x")], "ref_row_id bigint, doi string, article_title string, first_author_lastname string, year string, first_page string, br string")
+    rows = [(1, "f", "r1", None, "Deep lakes of Valonidex: II. Results", "Krülbman, A.", "2001", "17", "x"), (2, "g", "r1", ".", "Deep laeks of Valonidex", "Krulbman", "2002", "", "x"), (3, "h", "r1", "10.1/x", "Deep lakes of Valonidex", "Krülbman", "2001", "17", "x"), (4, "h", "r2", "", "Deep lakes of Gepronisax", "Other", "1990", "5", "x"), (5, None, None, None, None, None, None, None, "x"), (6, "h", None, None, "Deep lakes of Valonidex", "Krülbman", "1987", "400", "x")]
+    bib = spark.createDataFrame(rows, BIB + ", br string")
     kg = spark.createDataFrame([("br/1", "Deep Lakes of Valonidex (II)", "2001-05", "Krülbman", "17"), ("br/1", "Deep Lakes of Valonidex (II)", "2001-05", "Second", "17"), *[(f"br/{i}", f"Shallow soil in Mogilox{i} and more", "1999", f"Name{i}", str(i)) for i in range(10, 40)], ("br/9", None, None, None, None)], "br string, title string, pub_date string, author_name string, start_page string")
     got = entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg)).collect()
-    assert {(r.q, r.br) for r in got} == {("1", "br/1"), ("2", "br/1")} and all(0 <= r.confidence <= 1 for r in got)
+    assert {(r.id, r.br) for r in got} == {(1, "br/1"), (2, "br/1")} and all(0 <= r.confidence <= 1 for r in got)
     assert entitymatch.matched(entitymatch.read_refs(bib.limit(0)), entitymatch.read_resources(kg)).count() == 0
 
 
+WORDS = "deep lakes rivers and of growth wounds stems leaves erosion drought memory lipids toxins".split()
+
+
+def _brute(q: list[dict], d: list[dict], w: entitymatch.Weights) -> set[tuple[int, str]]:
+    """Pairs within GAP of their query's best above the bounds, by scoring every pair."""
+    out = set()
+    for x in q:
+        rows = []
+        for y in d:
+            _, share, *_, page, year, _, fits = entitymatch.measure(x, y, w)
+            if page >= 0 and year >= 0:
+                rows.append((share, page, y["d"]))
+        rows = [r for r in rows if r[0] >= (entitymatch.KEEP_PAGE if r[1] == 1 else entitymatch.KEEP_OTHER)]
+        top = max((r[0] for r in rows), default=0)
+        out |= {(x["q"], r[2]) for r in rows if r[0] >= top - entitymatch.GAP + 1e-3}
+    return out
+
+
+def test_retrieval_loses_nothing_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    title = lambda k: " ".join([*rng.choice(WORDS, 4), f"place{k}von"])
+    year = lambda: None if rng.random() < 0.2 else str(rng.integers(1990, 1994))
+    page = lambda: None if rng.random() < 0.4 else str(rng.integers(1, 6))
+    name = lambda: None if rng.random() < 0.1 else f"Zolkman{rng.integers(0, 5)}"
+    kg = [(f"br/{k}", title(k % 60), year(), name(), page()) for k in range(150)]
+    bib = []
+    for k in range(150):
+        t, y, a, p = kg[k][1], kg[k][2], kg[k][3], kg[k][4]
+        t = t.replace("von", "vn") if k % 7 == 0 else t
+        bib.append((k, f"f{k}", f"ref_{k}", None, t, a if k % 5 else name(), str(int(y) + 1) if y and k % 6 == 0 else y, p if k % 4 else None))
+    res = entitymatch.store(entitymatch.read_resources(spark.createDataFrame(kg, KG)).withColumn("d", F.monotonically_increasing_id()))
+    w = entitymatch.statistics(res)
+    w.w = {s: k for s, k in w.w.items() if not s.startswith("t:place")}  # the others' way is taken too
+    q = entitymatch.store(entitymatch._with_rare(entitymatch.read_refs(spark.createDataFrame(bib, BIB)).withColumn("q", F.col("id")), res, w))
+    got = {(r.q, r.d) for r in entitymatch._candidates(q, res, w).collect()}
+    want = _brute([r.asDict(recursive=True) for r in q.collect()], [r.asDict(recursive=True) for r in res.collect()], w)
+    assert len(want) > 100 and want <= got
+
+
+def test_fit_finds_coefficients_and_keeps_the_prior_without_pairs():
+    rng = np.random.default_rng(5)
+    x = np.c_[np.ones(2000), rng.random((2000, len(entitymatch.FEATURES) - 1))]
+    true = np.linspace(-2, 2, x.shape[1])
+    y = (rng.random(2000) < 1 / (1 + np.exp(-x @ true))).astype(float)
+    got = entitymatch.fit(x, y, np.zeros(x.shape[1]), 1e-6)
+    assert np.abs(1 / (1 + np.exp(-x @ got)) - 1 / (1 + np.exp(-x @ true))).mean() < 0.05
+    assert (entitymatch.fit(x[:0], y[:0]) == entitymatch.PRIOR).all()
+
+
 def test_page_of_other_works_costs_no_pageless_resource(spark):
-    bib = spark.createDataFrame([(1, None, "Deep lakes and rivers of Valonidex", "Krülbman", "2001", "17")], "ref_row_id bigint, doi string, article_title string, first_author_lastname string, year string, first_page string")
+    bib = spark.createDataFrame([(1, "f", "ref_1", None, "Deep lakes and rivers of Valonidex", "Krülbman", "2001", "17")], BIB)
     other = [(f"br/{i}", "Deep lakes and rivers of Valonidex", "1950", f"Name{i}", str(100 + i)) for i in range(10, 50)]
     hot = [("br/2", "Growth of wounds", "1990", "Krülbman", "17"), ("br/3", "Stems and leaves", "2001", "Other", "17")]
     kg = spark.createDataFrame([("br/1", "Deep lakes and rivers of Valonidex", "2001-05", "Krülbman", None), *hot, *other], "br string, title string, pub_date string, author_name string, start_page string")
     got = entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg)).collect()
-    assert [(r.q, r.br) for r in got] == [("1", "br/1")] and got[0].confidence >= entitymatch.MIN_CONFIDENCE
+    assert [(r.id, r.br) for r in got] == [(1, "br/1")] and got[0].confidence >= entitymatch.MIN_CONFIDENCE
 
 
 @settings(max_examples=30, deadline=None)
