@@ -96,7 +96,7 @@ def words_of(title: str) -> dict[str, int]:
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         elif len(w) > 1:
             out.append(w)
-    return Counter(out)
+    return Counter(out) if len(set(out)) < len(out) else dict.fromkeys(out, 1)
 
 
 def year_of(s: str | None) -> int | None:
@@ -125,7 +125,7 @@ def _sketch(words: list[str], authors: list[str], year: int | None) -> int:
     return out - (1 << 64) if out >> 63 else out
 
 
-def _read(df: DataFrame, title: str, authors: str, year: str, page: str, *others: str) -> DataFrame:
+def _read(df: DataFrame, title: str, authors: str, year: str, page: str, *others: str, sketched: bool = False) -> DataFrame:
     """``others`` and the attributes in comparable form. ``authors`` is an array."""
     own = df.select(*others, F.col(title).alias("__title"), F.col(authors).alias("__authors"), F.col(year).alias("__year"), F.col(page).alias("__page"))
     kinds = dict(own.dtypes)
@@ -153,7 +153,7 @@ def _read(df: DataFrame, title: str, authors: str, year: str, page: str, *others
                 part.append(p)
                 keys.append(list(dict.fromkeys(k for x in a or () if x and (k := known[x]))))
             years = list(map(year_of, ye))
-            cols = [pa.array(words, _STRINGS), pa.array(tf, pa.list_(pa.int32())), pa.array(part, pa.int32()), pa.array(years, pa.int32()), pa.array(map(page_of, pg), pa.string()), pa.array(keys, _STRINGS), pa.array(map(_sketch, words, keys, years), pa.int64())]
+            cols = [pa.array(words, _STRINGS), pa.array(tf, pa.list_(pa.int32())), pa.array(part, pa.int32()), pa.array(years, pa.int32()), pa.array(map(page_of, pg), pa.string()), pa.array(keys, _STRINGS), pa.array(map(_sketch, words, keys, years) if sketched else [None] * len(words), pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-4], *cols], names=[*others, "words", "tf", "part", "year", "page", "authors", "sketch"])
 
     return own.mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in others) + _RECORD)
@@ -176,7 +176,7 @@ def _refs(bib: DataFrame) -> DataFrame:
 def read_resources(kg: DataFrame) -> DataFrame:
     """One record per resource, with all its authors."""
     one = kg.where("br is not null").groupBy("br").agg(F.max("title").alias("title"), F.max("pub_date").alias("pub_date"), F.max("start_page").alias("start_page"), F.collect_set("author_name").alias("authors"))
-    return _read(one, "title", "authors", "pub_date", "start_page", "br")
+    return _read(one, "title", "authors", "pub_date", "start_page", "br", sketched=True)
 
 
 def read_labelled(bib: DataFrame, kg: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -185,7 +185,7 @@ def read_labelled(bib: DataFrame, kg: DataFrame, most: int = LABELLED) -> DataFr
     some = bib.where(F.col("doi").contains("10.") & F.col("article_title").rlike(r"\S")).orderBy(F.xxhash64("ref_row_id", F.lit(3))).limit(2 * most).withColumn("__doi", doi)
     truth = kg.where("br is not null and doi is not null").select(F.lower(F.trim("doi")).alias("__doi"), "br").join(F.broadcast(some.select("__doi").distinct()), "__doi", "left_semi")
     got = store(some.join(F.broadcast(truth.groupBy("__doi").agg(F.min("br").alias("truth"))), "__doi").limit(most))  # at most 2 x most DOIs on either side
-    return _refs(got).join(F.broadcast(got.select(F.col("ref_row_id").cast("bigint").alias("id"), "truth")), "id")
+    return _refs(got).join(F.broadcast(got.select(F.col("ref_row_id").cast("bigint").alias("id"), "truth").distinct()), "id")
 
 
 class Weights:
@@ -205,18 +205,19 @@ class Weights:
     def impact(self, tf: int, length: int) -> float:
         return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
-    def weights(self, terms: list[str], rare: list[dict] | None) -> list[tuple[float, list[tuple[str, float, float]]]]:
+    def weights(self, terms: list[str], rare: str | None) -> list[tuple[float, list[tuple[str, float, float]]]]:
         """(weight, [(term of the index, weight, the most that any resource can get)]) of a query's terms."""
-        own: dict[str, list[dict]] = {}
-        for r in rare or ():
-            own.setdefault(r["s"], []).append(r)
+        own: dict[str, list[tuple[str, float]]] = {}
+        for r in rare.split("\n") if rare else ():
+            s, v, n, f = r.split(" ")
+            own.setdefault(s, []).append((v, self.idf(int(n)) * float(f)))
         out = []
         for s in terms:
             most = self.most if s[0] == "t" else WEIGHTS[s[0]]
             if (k := self.w.get(s)) is not None:
                 out.append((k[0], [(s, k[0], k[0] * k[1])]))
             elif s in own:
-                found = [(r["v"], u, u * most) for r in own[s] for u in (self.idf(r["n"]) * r["f"],)]
+                found = [(v, u, u * most) for v, u in own[s]]
                 out.append((max(u for _, u, _ in found), found))
             else:
                 out.append((self.rare, []))
@@ -227,35 +228,50 @@ def _length() -> Column:
     return F.aggregate("tf", F.lit(0), lambda a, x: a + x)
 
 
-def statistics(resources: DataFrame) -> Weights:
-    """Counted over all resources. At most ``FREQUENT`` terms can have that many postings, so their table is bounded."""
+def statistics(resources: DataFrame) -> tuple[Weights, DataFrame]:
+    """(weights, (v, n) of all terms with their number of resources), counted over all resources.
+
+    At most ``FREQUENT`` terms can have the number of postings of a frequent one, so their table is bounded.
+    """
     size = resources.agg(F.count(F.lit(1)), F.avg(_length()), F.sum(F.size("words") + F.size("authors") + F.col("year").isNotNull().cast("int"))).first()
     n, mean, least = size[0], max(1.0, float(size[1] or 1)), int(size[2] or 0) / FREQUENT
-    x = _terms(resources.select("*", _length().alias("len")), "len").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.max(_impact(mean)).alias("most"))
-    x = x.groupBy(F.when(F.col("n") >= least, F.col("s")).alias("s")).agg(F.max("n"), F.max("most")).collect() if n else []
-    return Weights(n, mean, least, {r[0]: (r[1], r[2]) for r in x if r[0] is not None}, max((r[2] for r in x), default=1.0))
+    x = _terms(resources.select("*", _length().alias("len")), "len").groupBy(F.col("s").alias("v")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(_impact(mean)).alias("most"))
+    index = store(x)
+    rows = index.groupBy(F.when(F.col("n") >= least, F.col("v")).alias("v")).agg(F.max("n"), F.max("most")).collect() if n else []
+    return Weights(n, mean, least, {r[0]: (r[1], r[2]) for r in rows if r[0] is not None}, max((r[2] for r in rows), default=1.0)), index.select("v", "n")
 
 
-def _with_rare(queries: DataFrame, resources: DataFrame, w: Weights) -> DataFrame:
-    """Adds ``rare``: for a query's terms ``s`` beside the frequent ones the same or near terms ``v`` of the index.
+def _with_rare(queries: DataFrame, index: DataFrame, w: Weights) -> DataFrame:
+    """Adds ``rare``: for a query's terms beside the frequent ones the same or near terms of the index.
 
-    ``n`` is their number of resources, ``f`` the likeness of the spelling.
+    Each is a line of the query's term, the index's, its number of resources and the likeness of the spelling.
     """
     frequent = F.broadcast(queries.sparkSession.createDataFrame([(s,) for s in w.w], "s string"))
-    index = _terms(resources, "d").groupBy(F.col("s").alias("v")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     own = _terms(queries, "q").join(frequent, "s", "left_anti").select("q", "s").join(index.withColumnRenamed("v", "s"), "s", "left")
     size = F.length("s") - 2
     ends = lambda c, n: F.array(F.xxhash64(F.lit(0), F.substring(c, 3, n)), F.xxhash64(F.lit(1), F.right(c, F.lit(n))))
     keys = lambda c, size: F.explode(F.when(size >= 8, ends(c, 5)).otherwise(ends(c, 2)))
+    own = store(own)
     missing = own.where(F.col("n").isNull() & F.col("s").startswith("t:") & (size >= 5)).select("s").distinct().select("s", keys("s", size).alias("key"))
     words = index.where(F.col("v").startswith("t:") & (F.length("v") >= 6)).select("v", "n", keys("v", F.length("v") - 2).alias("key"))
-    apart = F.levenshtein("s", "v", 2)
-    near = missing.join(words, "key").where(F.abs(F.length("s") - F.length("v")) <= 2).withColumn("e", apart)
     letters = lambda c: F.array_sort(F.split(c, ""))
-    near = near.where((F.col("e") == 1) | (F.col("e") == 2) & ((size >= 8) | (letters("s") == letters("v")))).select("s", "v", "n", (1 - F.col("e") / size).alias("f")).distinct()
+    near = missing.join(words, "key").where(F.abs(F.length("s") - F.length("v")) <= 2).withColumn("e", F.levenshtein("s", "v", 2))
+    near = near.where((F.col("e") == 1) | (F.col("e") == 2) & ((size >= 8) | (letters("s") == letters("v")))).select("s", "v", "n", F.round(1 - F.col("e") / size, 4).alias("f")).distinct()
     same = own.where("n is not null").select("q", "s", F.col("s").alias("v"), "n", F.lit(1.0).alias("f"))
     other = own.where("n is null").select("q", "s").join(near, "s").select("q", "s", "v", "n", "f")
-    return queries.join(same.unionByName(other).groupBy("q").agg(F.collect_list(F.struct("s", "v", "n", "f")).alias("rare")), "q", "left")
+    lines = same.unionByName(other).groupBy("q").agg(F.array_join(F.collect_list(F.concat_ws(" ", "s", "v", "n", "f")), "\n").alias("rare"))
+    return queries.join(lines, "q", "left")
+
+
+def _flat(*others: str) -> list[Column | str]:
+    """A record's columns as plain text for Python: words, their counts where any is repeated, authors."""
+    counts = F.when(F.array_max("tf") > 1, F.array_join(F.col("tf").cast("array<string>"), " "))
+    return [*others, F.array_join("words", " ").alias("words"), counts.alias("tf"), "part", "year", "page", F.array_join("authors", " ").alias("authors")]
+
+
+def _record(words: str, tf: str | None, part: int, year: int | None, page: str | None, authors: str, rare: str | None = None) -> dict:
+    x = words.split()
+    return {"words": x, "tf": [int(k) for k in tf.split()] if tf else [1] * len(x), "part": part, "year": year, "page": page, "authors": authors.split(), "rare": rare}
 
 
 def _impact(mean: float) -> Column:
@@ -316,21 +332,24 @@ def _probes(queries: DataFrame, w: Weights, paged: bool, years: list[int]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("q", "s", "page", "year", "w", "need", "rest", "own", "bounds")}
-            for q, words, tf, year, page, authors, rare, best in zip(*(b.column(i).to_pylist() for i in range(8))):
-                names = [*(f"t:{x}" for x in words), *(f"a:{a}" for a in authors), *[f"y:{year}"] * (year is not None)]
-                weights, n = w.weights(names, rare), sum(tf)
+            out: dict[str, list] = {k: [] for k in ("s", "w", "need", "rest", "own", "bounds")}
+            for best, *record in zip(*(b.column(i).to_pylist() for i in range(1, 9))):
+                x = _record(*record)
+                names = [*(f"t:{t}" for t in x["words"]), *(f"a:{t}" for t in x["authors"]), *[f"y:{x['year']}"] * (x["year"] is not None)]
+                weights, tf = w.weights(names, x["rare"]), x["tf"]
+                n = sum(tf)
                 own = sum(u * (w.impact(tf[i], n) if i < len(tf) else 1.0) * WEIGHTS[s[0]] for i, (s, (u, _)) in enumerate(zip(names, weights)))  # the best of near words
                 need = max(KEEP_PAGE if paged else KEEP_OTHER, (best or 0.0) - GAP) * own
-                found = [x for _, y in weights for x in y]
+                found = [t for _, y in weights for t in y]
                 probes, rest = essential(found, need, cheap)
                 bounds = [bit(v) << 24 | min(math.ceil(m * SCALE), (1 << 24) - 1) for v, _, m in found]
-                for s, u in probes:
-                    for k, v in zip(out, (q, s, page, year, u, need, rest, own, bounds)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.float32()] * 4, pa.list_(pa.int32())))], names=list(out))
+                for k, v in zip(out, ([s for s, _ in probes], [u for _, u in probes], need, rest, own, bounds)):
+                    out[k].append(v)
+            cols = [pa.array(v, t) for v, t in zip(out.values(), (_STRINGS, pa.list_(pa.float32()), *[pa.float32()] * 3, pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(6), b.column(5), *cols], names=["q", "page", "year", *out])
 
-    rows = queries.select("q", "words", "tf", "year", "page", "authors", "rare", "best").mapInArrow(run, "q bigint, s string, page string, year int, w float, need float, rest float, own float, bounds array<int>")
+    rows = queries.select(*_flat("q", "best"), "rare").mapInArrow(run, "q bigint, page string, year int, s array<string>, w array<float>, need float, rest float, own float, bounds array<int>")
+    rows = rows.select("*", F.posexplode("s").alias("i", "t")).select("q", "page", "year", F.col("t").alias("s"), F.get("w", F.col("i")).alias("w"), "need", "rest", "own", "bounds")
     rows = rows.withColumn("h", F.xxhash64("s"))
     year, none = F.col("year"), F.lit(_NO_YEAR)
     if paged:
@@ -343,8 +362,8 @@ def _probes(queries: DataFrame, w: Weights, paged: bool, years: list[int]) -> Da
     return rows.select("q", "w", "need", "rest", "own", "bounds", F.explode(keys).alias("key"))
 
 
-def _candidates(queries: DataFrame, resources: DataFrame, w: Weights, small: bool = False) -> DataFrame:
-    """(q, d) that can be a query's best or its runner-up. ``small`` tells that the queries are a bounded sample.
+def _candidates(queries: DataFrame, resources: DataFrame, w: Weights) -> DataFrame:
+    """(q, d) that can be a query's best or its runner-up.
 
     The shards by page come first: what they give for sure raises the bound for the others.
     """
@@ -352,7 +371,6 @@ def _candidates(queries: DataFrame, resources: DataFrame, w: Weights, small: boo
 
     def met(queries: DataFrame, paged: bool) -> DataFrame:
         probes = _probes(queries, w, paged, years)
-        probes = F.broadcast(probes) if small else probes
         # a resource's sketch bounds what it can have of a query's terms before any pair is shuffled
         there = lambda b: F.getbit("sketch", F.shiftright(b, 24)).cast("int") * b.bitwiseAND(F.lit((1 << 24) - 1))
         reach = F.aggregate("bounds", F.lit(0).cast("bigint"), lambda a, b: a + there(b))
@@ -427,21 +445,24 @@ def measure(q: dict, d: dict, w: Weights) -> tuple[float, float, float, float, f
 _MEASURES = ("score", "share", "title", "back", "miss", "mass", "page", "year", "author", "fits", "parts")
 
 
-def _measured(pairs: DataFrame, queries: DataFrame, resources: DataFrame, w: Weights, small: bool = False) -> DataFrame:
+def _measured(pairs: DataFrame, queries: DataFrame, resources: DataFrame, w: Weights) -> DataFrame:
     """(q, d, br, measures) of candidate pairs."""
     shared = pairs.sparkSession.sparkContext.broadcast(w)
-    fields = ("words", "tf", "part", "year", "page", "authors")
-    qs = queries.select("q", F.struct(*fields, "rare").alias("qa"))
-    qs = F.broadcast(qs) if small else qs
-    both = pairs.join(qs, "q").join(resources.select("d", "br", F.struct(*fields).alias("da")), "d")
+    named = lambda df, *c: [F.col(x).alias(f"{c[0]}_{x}") if x not in c else F.col(x) for x in df.columns]
+    qs, ds = queries.select(*_flat("q"), "rare"), resources.select(*_flat("d", "br"))
+    both = pairs.join(qs.select(*named(qs, "q")), "q").join(ds.select(*named(ds, "d", "br")), "d")
+    order = [f"q_{c}" for c in ("words", "tf", "part", "year", "page", "authors", "rare")] + [f"d_{c}" for c in ("words", "tf", "part", "year", "page", "authors")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(*measure(q, d, shared.value), (q["part"] > 0) != (d["part"] > 0)) for q, d in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            rows = []
+            for x in zip(*(b.column(i).to_pylist() for i in range(3, 16))):
+                q, d = _record(*x[:7]), _record(*x[7:])
+                rows.append((*measure(q, d, shared.value), (q["part"] > 0) != (d["part"] > 0)))
             cols = [pa.array([r[i] for r in rows], pa.float32() if i < 6 else pa.int8() if i < 9 else pa.bool_()) for i in range(11)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["q", "d", "br", *_MEASURES])
 
-    return both.select("q", "d", "br", "qa", "da").mapInArrow(run, "q bigint, d bigint, br string, score float, share float, title float, back float, miss float, mass float, page tinyint, year tinyint, author tinyint, fits boolean, parts boolean")
+    return both.select("q", "d", "br", *order).mapInArrow(run, "q bigint, d bigint, br string, score float, share float, title float, back float, miss float, mass float, page tinyint, year tinyint, author tinyint, fits boolean, parts boolean")
 
 
 def _ranked(measured: DataFrame) -> DataFrame:
@@ -478,11 +499,10 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge: float =
     return w
 
 
-def calibrated(labelled: DataFrame, resources: DataFrame, w: Weights) -> np.ndarray:
+def _fitted(labelled: DataFrame, ranked: DataFrame) -> np.ndarray:
     """Coefficients fitted on the labelled references' candidates; both are bounded, see ``LABELLED``."""
-    queries = store(_with_rare(labelled.withColumn("q", F.col("id")), resources, w))
-    pairs = _ranked(_measured(_candidates(queries, resources, w, small=True), queries, resources, w, small=True)).where(F.col("fits") & (F.col("nth") <= LABELLED_CANDIDATES))
-    rows = pairs.join(F.broadcast(queries.select("q", "truth")), "q").select(F.array(*_features()).alias("x"), (F.col("br") == F.col("truth")).cast("int").alias("y")).collect()
+    x = ranked.where(F.col("fits") & (F.col("nth") <= LABELLED_CANDIDATES)).join(F.broadcast(labelled), "q")
+    rows = x.select(F.array(*_features()).alias("x"), (F.col("br") == F.col("truth")).cast("int").alias("y")).collect()
     return fit(np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], float))
 
 
@@ -495,16 +515,22 @@ def matched(refs: DataFrame, resources: DataFrame, labelled: DataFrame | None =
     give an empty result. Jobs run while the query is built: tables of both sides are stored, and the weights
     and the fit are taken.
     """
-    resources = store(resources.withColumn("d", F.monotonically_increasing_id()))
-    w = statistics(resources)
-    coefficients = calibrated(labelled, resources, w) if labelled is not None and w.n else PRIOR
     fields = ("words", "tf", "part", "year", "page", "authors")
-    rows = store(refs.withColumn("sig", F.xxhash64(*fields)))
-    queries = store(rows.groupBy("sig").agg(F.first(F.struct(*fields)).alias("r")).select("sig", "r.*").withColumn("q", F.monotonically_increasing_id()))
-    sigs, queries = queries.select("q", "sig"), store(_with_rare(queries.drop("sig"), resources, w))
-    pairs = _ranked(_measured(_candidates(queries, resources, w), queries, resources, w)).where(F.col("fits") & (F.col("rank") == F.col("first")) & (F.col("share") >= F.when(F.col("page") == 1, KEEP_PAGE).otherwise(KEEP_OTHER) - 1e-3))
+    sig = F.xxhash64(*fields)
+    resources = store(resources.withColumn("d", F.monotonically_increasing_id()))
+    w, index = statistics(resources)
+    rows = store(refs.withColumn("sig", sig))
+    asked = rows.select("sig", *fields)
+    if labelled is not None:
+        labelled = store(labelled.withColumn("sig", sig))
+        asked = asked.unionByName(labelled.select("sig", *fields))
+    queries = store(asked.groupBy("sig").agg(F.first(F.struct(*fields)).alias("r")).select("sig", "r.*").withColumn("q", F.monotonically_increasing_id()))
+    sigs, queries = queries.select("q", "sig"), store(_with_rare(queries.drop("sig"), index, w))
+    ranked = store(_ranked(_measured(_candidates(queries, resources, w), queries, resources, w)))
+    coefficients = _fitted(labelled.join(sigs, "sig").select("q", "truth"), ranked) if labelled is not None else PRIOR
     z = reduce(lambda a, b: a + b, [F.lit(float(c)) * x for c, x in zip(coefficients, _features())])
-    best = pairs.select("q", "br", "share", "gap", "title", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+    found = (F.col("share") >= F.when(F.col("page") == 1, KEEP_PAGE).otherwise(KEEP_OTHER) - 1e-3) & F.col("fits") & (F.col("rank") == F.col("first"))
+    best = ranked.where(found).select("q", "br", "share", "gap", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
     mine = rows.select("id", "file", "cited", "sig").join(sigs, "sig").join(best, "q").drop("q", "sig")
     # mutual nearest within the citing file; rows of one citation that were delivered again stand together
     near = F.struct("confidence", "share", "cited")

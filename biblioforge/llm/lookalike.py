@@ -25,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FORM, MARK, HIDDEN, SPACE, TWIN = 1, 2, 4, 8, 16  # what was changed in a value
-_LIMIT = 0x20000  # tables end here; code points beyond stay as they are
+_LIMIT = 0x20000  # tables are direct up to here
+#: Unicode's blocks beyond that hold other than plain characters: compatibility ideographs, tags and selectors.
+_FAR = ((0x2F800, 0x2FA20), (0xE0000, 0xE1000))
 _LATIN, _CYRILLIC, _GREEK, _VARIANT = 1, 2, 3, 4
 
 #: Look-alike letters, letter by letter.
 _TO_LATIN = {
-    _CYRILLIC: dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅЗ", "aeopcyxijsdhqwABEKMHOPCTYXIJSЗ")),
+    _CYRILLIC: dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅ", "aeopcyxijsdhqwABEKMHOPCTYXIJS")),
     _GREEK: dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX")),
-    _VARIANT: dict(zip("ɡɑɩı", "gaii")),
+    _VARIANT: dict(zip("ɡɑɩӏӀᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏕᏙᏞᏟᏢᏦᏴօհսցՕՏ", "gailIDRTAJEWMHGZRSVLCPKBohugOS")),  # and palochka, Cherokee, Armenian
 }
-_TO_LATIN[_CYRILLIC].pop("З")
-_TO_LATIN[_VARIANT].pop("ı")
+#: Greek small letters that pass for Latin ones, though only between Latin small letters or before three of them.
+_SMALL_GREEK = dict(zip("αγικντυρχ", "ayikvtupx"))
 _TO_CYRILLIC = {v: k for k, v in _TO_LATIN[_CYRILLIC].items()}
 _TO_GREEK = {v: k for k, v in _TO_LATIN[_GREEK].items()}
 #: Greek capitals that science puts before one Latin letter (units, names), as in all-capitals titles.
@@ -46,52 +48,54 @@ class Tables:
     """Lookup tables by code point, made from Unicode's own data."""
 
     def __init__(self) -> None:
-        n = _LIMIT
+        codes = [*range(_LIMIT), *(c for a, b in _FAR for c in range(a, b))]
+        n = len(codes)
         self.flag = np.zeros(n, np.uint8)
         self.size = np.ones(n, np.uint8)
-        self.one = np.arange(n, dtype=np.int32)
+        self.one = np.array(codes, np.int32)
         self.many: dict[int, list[int]] = {}
         self.ccc = np.zeros(n, np.uint8)
         self.script = np.zeros(n, np.uint8)
         self.nfd: dict[int, list[int]] = {}
         pairs = {}
-        for c in range(0x80, n):
+        for i in range(0x80, n):
+            c = codes[i]
             ch = chr(c)
             cat = unicodedata.category(ch)
             if cat in ("Cn", "Co", "Cs"):
                 continue
-            self.ccc[c] = unicodedata.combining(ch)
+            self.ccc[i] = unicodedata.combining(ch)
             dec = unicodedata.decomposition(ch)
             new = ch
             if cat == "Cf":
-                new, self.flag[c] = "", HIDDEN
+                new, self.flag[i] = "", HIDDEN
             elif cat == "Zs" or c in (0x115F, 0x1160, 0x3164, 0xFFA0, 0x2800):
-                new, self.flag[c] = " ", SPACE
+                new, self.flag[i] = " ", SPACE
             elif dec.startswith("<"):
                 k = unicodedata.normalize("NFKC", ch)
                 tag = dec[1 : dec.index(">")]
                 if cat[0] in "LN" and tag not in ("super", "sub", "fraction", "noBreak") and k and all(unicodedata.category(x)[0] in "LNM" for x in k) and not any(0x370 <= ord(x) < 0x400 for x in k):
-                    new, self.flag[c] = k, FORM
+                    new, self.flag[i] = k, FORM
                 elif 0xFF01 <= c <= 0xFF5E or 0xFE50 <= c <= 0xFE6F:  # punctuation follows the letters' width, but is no case
                     new = ch
             elif dec:
                 k = unicodedata.normalize("NFC", ch)
                 if k != ch:
-                    new, self.flag[c] = k, MARK
+                    new, self.flag[i] = k, MARK
                 parts = [int(x, 16) for x in dec.split()]
                 if len(parts) == 2 and k == ch:
                     pairs[(parts[0] << 21) | parts[1]] = c
                 self.nfd[c] = [ord(x) for x in unicodedata.normalize("NFD", ch)]
-            if self.ccc[c]:
-                self.flag[c] |= MARK
+            if self.ccc[i]:
+                self.flag[i] |= MARK
             if new != ch:
-                self.size[c] = len(new)
+                self.size[i] = len(new)
                 if len(new) == 1:
-                    self.one[c] = ord(new)
+                    self.one[i] = ord(new)
                 elif new:
-                    self.many[c] = [ord(x) for x in new]
-        for c in (0x034F, 0x180B, 0x180C, 0x180D, *range(0xFE00, 0xFE10)):  # invisible marks
-            self.flag[c], self.size[c] = HIDDEN, 0
+                    self.many[i] = [ord(x) for x in new]
+        hidden = np.array([0x034F, 0x180B, 0x180C, 0x180D, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)], np.int32)  # invisible marks
+        self.flag[_low(hidden)], self.size[_low(hidden)] = HIDDEN, 0
         self.start = np.zeros(n, np.int32)
         flat: list[int] = []
         for c, x in self.many.items():
@@ -115,6 +119,9 @@ class Tables:
         for s, m in _TO_LATIN.items():
             for a, b in m.items():
                 self.twin[_LATIN, ord(a)] = ord(b)
+        self.small = np.zeros(n, bool)
+        for a, b in _SMALL_GREEK.items():
+            self.twin[_LATIN, ord(a)], self.small[ord(a)] = ord(b), True
         for t, m in ((_CYRILLIC, _TO_CYRILLIC), (_GREEK, _TO_GREEK)):
             for a, b in m.items():
                 self.twin[t, ord(a)] = ord(b)
@@ -136,7 +143,13 @@ def tables() -> Tables:
 
 
 def _low(cp: np.ndarray) -> np.ndarray:
-    return np.where(cp < _LIMIT, cp, 0)
+    """Places in the tables; 0 for plain characters beyond them."""
+    out, at = np.where(cp < _LIMIT, cp, 0), _LIMIT
+    if len(cp) and cp.max() >= _LIMIT:
+        for a, b in _FAR:
+            out = np.where((cp >= a) & (cp < b), cp - a + at, out)
+            at += b - a
+    return out
 
 
 def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +247,7 @@ def _compose_all(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray
         last[s[~ok]] = cc[at[~ok]]
     c[head] = base
     c, r = c[keep], r[keep]
-    for _ in range(4):  # letters that compose with letters, left to right
+    while True:  # letters that compose with letters, left to right
         pair = np.flatnonzero((t.ccc[_low(c[1:])] == 0) & (r[1:] == r[:-1]) & t.second[_low(c[1:])])
         comp = t.compose(c[pair].astype(np.int64), c[pair + 1])
         pair, comp = pair[comp > 0], comp[comp > 0]
@@ -286,7 +299,15 @@ def _twins(cp: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.n
     n = word[-1] + 1
     count = np.bincount(w * 5 + s, minlength=n * 5).reshape(n, 5)
     alike = np.zeros((n, 5), np.int64)  # letters of a script that have a twin in Latin
-    in_latin = (t.twin[_LATIN, _low(c)] > 0) & ~science
+    plain = (cp >= 97) & (cp <= 122)
+
+    def plain_at(k: int) -> np.ndarray:
+        i = np.clip(at + k, 0, len(cp) - 1)
+        return plain[i] & (word[i] == w) & (i == at + k)
+
+    small = t.small[_low(c)]
+    passes = plain_at(-1) & plain_at(1) | ~prev_letter & plain_at(1) & plain_at(2) & plain_at(3)
+    in_latin = (t.twin[_LATIN, _low(c)] > 0) & ~science & (~small | passes)
     np.add.at(alike, (w, s), in_latin)
     in_cyr, in_grk = t.twin[_CYRILLIC, _low(c)] > 0, t.twin[_GREEK, _low(c)] > 0
     lat_cyr, lat_grk = np.bincount(w[(s == _LATIN) & in_cyr], minlength=n), np.bincount(w[(s == _LATIN) & in_grk], minlength=n)
@@ -327,7 +348,7 @@ def normalise(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     for bit in (FORM, MARK, HIDDEN, SPACE):
         flags[row[(f & bit) > 0]] |= bit
     if f.any():
-        cp, row = _expand(cp, row, t.size[low].astype(np.int64), np.where(cp < _LIMIT, t.one[low], cp), t.start[low], t.flat)
+        cp, row = _expand(cp, row, t.size[low].astype(np.int64), np.where(low > 0, t.one[low], cp), t.start[low], t.flat)
     cp, row, hit = _compose_all(cp, row, t)
     flags[hit] |= MARK
     if len(cp):

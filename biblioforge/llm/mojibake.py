@@ -4,7 +4,8 @@ A *state* is the text of a maximal run of non-ASCII characters and entity escape
 with the encoding it was shown in and decodes the bytes with the one they were written in, or unescapes
 entities. States are expanded cheapest first under a *character-plausibility cost* (kind of character,
 script changes and case changes within a word, symbols beside letters, Russian words without vowels);
-visited states are hashed. The cheapest reachable text wins if it beats the original by a margin, which is
+visited states are hashed. No number of steps or states ends the search: decoding and unescaping never
+lengthen a text's UTF-8 bytes, so the states run out. The cheapest reachable text wins if it beats the original by a margin, which is
 lower for UTF-8 bytes, since these prove themselves. Pairs of one-byte encodings, which prove nothing, are
 also weighed over all runs of a value together. Results are kept by run and context, so the search itself
 runs once for each different run in a task.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A space within a run stands for the U+00A0 that it was before something tidied the text.
-RUN = re.compile(r"(?:[^\x00-\x7f]|(?<=[\xc2-\xef\x80-\x9f]) (?=[\x80-\xbf])|&(?:#\d{2,6}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d{0,2});)+")
+RUN = re.compile(r"(?:[^\x00-\x7f]|(?<=[\xc2-\xef\x80-\x9f]) (?=[\x80-\xbf])|&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)+")
 #: A question mark in the place of a letter, or of a quote or dash before one, or between digits.
 LOST = re.compile(r"(?<=[^\W\d_])\?(?=[a-zß-öø-ÿ])|(?<=[A-ZÀ-Þ])\?(?=[^\W\d_])|(?<![^\s(\[“‘\"'«])\?(?=[^\W_])|\?\?+(?=\w)|(?<=\w)\?\?+|(?<=\d)\?(?=\d)")
 
@@ -48,10 +49,11 @@ PAIRS = (
 #: Ties go to the likelier encoding.
 _RANK = {f"{a}>{b}": 0.3 + 0.004 * i for i, (a, b) in enumerate(PAIRS)} | {f"{a}>utf-8": 0.003 * i for i, a in enumerate(SHOWN)}
 UTF8_MARGIN, PAIR_MARGIN, JOINT_MARGIN = 0.3, 1.5, 1.6
-MAX_STEPS, MAX_EXPANDED, CACHE = 4, 60, 200_000
+CACHE = 200_000
 
 _COMMON = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒąćęłńóśźżĄĆĘŁŃŚŹŻčďěňřšťůžČĎĚŇŘŠŤŮŽľĺŕĽőűŐŰğışŞİșțȘȚăĂđĐ")
 _RARE_LATIN1 = set("ðÐþÞÿõÕëËìÌòÒùÙ")
+_PLAIN = {c for c in _COMMON - _RARE_LATIN1 if c.islower()}
 _RUSSIAN = set("абвгдежзийклмнопрстуфхцчшщъыьэюяё")
 _VOWELS = set("аеёиоуыэюяАЕЁИОУЫЭЮЯіІїєЄ")
 _TWINS = set("аеорсухіјѕԁһАВЕКМНОРСТУХІЅЈοΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
@@ -208,25 +210,26 @@ _solved: dict[tuple[str, str, str], tuple[float, float, str, tuple[str, ...]]] =
 
 def solve(left: str, run: str, right: str) -> tuple[float, float, str, tuple[str, ...]]:
     """(cost as it is, cost of the best, best text, operations) by best-first search."""
+    if run in _PLAIN and not right[:1].isupper() and (right[:1].isascii() and right[:1].isalpha() or left[-1:].isascii() and left[-1:].isalpha()):
+        return 0.4, 0.4, run, ()  # a usual small letter within a word: no single byte is UTF-8, and no other letter costs enough less
     key = (left, run, right)
     if hit := _solved.get(key):
         return hit
-    own = cost(left, run, right)
+    own = cost(left, html.unescape(run) if "&" in run else run, right)  # an escape is as plausible as what it stands for
     best = (own, run, ())
-    heap, seen, expanded = [(own, 0, run, ())], {run}, 0
+    heap, seen = [(own, 0, run, ())], {run}
     if right[:1] == " " and run[-1:] in "ÃÂ├√":  # the second byte became an ordinary space
         heap.append((own + 0.1, 0, run + "\xa0", ()))
         seen.add(run + "\xa0")
-    while heap and expanded < MAX_EXPANDED:
+    while heap:
         c, n, text, ops = heapq.heappop(heap)
         decoded = any(">" in o for o in ops)
         if decoded:
             margin = UTF8_MARGIN if any(o.endswith(">utf-8") for o in ops) else PAIR_MARGIN
             if own - c >= margin and c < best[0] - 0.05:
                 best = (c, text, ops)
-        if n >= MAX_STEPS or decoded and c < 0.3:
-            continue
-        expanded += 1
+        if decoded and (c < 0.3 or not any(ops[-1].endswith(x) for x in (">utf-8", "unescape", "no-break"))):
+            continue  # plausible as it is, or a one-byte pair, after which nothing follows
         for op, new in edges(text):
             pair = ">" in op and not op.endswith(">utf-8")
             # one-byte pairs prove nothing: they stand alone, and yield to UTF-8

@@ -43,10 +43,25 @@ def p5_collapsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hotdedup.collapsed(bib.unionByName(mat), "id", hotdedup.canonical_doi(F.col("d")), within=("table_name", "source_file"))
 
 
+@query
+def p5_collapsed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with keys of 8 rows taken as hot, so that salted and plain aggregation both run."""
+    bib = table(spark, sf_dir, "bib_reference").select(F.lit("bib_reference").alias("table_name"), "source_file", F.col("ref_row_id").alias("id"), F.col("doi").alias("d"))
+    mat = table(spark, sf_dir, "matches").select(F.lit("matches").alias("table_name"), "source_file", F.col("match_id").alias("id"), F.col("matched_doi").alias("d"))
+    return hotdedup.collapsed(bib.unionByName(mat), "id", hotdedup.canonical_doi(F.col("d")), hot_rows=8, salts=4, within=("table_name", "source_file"))
+
+
+_ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), *((f"&#{k};", chr(i)) for i in range(33, 127) if not chr(i).isalnum() for k in (str(i), f"x{i:x}"))]
+
+
 def _doi_sql(c: str) -> str:
     """canonical_doi in DuckDB's SQL."""
+    sql = lambda x: "'" + x.replace("'", "''") + "'"
     blanks, dashes, tail = r"[\s\x{00AD}\x{00A0}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{2060}\x{3000}\x{FEFF}]+", r"[\x{2010}-\x{2015}\x{2212}]", r"""[.,;:"<>\]}?!]+$"""
-    x = f"lower(regexp_replace(regexp_replace(url_decode(replace(lower({c}), '+', '%2b')), '{blanks}', '', 'g'), '{dashes}', '-', 'g'))"
+    x = f"url_decode(replace(lower({c}), '+', '%2b'))"
+    for a, b in _ENTITIES:
+        x = f"replace({x}, {sql(a)}, {sql(b)})"
+    x = f"lower(regexp_replace(regexp_replace({x}, '{blanks}', '', 'g'), '{dashes}', '-', 'g'))"
     x = f"regexp_extract(replace({x}, chr(92), ''), '10\\.[0-9][0-9.]*/.+$')"
     for _ in range(3):
         x = f"regexp_replace({x}, '{tail}', '')"
@@ -63,6 +78,7 @@ ORACLES["p5_collapsed_files"] = f"""
 with u as (select 'bib_reference' as table_name, ref_row_id as id, source_file, {_doi_sql('doi')} as k from bib_reference
   union all select 'matches', match_id, source_file, {_doi_sql('matched_doi')} from matches)
 select table_name, source_file, k as canonical_key, min(id) as keep_id, count(*) as n_copies from u where k is not null and source_file is not null group by 1, 2, 3"""
+ORACLES["p5_collapsed_split"] = ORACLES["p5_collapsed_files"]
 ORACLES["p5_collapsed"] = f"select {_doi_sql('doi')} as canonical_key, min(ref_row_id) as keep_id, count(*) as n_copies from bib_reference where {_doi_sql('doi')} is not null group by 1"
 
 
