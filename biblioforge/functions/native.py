@@ -17,8 +17,20 @@ GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("ε
 ISOTOPES = (("(1)H", "1H"), ("(13)C", "13C"))
 #: Garbled sequences of raw citations and what replaces them (an opt-in repair).
 GARBLED = (("âˆ†", "Δ"), ('Î"', "Δ"), ('â€"', "–"), ("â€˜", "'"), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("Â", ""))
-#: Latin letters with marks and the letters they stand on, from their decompositions.
-_MARKED = {chr(c): d[0] for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFKD", chr(c)))[0].isascii() and len(d) == 2}
+#: Letters by what they are spelt with; several letters first, then letter by letter.
+SPELT = (
+    ("ß", "ss"), ("ẞ", "SS"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "Th"),
+    ("ж", "zh"), ("Ж", "Zh"), ("х", "kh"), ("Х", "Kh"), ("ц", "ts"), ("Ц", "Ts"), ("ч", "ch"), ("Ч", "Ch"), ("ш", "sh"), ("Ш", "Sh"), ("щ", "shch"), ("Щ", "Shch"), ("ю", "iu"), ("Ю", "Iu"), ("я", "ia"), ("Я", "Ia"), ("ё", "io"), ("Ё", "Io"),
+    ("φ", "ph"), ("Φ", "Ph"), ("χ", "kh"), ("Χ", "Kh"), ("ψ", "ps"), ("Ψ", "Ps"),
+)
+_LETTERS = dict(zip("øØłŁđĐðÐıабвгдезийклмнопрстуфыэАБВГДЕЗИЙКЛМНОПРСТУФЫЭіІιΙκΚλΛμΜνΝξΞοΟπΠρΡσΣςτΤυΥΑΒΓΔΕΖΗΘ", "oOlLdDdDiabvgdeziiklmnoprstufyeABVGDEZIIKLMNOPRSTUFYEiIiIkKlLmMnNxXoOpPrRsSstTuUABGDEZETH"))
+#: Latin letters with marks and the letters they stand on, raised, lowered and wide forms, from their decompositions.
+LETTERS = _LETTERS | {
+    chr(c): _LETTERS[d[0]] for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0] in _LETTERS and chr(c) not in _LETTERS
+} | {
+    chr(c): d[0] for c in (*range(0xB2, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2090), *range(0xFF01, 0xFF5F))
+    if (d := unicodedata.normalize("NFKD", chr(c)))[0].isascii() and d[0].isalnum() and all(unicodedata.combining(x) for x in d[1:])
+}
 
 
 def strip(c: Column) -> Column:
@@ -65,11 +77,21 @@ def norm_author(c: Column) -> Column:
 
 
 def norm_title(c: Column) -> Column:
-    """Signs and Greek letters by name, ASCII words in lower case, single blanks."""
+    """A title in ASCII: signs and Greek letters by name, Latin, Cyrillic and Greek letters spelt, lower case, single blanks.
+
+    Letters of other scripts are spelt by their code points, so that only equal texts become equal.
+    """
     for a, b in TITLE_SIGNS + GREEK + ISOTOPES:
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.translate(c, "".join(_MARKED), "".join(_MARKED.values()))
-    c = F.regexp_replace(F.trim(F.lower(c)), r"[.!?;:]+$", "")
+    far = c
+    for a, b in SPELT:
+        far = F.replace(far, F.lit(a), F.lit(b))
+    far = F.regexp_replace(F.translate(far, "".join(LETTERS), "".join(LETTERS.values())), r"\p{M}", "")
+    far = F.regexp_replace(far, r"\p{Z}", " ")
+    code = lambda x: F.when(x.rlike(r"[^\x00-\x7F]") & x.rlike(r"\p{L}"), F.concat(F.lit("u"), F.hex(F.encode(x, "UTF-16BE")))).otherwise(x)
+    far = F.when(far.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(far, ""), code), "")).otherwise(far)
+    c = F.when(c.rlike(r"[^\x00-\x7F]"), far).otherwise(c)
+    c = F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), r"[.!?;:]+$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9\s-]", ""), r"\s+", " "))
 
 

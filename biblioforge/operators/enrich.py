@@ -22,7 +22,8 @@ def by_patterns(citations: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataF
 
 
 def enrich(refs: DataFrame, parser: Callable[[DataFrame], DataFrame] = by_patterns) -> DataFrame:
-    """References with a raw citation, their empty fields filled from what the parser finds."""
+    """References whose empty fields are filled from what the parser finds in the raw citation; a given first page stays, a missing one too."""
     from .resolve import merge_if_empty
 
-    return merge_if_empty(refs, parser(refs.where("unstructured <> ''").select("ref_id", "unstructured")), ["doi", "year", "first_page", "first_author_lastname", "article_title"])
+    found = parser(refs.where("unstructured <> ''").select("ref_id", "unstructured"))
+    return merge_if_empty(refs, found, [c for c in ("doi", "year", "first_author_lastname", "volume", "article_title") if c in found.columns])

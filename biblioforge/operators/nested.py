@@ -11,8 +11,9 @@ The text of many documents is laid end to end as bytes and indexed with whole-ar
 5. *spans*: members are found by comparing key bytes, array elements by their rank in the parent, and
    rows carry (document, parent number, own number) as links.
 
-No document is parsed by a loop over its characters or values. Wrapped documents (byte-order mark, JSON
-text inside a JSON string, a one-element array) are unwrapped and indexed again in a second pass.
+No document is parsed by a loop over its characters or values; only escapes within strings and numbers with
+signs or fractions are read one by one. Wrapped documents (byte-order mark, JSON text inside a JSON string, a
+one-element array) are unwrapped layer by layer and indexed again; each layer shortens the text.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20  # text indexed at once; bounds the memory of a task
-MAX_WRAPS = 3  # layers of wrapping that are taken off
 
 _OB, _CB, _OA, _CA, _COL, _COM, _STR, _SCA, _BEG, _END = range(10)
 _KIND = np.full(256, -1, np.int8)
@@ -50,6 +51,8 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdefABCDEF")] = True
 _ESCAPES = np.zeros(256, bool)
 _ESCAPES[list(b'"\\/bfnrtu')] = True
+_BLANK_HEAD = np.zeros(256, bool)  # first bytes of white space or of an escape
+_BLANK_HEAD[list(b" \t\\\xc2\xe2\xe3\xef")] = True
 
 
 @dataclass
@@ -117,11 +120,12 @@ class Index:
         out[null] = self.raw[self.pos[at[null]]] == ord("n")
         nxt = np.minimum(at + 1, len(self.pos) - 1)
         out |= ((k == _OB) & (self.kind[nxt] == _CB)) | ((k == _OA) & (self.kind[nxt] == _CA))
-        for i in np.flatnonzero((k == _STR) & (self.end[at] - self.pos[at] < 64)):
-            p = at[i]
-            s = self.raw[self.pos[p] + 1 : self.end[p] - 1]
-            if len(s) == 0 or s[0] in b" \t\\\xc2\xe2\xe3\xef":
-                out[i] = not (self.text(p) or "").strip(" \t\r\n ​﻿　")
+        text = np.flatnonzero(k == _STR)
+        size = self.end[at[text]] - self.pos[at[text]] - 2
+        out[text[size == 0]] = True
+        head = self.raw[self.pos[at[text]] + np.minimum(size, 1)]
+        for i in text[(size > 0) & _BLANK_HEAD[head]]:
+            out[i] = not (self.text(at[i]) or "").strip(" \t\r\n\xa0\u200b\ufeff\u3000")
         return out
 
 
@@ -224,10 +228,14 @@ def index(raw: np.ndarray, starts: np.ndarray) -> Index:
     bad |= value & ~hp & ~first  # one top value
     bad |= is_key & (prev != _OB) & (prev != _COM)
     # scalars: literals or numbers
-    for i in c:
-        s_ = raw[pos[i] : end[i]].tobytes()
-        if s_ not in (b"true", b"false", b"null") and not (s_.isdigit() and (len(s_) == 1 or s_[:1] != b"0")):
-            bad[i] |= _NUMBER.fullmatch(s_) is None
+    first_at, size_of = pos[c], end[c] - pos[c]
+    digits = np.r_[0, np.cumsum((raw >= 48) & (raw <= 57))]
+    fine = (digits[end[c]] - digits[first_at] == size_of) & ((size_of == 1) | (raw[first_at] != 48))
+    for word in (b"true", b"false", b"null"):
+        m = np.flatnonzero(size_of == len(word))
+        fine[m] |= np.all([raw[first_at[m] + j] == x for j, x in enumerate(word)], axis=0)
+    for i in c[~fine]:  # signs, fractions, exponents, and what is broken
+        bad[i] |= _NUMBER.fullmatch(raw[pos[i] : end[i]].tobytes()) is None
     good[doc[bad]] = False
     # string content: known escapes, four digits after \u, no control characters
     if len(at):
@@ -276,9 +284,7 @@ def _lay(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def documents_of(texts: list[bytes]) -> Iterator[tuple[Index, np.ndarray, np.ndarray]]:
     """(index, number of the document in ``texts`` by the index's documents, whether its top is an object)."""
     ids = np.arange(len(texts))
-    for _ in range(MAX_WRAPS):
-        if not texts:
-            return
+    while texts:
         ix = index(*_lay(texts))
         obj, again, inner = _unwrapped(ix)
         yield ix, ids, obj
@@ -329,8 +335,27 @@ def linked(ix: Index, obj: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": docs, "msg": msg, "r_tok": r_tok, "r_msg": r_msg, "r_num": r_num, "a_tok": a_tok, "a_ref": a_ref, "a_num": a_num}
 
 
-def _strings(ix: Index, toks: np.ndarray) -> list[str | None]:
-    return [None if t < 0 else ix.text(t) for t in toks]
+def _strings(ix: Index, toks: np.ndarray) -> pa.Array:
+    """Strings' contents and scalars' literals by one gather of their bytes; null for -1, null and brackets."""
+    if not len(toks):
+        return pa.array([], pa.string())
+    tok = np.maximum(toks, 0)
+    is_text = (toks >= 0) & (ix.kind[tok] == _STR)
+    start, n = np.where(is_text, ix.pos[tok] + 1, 0), np.where(is_text, ix.end[tok] - ix.pos[tok] - 2, 0)
+    off = np.r_[0, np.cumsum(n)].astype(np.int64)
+    data = ix.raw[np.arange(off[-1]) + np.repeat(start - off[:-1], n)]
+    mask = pa.py_buffer(np.packbits(is_text, bitorder="little").tobytes())
+    col = pa.Array.from_buffers(pa.large_string(), len(toks), [mask, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+    slashes = np.r_[0, np.cumsum(data == 92)]
+    odd = (slashes[off[1:]] > slashes[off[:-1]]) | (toks >= 0) & (ix.kind[tok] == _SCA)
+    try:
+        col.validate(full=True)
+    except pa.ArrowInvalid:
+        odd |= is_text  # bytes that are no UTF-8 are replaced one by one
+        col = pa.nulls(len(toks), pa.large_string())
+    if odd.any():
+        col = pc.replace_with_mask(col, pa.array(odd), pa.array([ix.text(t) for t in toks[odd]], pa.large_string()))
+    return col.cast(pa.string())
 
 
 def _first(ix: Index, tok: np.ndarray) -> np.ndarray:
@@ -354,7 +379,7 @@ SCHEMAS = {
 }
 
 
-def _rows(ix: Index, obj: np.ndarray, what: str, ids: np.ndarray) -> list[np.ndarray | list]:
+def _rows(ix: Index, obj: np.ndarray, what: str, ids: np.ndarray) -> list[np.ndarray | pa.Array]:
     x = linked(ix, obj)
     doc = ids[x["doc"]]
     if what == "documents":
@@ -371,7 +396,7 @@ def _rows(ix: Index, obj: np.ndarray, what: str, ids: np.ndarray) -> list[np.nda
         return links
     tok = x["a_tok"]
     of = np.where((tok >= 0) & (ix.kind[tok] == _OB), tok, -1)
-    family = [f if o >= 0 else (ix.text(t) if t >= 0 else None) for f, o, t in zip(_strings(ix, _coalesce(ix, of, (b"family", b"family-name", b"name"))), of, tok)]
+    family = _strings(ix, np.where(of >= 0, _coalesce(ix, of, (b"family", b"family-name", b"name")), tok))
     return [*links, family, _strings(ix, ix.members(b"given", of))]
 
 
@@ -415,7 +440,7 @@ def flatten(df: DataFrame, what: str = "ids", id_col: str = "raw_id", payload_co
                 own = ids[start:stop]
                 for ix, num, obj in documents_of(piece):
                     cols = _rows(ix, obj, what, own[num])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
                 start = stop
 
     return df.selectExpr(f"cast(`{id_col}` as bigint) id", f"cast(`{payload_col}` as string) payload").where("id is not null").mapInArrow(run, schema)

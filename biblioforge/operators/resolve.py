@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
+from ..session import store
+from . import enrich, scoring, strategies
 
 #: A total order on candidates: results don't depend on how rows arrive.
 ORDER = ["prio", "br", "doi", "title", "author_name", "volume_num", "start_page", "end_page", "pub_date"]
@@ -33,13 +37,42 @@ def without_year(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("query_type").isin("doi_title", "author_title") & F.col("r_year").isNotNull()).groupBy("ref_id").agg(F.max(F.col("score") - F.col("c_year")).alias("score_without_year"))
 
 
-def unmatched(refs: DataFrame, scored: DataFrame, won: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """References without an accepted match, with the best scores of each pass (0 as null, but for the original)."""
-    best = won.select("ref_id", F.col("score").alias("score_original"))
-    out = refs.join(best, "ref_id", "left").where(F.col("score_original").isNull() | (F.col("score_original") < cfg.accept)).join(without_year(scored), "ref_id", "left")
-    out = out.withColumns({"score_original": F.coalesce("score_original", F.lit(0)), "score_without_year": F.nullif("score_without_year", F.lit(0))})
-    best_of = F.nullif(F.greatest("score_original", F.coalesce("score_without_year", F.lit(0))), F.lit(0))
-    return out.withColumn("best_score", best_of).withColumn("threshold_failed", F.when(F.col("best_score").isNotNull(), "Yes").otherwise("No"))
+def cascade(refs: DataFrame, kg: DataFrame, cfg: MatchConfig = MatchConfig(), parser: Callable[[DataFrame], DataFrame] = enrich.by_patterns, fuzzy_titles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted winners with ``pass_no``, report of the references that no pass matched).
+
+    Pass 1 takes the references as they are, pass 2 what is left with a raw citation, its empty fields filled by
+    ``parser``, pass 3 what is still left, filled fields kept, without its year. Of the report's scores, that of
+    pass 1 is 0 without any candidate, the others are null then; ``best_score`` is the highest above 0.
+    """
+    cands = store(strategies.prepare_candidates(kg).withColumn("cid", F.monotonically_increasing_id()))
+
+    def run(x: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        found = scoring.score(strategies.all_candidates(strategies.prepare(x, cfg), cands, cfg), cfg, fuzzy_titles)
+        won = store(winners(found, cfg).withColumn("pass_no", F.lit(n)))
+        return won, accepted(won, cfg)
+
+    ids = lambda d: d.select("ref_id")
+    first, got1 = run(refs, 1)
+    merged = store(enrich.enrich(refs.join(ids(got1), "ref_id", "left_anti"), parser))
+    second, got2 = run(merged.where("unstructured <> ''"), 2)
+    left = merged.join(ids(got2), "ref_id", "left_anti")
+    third, got3 = run(left.where("year <> ''").withColumn("year", F.lit("")), 3)
+    report = left.join(ids(got3), "ref_id", "left_anti").select("ref_id", "unstructured")
+    for won, name in ((first, "score_original"), (second, "score_enriched"), (third, "score_without_year")):
+        report = report.join(won.select("ref_id", F.col("score").alias(name)), "ref_id", "left")
+    report = report.withColumn("score_original", F.coalesce("score_original", F.lit(0)))
+    best = F.nullif(F.greatest("score_original", F.coalesce("score_enriched", F.lit(0)), F.coalesce("score_without_year", F.lit(0))), F.lit(0))
+    report = report.withColumns({"best_score": best, "enrichment_attempted": F.when(F.col("score_enriched").isNotNull(), "Yes").otherwise("No")}).withColumn("threshold_failed", F.when(F.col("best_score").isNotNull(), "Yes").otherwise("No"))
+    return got1.unionByName(got2).unionByName(got3), report.drop("unstructured")
+
+
+def pass_counts(refs: DataFrame, won: DataFrame, report: DataFrame) -> DataFrame:
+    """One row: references, matches by pass, attempts of the second pass and how many of these matched."""
+    tried = refs.where("unstructured <> ''").select("ref_id").join(won.where("pass_no = 1").select("ref_id"), "ref_id", "left_anti")
+    named = lambda d, name: d.select(F.lit(name).alias("what"))
+    x = named(refs, "n_references").unionByName(named(tried, "n_attempts")).unionByName(named(report, "n_unmatched")).unionByName(won.select(F.concat(F.lit("n_pass_"), "pass_no").alias("what")))
+    count = lambda name, alias: F.count_if(F.col("what") == name).alias(alias)
+    return x.agg(*[count(n, n) for n in ("n_references", "n_pass_1", "n_pass_2", "n_pass_3", "n_attempts", "n_unmatched")], count("n_pass_2", "n_successes"))
 
 
 def merge_if_empty(original: DataFrame, enriched: DataFrame, fields: list[str]) -> DataFrame:

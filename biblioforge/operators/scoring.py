@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions import fuzzy
 from ..functions import native as N
+from ..session import store
+from .strategies import TITLES
 
 
 def points(cfg: MatchConfig = MatchConfig()) -> dict[str, Column]:
@@ -34,14 +38,16 @@ def title_points(sim: Column, cfg: MatchConfig = MatchConfig()) -> Column:
 def score(cands: DataFrame, cfg: MatchConfig = MatchConfig(), fuzzy_titles: bool = False, exact_best: bool = True) -> DataFrame:
     """Adds the components and ``score``.
 
-    With ``fuzzy_titles``, equal titles stay native and each different pair is compared once. Unless exact best
+    The title's similarity is the best of the reference's three titles. With ``fuzzy_titles``, equal titles stay native and each different pair is compared once. Unless exact best
     scores of unmatched references are wanted, pairs that can't reach acceptance even with a full title are not
     compared at all.
     """
     parts = points(cfg)
-    out = cands.withColumns({**parts, "nt_r": N.norm_title(F.col("r_title")), "nt_c": N.norm_title(F.col("title"))})
+    out = cands.withColumns(parts)
     base = sum((F.col(c) for c in parts), F.lit(0))
-    exact = F.when((F.col("r_title") != "") & F.col("title").isNotNull() & (F.col("nt_r") == F.col("nt_c")), 100)
+    titles = [F.col(f"nt_{t}") for t in TITLES]
+    # titles of which nothing is left are equal to none
+    exact = F.when(F.col("title").isNotNull() & (F.col("nt_title") != "") & reduce(lambda a, b: a | b, [t == F.col("nt_title") for t in titles]), 100)
     if not fuzzy_titles:
         out = out.withColumn("title_sim", F.coalesce(exact, F.lit(0)))
     else:
@@ -49,7 +55,13 @@ def score(cands: DataFrame, cfg: MatchConfig = MatchConfig(), fuzzy_titles: bool
         if not exact_best:
             need &= base + cfg.title_exact >= cfg.accept
         # Python functions run eagerly, so the pairs that need one are set apart and made distinct first
-        pairs = out.where(need).select("nt_r", "nt_c").distinct().withColumn("sim", fuzzy.similarity_udf(F.col("nt_r"), F.col("nt_c")))
-        out = out.join(pairs, ["nt_r", "nt_c"], "left").withColumn("title_sim", F.coalesce(exact, F.when(need, F.col("sim")), F.lit(0))).drop("sim")
+        own = F.explode(F.array_distinct(F.filter(F.array(*titles), lambda t: t != "")))
+        pairs = out.where(need).select(own.alias("a"), F.col("nt_title").alias("b")).distinct()
+        pairs = store(pairs.withColumn("sim", fuzzy.similarity_udf(F.col("a"), F.col("b"))))
+        sims = []
+        for t in TITLES:
+            out = out.join(pairs.select(F.col("a").alias(f"nt_{t}"), F.col("b").alias("nt_title"), F.col("sim").alias(f"sim_{t}")), [f"nt_{t}", "nt_title"], "left")
+            sims.append(F.coalesce(F.col(f"sim_{t}"), F.lit(0)))
+        out = out.withColumn("title_sim", F.coalesce(exact, F.when(need, F.greatest(*sims)), F.lit(0))).drop(*[f"sim_{t}" for t in TITLES])
     out = out.withColumn("c_title", title_points(F.col("title_sim"), cfg))
-    return out.withColumn("score", (base + F.col("c_title")).cast("int")).drop("nt_r", "nt_c")
+    return out.withColumn("score", (base + F.col("c_title")).cast("int"))

@@ -19,7 +19,7 @@ def coverage(prepared: DataFrame, by: str = "source_file") -> DataFrame:
 def contribution(won: DataFrame) -> DataFrame:
     """How many winners earn each component; fuzzy titles count from 75."""
     hit = lambda c: F.count_if(F.col(f"c_{c}") > 0).alias(f"by_{c}")
-    return won.agg(F.count(F.lit(1)).alias("n_matches"), hit("doi"), hit("author"), hit("year"), hit("volume"), hit("page"), F.count_if(F.col("title_sim") >= 100).alias("by_title_exact"), F.count_if((F.col("title_sim") >= 75) & (F.col("title_sim") < 100)).alias("by_title_fuzzy"))
+    return won.agg(F.count(F.lit(1)).alias("n_matches"), hit("doi"), hit("author"), hit("year"), F.count_if(F.abs(F.col("r_year") - F.substring("pub_date", 1, 4).try_cast("int")) == 1).alias("by_year_adjacent"), hit("volume"), hit("page"), F.count_if(F.col("title_sim") >= 100).alias("by_title_exact"), F.count_if((F.col("title_sim") >= 75) & (F.col("title_sim") < 100)).alias("by_title_fuzzy"))
 
 
 def distribution(won: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Candidate generation: six strategies, each one equi-join with a residual condition, in order of priority.
 
-Year windows are keys, not residuals: a reference stands in three rows, one per year allowed.
+Year windows are keys, not residuals: a reference stands in three rows, one per year allowed. References and
+candidates are prepared and stored once; strategies join their keys only and give pairs of row numbers, to which
+the columns come in the end. The strategy by author and title would meet a hot author's rows all with all, so
+these are keyed by four letters of a title's word as well, which a matching title must have.
 """
 
 from __future__ import annotations
@@ -13,8 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
+from ..functions import fuzzy
 from ..functions import native as N
+from ..session import store
 
+HOT_AUTHOR = 10_000  # candidate rows from which an author's are keyed by letters of the title too
+TITLES = ("article", "volume", "journal")
 CANDIDATE = ["br", "title", "pub_date", "doi", "author_name", "volume_num", "start_page", "end_page"]
 
 
@@ -40,35 +47,86 @@ STRATEGIES: list[Strategy] = [
 
 
 def prepare(refs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """References in comparable form, columns ``r_...``; input columns are those of the Reference record."""
-    main = N.main_title(N.field(F.col("article_title")), N.field(F.col("volume_title")), N.field(F.col("journal_title")))
-    return refs.select(
+    """References in comparable form, columns ``r_...`` and the three normalised titles; input columns are those of the Reference record.
+
+    Text is composed (NFC); only values with combining marks leave the JVM for that. Repeated rows count once.
+    """
+    names = ["year", "volume", "first_page", "first_author_lastname", "article_title", "volume_title", "journal_title", "doi"]
+    marked = lambda c: F.col(c).rlike(r"\p{M}")
+    x = refs.select("ref_id", *[c for c in ("source_file", "ref_index") if c in refs.columns], *[F.coalesce(fuzzy.nfc(F.when(marked(c), F.col(c))), F.col(c)).alias(c) for c in names])
+    f = {c: N.field(F.col(c)) for c in names}
+    x = x.select(
         "ref_id", *[c for c in ("source_file", "ref_index") if c in refs.columns],
-        N.extract_year(F.col("year"), cfg).alias("r_year"), N.field(F.col("volume")).alias("r_volume"), N.field(F.col("first_page")).alias("r_page"), N.field(F.col("first_author_lastname")).alias("r_author"),
-        main.alias("r_title"), F.coalesce(N.norm_doi(F.col("doi")), F.lit("")).alias("r_doi"),
-    ).withColumn("r_pattern", N.title_pattern(F.col("r_title"), cfg))
+        N.extract_year(F.col("year"), cfg).alias("r_year"), f["volume"].alias("r_volume"), f["first_page"].alias("r_page"), f["first_author_lastname"].alias("r_author"),
+        N.main_title(f["article_title"], f["volume_title"], f["journal_title"]).alias("r_title"), F.coalesce(N.norm_doi(F.col("doi")), F.lit("")).alias("r_doi"),
+        *[N.norm_title(f[f"{t}_title"]).alias(f"nt_{t}") for t in TITLES],
+    ).distinct()
+    return x.withColumn("r_pattern", N.title_pattern(F.col("r_title"), cfg))
 
 
-def generate(refs: DataFrame, kg: DataFrame, strategy: Strategy, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """(reference's columns, candidate's columns, prio, query_type) of one strategy, distinct."""
+def prepare_candidates(kg: DataFrame) -> DataFrame:
+    """Distinct candidates with their year and normalised title."""
+    return kg.select(*CANDIDATE).distinct().withColumns({"c_year": F.substring("pub_date", 1, 4).try_cast("int"), "nt_title": N.norm_title(F.col("title"))})
+
+
+def _pairs(refs: DataFrame, cands: DataFrame, strategy: Strategy, cfg: MatchConfig) -> DataFrame:
+    """(rid, cid, prio, query_type) of one strategy. The frames are prepared and carry rid and cid."""
     prio = [s.name for s in STRATEGIES].index(strategy.name) + 1 if strategy in STRATEGIES else len(STRATEGIES) + 1
-    r = refs
-    for c in strategy.requires:
-        r = r.where(F.col(c).isNotNull() if c == "r_year" else F.col(c) != "")
+    r, c = refs, cands
+    for x in strategy.requires:
+        r = r.where(F.col(x).isNotNull() if x == "r_year" else F.col(x) != "")
     if any(k == "year_key" for k, _ in strategy.keys):
         near = F.filter(F.array(F.col("r_year") - 1, F.col("r_year"), F.col("r_year") + 1), lambda y: y.between(cfg.min_year, cfg.max_year))
         r = r.withColumn("year_key", F.explode(near))
-    c = kg.select(*CANDIDATE).withColumn("c_year", F.substring("pub_date", 1, 4).try_cast("int"))
     if not strategy.sees_author and cfg.author_edge == "reference":
         c = c.withColumn("author_name", F.lit(None).cast("string"))
-    on = reduce(lambda a, b: a & b, [r[a] == c[b] for a, b in strategy.keys])
-    out = r.join(c, on)
+    name = strategy.name
+    if strategy.keys == (("r_author", "author_name"),) and cfg.regex_mode == "quoted":
+        out = _by_author(r, c)
+    else:
+        out = r.join(c, reduce(lambda a, b: a & b, [r[a] == c[b] for a, b in strategy.keys]))
     if strategy.residual is not None:
         out = out.where(strategy.residual(cfg))
-    return out.select(*[x for x in refs.columns], *CANDIDATE, F.lit(prio).alias("prio"), F.lit(strategy.name).alias("query_type")).distinct()
+    return out.select("rid", "cid", F.lit(prio).alias("prio"), F.lit(name).alias("query_type"))
+
+
+def _by_author(r: DataFrame, c: DataFrame) -> DataFrame:
+    """References and candidates of one author whose titles can match the reference's pattern.
+
+    Rows of a hot author meet by four letters of the pattern's longest word, which stand in any title that
+    matches, so none is lost; references without such a word match every title of their author, as the
+    pattern demands.
+    """
+    hot = store(c.where("author_name is not null").groupBy("author_name").count().where(F.col("count") >= HOT_AUTHOR).select(F.col("author_name").alias("__hot")))
+    if hot.isEmpty():
+        return r.join(c, r["r_author"] == c["author_name"])
+    marked = lambda df, k: df.join(hot, df[k] == F.col("__hot"), "left")
+    r, c = marked(r, "r_author"), marked(c, "author_name")
+    bare = F.transform(F.split(F.lower("r_pattern"), r"\.\*"), lambda w: F.replace(w, F.lit("\\"), F.lit("")))
+    word = F.element_at(F.array_sort(bare, lambda a, b: F.length(b) - F.length(a)), 1)
+    r = r.withColumn("__gram", F.when(F.col("__hot").isNotNull() & (F.length(word) >= 4), F.substring(word, 1, 4)).otherwise(""))
+    low, n = F.lower("title"), F.greatest(F.length("title") - 3, F.lit(0))
+    grams = F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(low, i, F.lit(4))))
+    c = c.withColumn("__letters", F.explode(F.when(F.col("__hot").isNotNull(), grams).otherwise(F.array(F.lit("")))))
+    return r.drop("__hot").join(c.drop("__hot"), (r["r_author"] == c["author_name"]) & (F.col("__gram") == F.col("__letters"))).drop("__gram", "__letters")
+
+
+def _numbered(refs: DataFrame, kg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return store(refs.withColumn("rid", F.monotonically_increasing_id())), kg if "cid" in kg.columns else store(prepare_candidates(kg).withColumn("cid", F.monotonically_increasing_id()))
+
+
+def _wide(pairs: DataFrame, refs: DataFrame, cands: DataFrame) -> DataFrame:
+    return pairs.join(refs, "rid").join(cands, "cid").select(*[x for x in refs.columns if x != "rid"], *[x for x in cands.columns if x != "cid"], "prio", "query_type")
+
+
+def generate(refs: DataFrame, kg: DataFrame, strategy: Strategy, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(reference's columns, candidate's columns, prio, query_type) of one strategy, distinct. ``refs`` is prepared, ``kg`` is not."""
+    r, c = _numbered(refs, kg)
+    return _wide(_pairs(r, c, strategy, cfg), r, c)
 
 
 def all_candidates(refs: DataFrame, kg: DataFrame, cfg: MatchConfig = MatchConfig(), strategies: list[Strategy] | None = None) -> DataFrame:
     """Union of the strategies; those by DOI only where DOIs block."""
     use = [s for s in strategies or STRATEGIES if cfg.use_doi or "r_doi" not in s.requires]
-    return reduce(DataFrame.unionByName, [generate(refs, kg, s, cfg) for s in use])
+    r, c = _numbered(refs, kg)
+    return _wide(reduce(DataFrame.unionByName, [_pairs(r, c, s, cfg) for s in use]), r, c)

@@ -12,7 +12,7 @@ from ..functions import fuzzy
 from ..functions import native as N
 from ..operators import evaluate, graph, resolve, scoring, stats
 from ..operators import strategies as S
-from ..session import table
+from ..session import store, table
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,8 +33,6 @@ def query(sql: str | None = None):
 
 
 def _kg(spark, d):
-    # inferring constraints through projections of that many computed columns takes the optimizer a minute
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return X.kg(spark, d)
 
 
@@ -46,8 +44,14 @@ def _prep(spark, d):
     return S.prepare(_refs(spark, d), CFG)
 
 
+def _both(spark, d):
+    """(prepared references, candidates), the graph's tables read once."""
+    g = store(_kg(spark, d))
+    return S.prepare(X.refs(g), CFG), g
+
+
 def _scored(spark, d, fuzzy_titles=False):
-    return scoring.score(S.all_candidates(_prep(spark, d), _kg(spark, d), CFG), CFG, fuzzy_titles)
+    return scoring.score(S.all_candidates(*_both(spark, d), CFG), CFG, fuzzy_titles)
 
 
 def _won(spark, d, **kw):
@@ -67,15 +71,12 @@ def norm_doi_eval(spark, d):
     return _refs(spark, d).select("ref_id", N.norm_doi_eval(F.concat(F.lit("doi:"), "doi")).alias("doi_norm"))
 
 
-@query("""select ref_row_id, lower(trim(regexp_replace(first_author_lastname, '\\s+', ' ', 'g'))) as author_norm from bib_reference where first_author_lastname ~ '^[ -~]*$'""")
-def norm_author(spark, d):
-    plain = F.col("first_author_lastname").rlike(r"^[ -~]*$")
-    return table(spark, d, "bib_reference").where(plain).select("ref_row_id", N.norm_author(F.col("first_author_lastname")).alias("author_norm"))
+#: All white space, as the functions have it.
+_WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query()
-def norm_author_all(spark, d):
-    """norm_author of every row; DuckDB's white space is ASCII only, so no SQL."""
+@query(f"select ref_row_id, lower(trim(regexp_replace(first_author_lastname, '{_WHITE}', ' ', 'g'))) as author_norm from bib_reference")
+def norm_author(spark, d):
     return table(spark, d, "bib_reference").select("ref_row_id", N.norm_author(F.col("first_author_lastname")).alias("author_norm"))
 
 
@@ -98,9 +99,25 @@ def title_pattern(spark, d):
     return _prep(spark, d).select("ref_id", "r_pattern")
 
 
-@query(f"with {X.KG_SQL} select br, {X._NT.format('title')} as title_norm from kg")
+def _title_sql(c: str) -> str:
+    """norm_title in SQL, from the same tables."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    for a, b in N.TITLE_SIGNS + N.GREEK + N.ISOTOPES + N.SPELT:
+        c = f"replace({c}, {q(a)}, {q(b)})"
+    c = f"regexp_replace(translate({c}, {q(''.join(N.LETTERS))}, {q(''.join(N.LETTERS.values()))}), '\\p{{M}}', '', 'g')"
+    c = f"regexp_replace({c}, '\\p{{Z}}', ' ', 'g')"
+    c = f"array_to_string(list_transform(string_split({c}, ''), lambda x: case when unicode(x) > 127 and regexp_matches(x, '\\p{{L}}') then format('u{{:04X}}', unicode(x)) else x end), '')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '[.!?;:]+$', ''), '[^a-z0-9\\s-]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"select distinct br, title, {_title_sql('title')} as title_norm from kg_resource")
 def norm_title(spark, d):
-    return _kg(spark, d).select("br", N.norm_title(F.col("title")).alias("title_norm"))
+    return table(spark, d, "kg_resource").select("br", "title").distinct().withColumn("title_norm", N.norm_title(F.col("title")))
+
+
+@query(f"select ref_row_id, {_title_sql('article_title')} as title_norm from bib_reference")
+def norm_title_references(spark, d):
+    return table(spark, d, "bib_reference").select("ref_row_id", N.norm_title(F.col("article_title")).alias("title_norm"))
 
 
 @query(r"""select doc_id, regexp_replace(text, '[\r\n]', ' ', 'g') as line from documents""")
@@ -114,14 +131,8 @@ def main_title(spark, d):
     return table(spark, d, "bib_reference").select("ref_row_id", N.main_title(e("article_title"), e("volume_title"), e("journal_title")).alias("main_title"))
 
 
-@query(r"""select ref_row_id, substring(trim(regexp_replace(regexp_replace(article_title, '[\x00-\x1f\x7f<>{}|^`]', ' ', 'g'), '\s+', ' ', 'g')), 1, 1000) as literal from bib_reference where article_title ~ '^[ -~]*$'""")
+@query(rf"""select ref_row_id, substring(trim(regexp_replace(regexp_replace(nfc_normalize(article_title), '[\x00-\x1f\x7f<>{{}}|^`]', ' ', 'g'), '{_WHITE}', ' ', 'g')), 1, 1000) as literal from bib_reference""")
 def clean_literal(spark, d):
-    return table(spark, d, "bib_reference").where(F.col("article_title").rlike(r"^[ -~]*$")).select("ref_row_id", N.clean_literal(F.col("article_title")).alias("literal"))
-
-
-@query()
-def clean_literal_all(spark, d):
-    """clean_literal of every row, composed first; DuckDB's white space is ASCII only, so no SQL."""
     return table(spark, d, "bib_reference").select("ref_row_id", N.clean_literal(fuzzy.nfc(F.col("article_title"))).alias("literal"))
 
 
@@ -158,42 +169,20 @@ def kg_triples(spark, d):
     return graph.to_triples(_kg(spark, d)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {X.KG_SQL} select br, 'dcterms:title' as p, title as o from kg where k % 5 = 0 union all select br, 'prism:publicationDate', pub_date from kg where k % 5 = 0 union all select br, 'datacite:hasIdentifier', 'id/' || br from kg where k % 5 = 0 union all select br, 'pro:isDocumentContextFor', 'ar/' || br from kg where k % 5 = 0 union all select br, 'frbr:partOf', 'issue/' || br from kg where k % 5 = 0 union all select br, 'frbr:embodiment', 're/' || br from kg where k % 5 = 0")
-def unnest_props(spark, d):
-    g = _kg(spark, d)
-    return graph.properties(graph.to_triples(g), g.where("k % 5 = 0"))
-
-
-@query(f"with {X.KG_SQL} select br, title as \"dcterms:title\", pub_date as \"prism:publicationDate\" from kg where k % 5 = 0")
-def pivot_properties(spark, d):
-    g = _kg(spark, d)
-    return evaluate.pivoted(graph.properties(graph.to_triples(g), g.where("k % 5 = 0")), ["dcterms:title", "prism:publicationDate"])
-
-
-@query(f"with {X.KG_SQL} select br, array_to_string(list_sort(['dcterms:title','prism:publicationDate','datacite:hasIdentifier','pro:isDocumentContextFor','frbr:partOf','frbr:embodiment']), ', ') as predicates from kg where k % 5 = 0")
-def observed_predicates(spark, d):
-    g = _kg(spark, d)
-    p = graph.properties(graph.to_triples(g), g.where("k % 5 = 0")).groupBy("br").agg(F.array_sort(F.collect_set("p")).alias("a"))
-    return p.select("br", F.array_join("a", ", ").alias("predicates"))
-
-
-# the same of all resources
-
-
 @query(f"with {X.KG_SQL} select br, 'dcterms:title' as p, title as o from kg union all select br, 'prism:publicationDate', pub_date from kg union all select br, 'datacite:hasIdentifier', 'id/' || br from kg union all select br, 'pro:isDocumentContextFor', 'ar/' || br from kg union all select br, 'frbr:partOf', 'issue/' || br from kg union all select br, 'frbr:embodiment', 're/' || br from kg")
-def unnest_props_all(spark, d):
+def unnest_props(spark, d):
     g = _kg(spark, d)
     return graph.properties(graph.to_triples(g), g)
 
 
 @query(f"with {X.KG_SQL} select br, title as \"dcterms:title\", pub_date as \"prism:publicationDate\" from kg")
-def pivot_properties_all(spark, d):
+def pivot_properties(spark, d):
     g = _kg(spark, d)
     return evaluate.pivoted(graph.properties(graph.to_triples(g), g), ["dcterms:title", "prism:publicationDate"])
 
 
 @query(f"with {X.KG_SQL} select br, array_to_string(list_sort(['dcterms:title','prism:publicationDate','datacite:hasIdentifier','pro:isDocumentContextFor','frbr:partOf','frbr:embodiment']), ', ') as predicates from kg")
-def observed_predicates_all(spark, d):
+def observed_predicates(spark, d):
     g = _kg(spark, d)
     p = graph.properties(graph.to_triples(g), g).groupBy("br").agg(F.array_sort(F.collect_set("p")).alias("a"))
     return p.select("br", F.array_join("a", ", ").alias("predicates"))
@@ -205,7 +194,7 @@ def observed_predicates_all(spark, d):
 def _cand(name: str):
     def run(spark, d):
         s = next(s for s in S.STRATEGIES if s.name == name)
-        return S.generate(_prep(spark, d), _kg(spark, d), s, CFG).select("ref_id", *S.CANDIDATE, "query_type")
+        return S.generate(*_both(spark, d), s, CFG).select("ref_id", *S.CANDIDATE, "query_type")
 
     run.__name__ = f"cand_{name}"
     return query(f"{X.BASE_SQL} select ref_id, {CAND}, query_type from ({X.STRATEGY_SQL[name]})")(run)
@@ -217,12 +206,12 @@ for _s in S.STRATEGIES:
 
 @query(f"{X.BASE_SQL}, {X.SCORED_SQL} select query_type, count(*) as n_candidates, count(distinct ref_id) as n_refs from cands group by 1")
 def cand_union_distinct(spark, d):
-    return S.all_candidates(_prep(spark, d), _kg(spark, d), CFG).groupBy("query_type").agg(F.count(F.lit(1)).alias("n_candidates"), F.countDistinct("ref_id").alias("n_refs"))
+    return S.all_candidates(*_both(spark, d), CFG).groupBy("query_type").agg(F.count(F.lit(1)).alias("n_candidates"), F.countDistinct("ref_id").alias("n_refs"))
 
 
 @query(f"{X.BASE_SQL}, {X.SCORED_SQL} select count(*) as n from cands where prio > 2")
 def cand_without_doi_blocking(spark, d):
-    return S.all_candidates(_prep(spark, d), _kg(spark, d), MatchConfig(use_doi=False)).agg(F.count(F.lit(1)).alias("n"))
+    return S.all_candidates(*_both(spark, d), MatchConfig(use_doi=False)).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- scores and winners
@@ -253,13 +242,53 @@ def cascade_no_year(spark, d):
     return resolve.without_year(_scored(spark, d)).select("ref_id", *_i("score_without_year"))
 
 
-@query(f"""{X.ALL_SQL}, ny as (select ref_id, max(score - c_year) as s from scored where prio in (2, 3) and r_year is not null group by 1)
-select p.ref_id, coalesce(w.score, 0) as score_original, nullif(s, 0) as score_without_year, nullif(greatest(coalesce(w.score, 0), coalesce(s, 0)), 0) as best_score,
-  case when greatest(coalesce(w.score, 0), coalesce(s, 0)) > 0 then 'Yes' else 'No' end as threshold_failed
-from prep p left join won w using (ref_id) left join ny using (ref_id) where coalesce(w.score, 0) < 26 * 0.9""")
+def _cascade(spark, d):
+    g = store(_kg(spark, d))
+    refs = store(X.refs(g))
+    return (refs, *resolve.cascade(refs, g, CFG))
+
+
+@query(f"{X.ALL_PASSES_SQL} select ref_id, br, query_type, score, 1 as pass_no from acc union all select ref_id, br, query_type, score, 2 from acc2 union all select ref_id, br, query_type, score, 3 from acc3")
+def winner_cascade(spark, d):
+    return _cascade(spark, d)[1].select("ref_id", "br", "query_type", *_i("score", "pass_no"))
+
+
+@query(f"{X.ALL_PASSES_SQL} select ref_id, doi, year, first_author_lastname, article_title from merged")
+def enriched_pass(spark, d):
+    """What the first pass left, its empty fields read out of the raw citations."""
+    from ..operators import enrich
+
+    g = store(_kg(spark, d))
+    refs = store(X.refs(g))
+    won = resolve.winners(scoring.score(S.all_candidates(S.prepare(refs, CFG), g, CFG), CFG), CFG)
+    return enrich.enrich(refs.join(resolve.accepted(won, CFG).select("ref_id"), "ref_id", "left_anti")).select("ref_id", "doi", "year", "first_author_lastname", "article_title")
+
+
+@query(f"""{X.ALL_PASSES_SQL} select count(*) as n_references, (select count(*) from acc) as n_pass_1, (select count(*) from acc2) as n_pass_2, (select count(*) from acc3) as n_pass_3,
+  (select count(*) from refs2) as n_attempts, count(*) - (select count(*) from acc) - (select count(*) from acc2) - (select count(*) from acc3) as n_unmatched, (select count(*) from acc2) as n_successes from refs""")
+def pass_counts(spark, d):
+    return resolve.pass_counts(*_cascade(spark, d))
+
+
+@query(f"""{X.ALL_PASSES_SQL}, x as (select m.ref_id, coalesce(a.score, 0) as score_original, b.score as score_enriched, c.score as score_without_year from merged m
+  left join won a using (ref_id) left join won2 b using (ref_id) left join won3 c using (ref_id) where ref_id not in (select ref_id from acc2) and ref_id not in (select ref_id from acc3))
+select *, nullif(greatest(score_original, coalesce(score_enriched, 0), coalesce(score_without_year, 0)), 0) as best_score, case when score_enriched is not null then 'Yes' else 'No' end as enrichment_attempted,
+  case when greatest(score_original, coalesce(score_enriched, 0), coalesce(score_without_year, 0)) > 0 then 'Yes' else 'No' end as threshold_failed from x""")
 def unmatched_report(spark, d):
-    s = _scored(spark, d)
-    return resolve.unmatched(_prep(spark, d), s, resolve.winners(s, CFG), CFG).select("ref_id", *_i("score_original", "score_without_year", "best_score"), "threshold_failed")
+    return _cascade(spark, d)[2].select("ref_id", *_i("score_original", "score_enriched", "score_without_year", "best_score"), "enrichment_attempted", "threshold_failed")
+
+
+@query(f"""{X.ALL_PASSES_SQL}, y as (select m.ref_id, coalesce(a.score, 0) as o, b.score as e, c.score as y from merged m
+  left join won a using (ref_id) left join won2 b using (ref_id) left join won3 c using (ref_id) where ref_id not in (select ref_id from acc2) and ref_id not in (select ref_id from acc3)),
+z as (select *, greatest(o, coalesce(e, 0), coalesce(y, 0)) as g from y)
+select r.ref_id as reference_id, r.year, volume, first_page, first_author_lastname, article_title, volume_title, journal_title, doi, unstructured, case when g > 0 then g::varchar else 'N/A' end as best_score, o::varchar as score_original,
+  coalesce(e::varchar, 'N/A') as score_after_grobid, coalesce(z.y::varchar, 'N/A') as score_without_year, case when e is not null then 'Yes' else 'No' end as grobid_attempted, case when g > 0 then 'Yes' else 'No' end as threshold_failed
+from z join refs r on r.ref_id = z.ref_id""")
+def unmatched_table(spark, d):
+    from ..sources import sinks
+
+    refs, _, report = _cascade(spark, d)
+    return sinks.unmatched(report, refs)
 
 
 @query(f"""{X.ALL_SQL} select ref_id as reference_id, coalesce(nullif(r_title, ''), 'N/A') as article_title, title as matched_title, score, doi as matched_doi, br as meta_id, query_type from acc""")
@@ -271,11 +300,11 @@ def matches_table(spark, d):
 
 @query()
 def title_fuzzy(spark, d):
-    """Similarity of each damaged title to its resource's title."""
-    k = _kg(spark, d).select("k", F.col("title").alias("full"))
-    r = _refs(spark, d).where("article_title <> ''").select("ref_id", "k", "article_title")
-    a, b = N.norm_title(F.col("article_title")), N.norm_title(F.reverse(F.col("full")))
-    return r.join(k, "k").select("ref_id", a.alias("a"), b.alias("b")).select("ref_id", fuzzy.ratio_udf(F.col("a"), F.col("b")).alias("ratio"), fuzzy.partial_ratio_udf(F.col("a"), F.col("b")).alias("partial"), fuzzy.token_sort_ratio_udf(F.col("a"), F.col("b")).alias("token_sort"), fuzzy.token_set_ratio_udf(F.col("a"), F.col("b")).alias("token_set"), fuzzy.similarity_udf(F.col("a"), F.col("b")).alias("similarity"))
+    """Similarities of references' titles, as delivered, to those of the resources that have their DOI; no SQL has them."""
+    k = table(spark, d, "kg_resource").select(F.lower(F.trim("doi")).alias("doi"), N.norm_title(F.col("title")).alias("b")).where("doi <> '' and b <> ''").distinct()
+    r = table(spark, d, "bib_reference").select(N.norm_doi(F.col("doi")).alias("doi"), N.norm_title(F.col("article_title")).alias("a")).where("doi <> '' and a <> ''").distinct()
+    x = r.join(k, "doi").select("a", "b").distinct()
+    return x.select("a", "b", *[f(F.col("a"), F.col("b")).alias(n) for n, f in (("ratio", fuzzy.ratio_udf), ("partial", fuzzy.partial_ratio_udf), ("token_sort", fuzzy.token_sort_ratio_udf), ("token_set", fuzzy.token_set_ratio_udf), ("similarity", fuzzy.similarity_udf))])
 
 
 @query()
@@ -294,7 +323,7 @@ def coverage_stats(spark, d):
     return stats.coverage(_prep(spark, d))
 
 
-@query(f"{X.ALL_SQL} select count(*) as n_matches, count(*) filter (where c_doi > 0) as by_doi, count(*) filter (where c_author > 0) as by_author, count(*) filter (where c_year > 0) as by_year, count(*) filter (where c_volume > 0) as by_volume, count(*) filter (where c_page > 0) as by_page, count(*) filter (where title_sim >= 100) as by_title_exact, count(*) filter (where title_sim >= 75 and title_sim < 100) as by_title_fuzzy from acc")
+@query(f"{X.ALL_SQL} select count(*) as n_matches, count(*) filter (where c_doi > 0) as by_doi, count(*) filter (where c_author > 0) as by_author, count(*) filter (where c_year > 0) as by_year, count(*) filter (where abs(r_year - cast(substring(pub_date, 1, 4) as int)) = 1) as by_year_adjacent, count(*) filter (where c_volume > 0) as by_volume, count(*) filter (where c_page > 0) as by_page, count(*) filter (where title_sim >= 100) as by_title_exact, count(*) filter (where title_sim >= 75 and title_sim < 100) as by_title_fuzzy from acc")
 def field_contribution(spark, d):
     return stats.contribution(resolve.accepted(_won(spark, d), CFG))
 
@@ -331,8 +360,12 @@ pos as (select base, doi from gold where k % 7 <> 0), neg as (select base, doi f
 
 
 def _sets(spark, d):
-    g = _prep(spark, d).join(_refs(spark, d).select("ref_id", "k"), "ref_id").join(_kg(spark, d).select("k", F.col("doi").alias("own")), "k").select(F.col("source_file").alias("base"), "k", F.when(F.col("r_doi") == "", F.col("own")).otherwise(F.col("r_doi")).alias("doi"))
-    pred = resolve.accepted(_won(spark, d), CFG).select(F.col("source_file").alias("base"), F.lower("doi").alias("doi"), "score").dropDuplicates(["base", "doi"])
+    kg = store(_kg(spark, d))
+    refs = store(X.refs(kg))
+    prep = store(S.prepare(refs, CFG))
+    g = prep.join(refs.select("ref_id", "k"), "ref_id").join(kg.select("k", F.col("doi").alias("own")), "k").select(F.col("source_file").alias("base"), "k", F.when(F.col("r_doi") == "", F.col("own")).otherwise(F.col("r_doi")).alias("doi"))
+    won = resolve.winners(scoring.score(S.all_candidates(prep, kg, CFG), CFG), CFG)
+    pred = resolve.accepted(won, CFG).select(F.col("source_file").alias("base"), F.lower("doi").alias("doi"), "score").dropDuplicates(["base", "doi"])
     return g.where("k % 7 <> 0"), g.where("k % 7 = 0"), pred
 
 

@@ -27,14 +27,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: survives the loss of an executor, unlike a local one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager)
-
-
 def store(df: DataFrame) -> DataFrame:
     """Cut lineage by a table written to the shared folder: columnar and compressed, so smaller than a checkpoint.
 
@@ -50,12 +42,6 @@ def store(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """``fan_out`` only where the scan gives fewer partitions than cores, as for one small file."""
+    """Rows over all cores before costly Python work, only where the scan gives fewer partitions than cores, as for one small file."""
     n = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
-def fan_out(df: DataFrame, *cols: str, per_core: int = 2) -> DataFrame:
-    """Spread the rows of a few large files over the cores before costly Python work."""
-    n = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(n, *cols) if cols else df.repartition(n)

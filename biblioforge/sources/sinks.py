@@ -18,9 +18,9 @@ def matches(won: DataFrame) -> DataFrame:
 
 def unmatched(report: DataFrame, refs: DataFrame) -> DataFrame:
     """The unmatched table with its 16 columns; scores that a pass did not give read ``N/A``."""
-    x = report.select("ref_id", *[F.coalesce(F.col(c).cast("string"), F.lit(NA)).alias(c) for c in ("best_score", "score_original", "score_without_year")], "threshold_failed").join(refs, "ref_id")
-    have = {"reference_id": F.col("ref_id"), "score_after_grobid": F.lit(NA), "grobid_attempted": F.lit("No")}
-    return x.select(*[have.get(c, F.col(c) if c in x.columns else F.lit("")).alias(c) for c in UNMATCHED_COLUMNS])
+    scores = {"best_score": "best_score", "score_original": "score_original", "score_enriched": "score_after_grobid", "score_without_year": "score_without_year"}
+    x = report.select("ref_id", *[F.coalesce(F.col(c).cast("string"), F.lit(NA)).alias(n) for c, n in scores.items()], F.col("enrichment_attempted").alias("grobid_attempted"), "threshold_failed").join(refs, "ref_id")
+    return x.select(*[(F.col("ref_id") if c == "reference_id" else F.col(c) if c in x.columns else F.lit("")).alias(c) for c in UNMATCHED_COLUMNS])
 
 
 def write_csv(df: DataFrame, path: str, by: str | None = None, order: str | None = None) -> None:

@@ -47,6 +47,16 @@ def test_titles(spark):
     assert one(spark, "Deep (water) rocks", N.title_pattern) == r"Deep.*\(water\).*rocks"
 
 
+@pytest.mark.parametrize(("v", "want"), [("Straße nach Ørsted", "strasse nach orsted"), ("Вода и память", "voda i pamiat"), ("e\u0301tude\u00a0H₂O", "etude h2o"), ("Ｄｅｅｐ", "deep"), ("Φύσις", "phusis")])
+def test_titles_are_spelt_in_ascii(spark, v, want):
+    assert one(spark, v, N.norm_title).replace("u044c", "") == want
+
+
+def test_titles_of_other_scripts_are_equal_to_themselves_only(spark):
+    a, b = one(spark, "代謝の侵食", N.norm_title), one(spark, "水と記憶", N.norm_title)
+    assert a and b and a != b and a == one(spark, "代謝の侵食。", N.norm_title)
+
+
 @pytest.mark.parametrize(("v", "want"), [("Smith, J", "Smith"), ("J Smith", "Smith"), ('[{"family": "Lee"}]', "Lee"), ('[{"name": "Ng, A"}]', "Ng"), ('["Roe, B"]', "Roe"), ('{"family-name": "Poe"}', "Poe"), (None, None)])
 def test_author_of(spark, v, want):
     assert one(spark, v, N.author_of) == want
@@ -112,8 +122,6 @@ def test_fuzzy_title_and_unmatched(spark):
     r, kg = frames(spark, [("br/1", "Deep water rocks and sands", "2009", None, "Müller", None, None, None)], doi="", first_page="")
     s = scoring.score(S.all_candidates(r, kg), CFG, fuzzy_titles=True)
     assert resolve.winners(s, CFG).first().score == 7 + 14  # the shorter title is part of the other
-    u = resolve.unmatched(r, s, resolve.winners(s, CFG), CFG).first()
-    assert (u.best_score, u.threshold_failed) == (21, "Yes")
     empty = resolve.winners(scoring.score(S.all_candidates(r.limit(0), kg), CFG), CFG)
     assert empty.count() == 0
 
@@ -125,15 +133,65 @@ def test_authors_and_literals_of_all_rows(spark, tmp_path):
     spark.createDataFrame([(i, v, v) for i, v in enumerate(WIDE)], "ref_row_id bigint, first_author_lastname string, article_title string").write.parquet(f"{tmp_path}/bib_reference.parquet")
     author = lambda v: None if v is None else " ".join(v.lower().split())
     literal = lambda v: None if v is None else " ".join(re.sub(r"[\x00-\x1f\x7f<>{}|^`]", " ", unicodedata.normalize("NFC", v)).split())[:1000]
-    got = {r[0]: r[1] for r in matching.QUERIES["norm_author_all"](spark, str(tmp_path)).collect()}
+    got = {r[0]: r[1] for r in matching.QUERIES["norm_author"](spark, str(tmp_path)).collect()}
     assert got == {i: author(v) for i, v in enumerate(WIDE)}
-    got = {r[0]: r[1] for r in matching.QUERIES["clean_literal_all"](spark, str(tmp_path)).collect()}
+    got = {r[0]: r[1] for r in matching.QUERIES["clean_literal"](spark, str(tmp_path)).collect()}
     assert got == {i: literal(v) for i, v in enumerate(WIDE)}
 
 
-@pytest.mark.parametrize(("name", "rows"), [("unnest_props_all", 6), ("pivot_properties_all", 1), ("observed_predicates_all", 1)])
+@pytest.mark.parametrize(("name", "rows"), [("unnest_props", 6), ("pivot_properties", 1), ("observed_predicates", 1)])
 def test_properties_of_all_resources(spark, name, rows):
     d = "/root/testdata/sf0.001"
     got = matching.QUERIES[name](spark, d)
     n = spark.read.parquet(f"{d}/orders.parquet").count()
     assert got.count() == rows * n and got.select("br").distinct().count() == n
+
+
+RAW = "ref_id string, year string, volume string, first_page string, first_author_lastname string, article_title string, volume_title string, journal_title string, doi string, unstructured string"
+
+
+def graph_of(spark, *rows):
+    return spark.createDataFrame(rows, "br string, title string, pub_date string, doi string, author_name string, volume_num string, start_page string, end_page string")
+
+
+def test_titles_of_different_scripts_are_no_match(spark):
+    r = S.prepare(spark.createDataFrame([("r", "1999", "3", "7", "", "代謝の侵食", "", "", "", "")], RAW))
+    kg = graph_of(spark, ("br/1", "Вода и память", "1999", None, None, "3", "7", None))
+    w = resolve.winners(scoring.score(S.all_candidates(r, kg, CFG), CFG, fuzzy_titles=True), CFG)
+    assert w.first().title_sim < 100 and resolve.accepted(w, CFG).count() == 0
+
+
+def test_the_best_of_three_titles_counts(spark):
+    r = S.prepare(spark.createDataFrame([("r", "1999", "3", "7", "", "Something else", "", "Deep lakes", "", "")], RAW))
+    kg = graph_of(spark, ("br/1", "Deep Lakes.", "1999", None, None, "3", "7", None), ("br/2", "???", "1999", None, None, "3", "7", None))
+    for fuzzy_titles in (False, True):
+        w = resolve.winners(scoring.score(S.all_candidates(r, kg, CFG), CFG, fuzzy_titles), CFG).first()
+        assert (w.br, w.title_sim, w.score) == ("br/1", 100, 14 + 1 + 3 + 8)
+
+
+def test_hot_authors_lose_no_pair(spark, monkeypatch):
+    titles = ["Deep water rocks", "DEEP (water) and rocks", "On it", "Shallow waters", "Rocks of the deep water", None]
+    refs = S.prepare(spark.createDataFrame([(f"r{i}", "1999", "", "", a, t or "", "", "", "", "") for i, t in enumerate(titles) for a in ("Hot", "Cold")], RAW))
+    kg = graph_of(spark, *[(f"br/{i}", t, "1999", None, a, None, None, None) for i, t in enumerate(titles) for a in ("Hot", "Cold")])
+    found = lambda: sorted((r.ref_id, r.br, r.author_name) for r in S.generate(refs, kg, S.STRATEGIES[2], CFG).collect())
+    plain = found()
+    monkeypatch.setattr(S, "HOT_AUTHOR", 3)
+    assert len(plain) > 10 and found() == plain
+
+
+def test_cascade(spark):
+    cite = "Roe, “Deep lakes and rivers”, 1999, 7–9. doi:10.1234/a"
+    refs = spark.createDataFrame([("a", "1999", "", "", "Lee", "Deep lakes and rivers", "", "", "10.1234/a", ""), ("b", "", "", "", "", "", "", "", "", cite), ("c", "1999", "", "", "", "", "", "", "", "Roe, nothing"), ("d", "1950", "", "", "", "Deep lakes and rivers", "", "", "10.1234/a", "")], RAW)
+    kg = graph_of(spark, ("br/1", "Deep lakes and rivers", "1999", "10.1234/a", "Lee", "3", "7", "9"))
+    won, report = resolve.cascade(refs, kg, CFG)
+    assert {(r.ref_id, r.pass_no, r.score) for r in won.collect()} == {("a", 1, 37), ("b", 2, 30), ("d", 1, 29)}
+    r = report.first()
+    assert report.count() == 1 and (r.ref_id, r.score_original, r.score_enriched, r.best_score, r.enrichment_attempted, r.threshold_failed) == ("c", 0, None, None, "No", "No")
+    from biblioforge.sources import sinks
+
+    u = sinks.unmatched(report, refs)
+    assert len(u.columns) == 16 and (u.first().score_original, u.first().score_after_grobid, u.first().grobid_attempted) == ("0", "N/A", "No")
+    n = resolve.pass_counts(refs, won, report).first()
+    assert (n.n_references, n.n_pass_1, n.n_pass_2, n.n_attempts, n.n_successes, n.n_unmatched) == (4, 2, 1, 2, 1, 1)
+    empty = resolve.cascade(refs.limit(0), kg, CFG)
+    assert empty[0].count() == 0 and empty[1].count() == 0

@@ -24,6 +24,21 @@ def test_links(wrap):
     assert links(wrap(DOC)) == LINKS
 
 
+def test_any_number_of_wraps_comes_off():
+    text = json.dumps(DOC)
+    for i in range(7):
+        text = json.dumps(text) if i % 2 else f"[{text}]"
+    assert links(text) == LINKS
+
+
+def test_long_blanks_and_odd_scalars():
+    doc = {"message": {"reference": [{"author": " " * 500}, {"author": "\u3000\t"}, {"author": -1.5e3, "year": 2001, "volume": None, "key": "a\\b\"c", "DOI": True}]}}
+    assert links(json.dumps(doc)) == [(1, 0), (2, 0), (3, 1)]
+    for ix, num, obj in N.documents_of([json.dumps(doc).encode()]):
+        rows = [c.to_pylist() if hasattr(c, "to_pylist") else list(c) for c in N._rows(ix, obj, "references", np.array([7])[num])]
+        assert [rows[k][2] for k in (2, 3, 5, 6)] == ['a\\b"c', "true", "2001", None]
+
+
 @pytest.mark.parametrize("text", ["", "null", "[]", '"x"', "{}", '{"message": null}', '{"message": {}}', '{"message": {"reference": []}}', '{"a": 1,}', '{"a" 1}', '{"a": tru}', '{"a": "\\x"}', '{"a": 01}', '{"message": {"reference": [{"author": "A"}]}', '{"message": {"reference": [{"author": "A"}]}} x'])
 def test_no_rows(text):
     assert links(text) == []
