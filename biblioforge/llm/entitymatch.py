@@ -77,10 +77,10 @@ def clean_title(s: str | None) -> tuple[str, int]:
     if "<" in s:
         s = _TAG.sub("", s)
     s = " ".join(s.lower().split()).strip(" .")
-    while (n := _TAIL.sub("", s)) != s and n:
+    while s and not s[-1].isalnum() and (n := _TAIL.sub("", s)) != s and n:
         s = n
     part = 0
-    if m := _PART.search(s[-40:] if len(s) > 40 else s):
+    if (s[-1:] in ").…ivx" or s[-1:].isdigit() or ":" in s[-40:]) and (m := _PART.search(s[-40:] if len(s) > 40 else s)):
         p = next(g for g in m.groups() if g)
         n, at = _ROMAN.get(p) or (int(p) if p.isdigit() else 0), m.start() + max(0, len(s) - 40)
         if n and at > 8:
@@ -198,6 +198,7 @@ class Weights:
         self.n, self.mean, self.most = n, mean, most
         self.rare = self.idf(max(1.0, min(least, n)))
         self.w = {s: (self.idf(k), m) for s, (k, m) in frequent.items()}
+        self.words = {s[2:]: u for s, (u, _) in self.w.items() if s[0] == "t"}
 
     def idf(self, df: float) -> float:
         return math.log1p((self.n - df + 0.5) / (df + 0.5)) if self.n else 0.0
@@ -407,39 +408,61 @@ def _soft(x: list[str], y: list[str], weight: dict[str, float]) -> tuple[float,
 
 
 def measure(q: dict, d: dict, w: Weights) -> tuple[float, float, float, float, float, float, int, int, int, bool]:
-    """(score, share, title, back, miss, mass, page, year, author, whether nothing contradicts) of a pair.
+    """(score, share, title, back, miss, mass, page, year, author, whether it counts) of a pair.
+
+    It counts above the bound where nothing contradicts.
 
     Agreements are 1, disagreements -1, unknown 0; for years 1 is equal and 2 one apart.
     """
-    names = [f"t:{t}" for t in q["words"]] + [f"a:{a}" for a in q["authors"]] + [f"y:{q['year']}"]
-    known = w.weights(names, q["rare"])
-    u = [x for x, _ in known]
-    weight = {t: w.w.get(f"t:{t}", (w.rare,))[0] for t in d["words"]} | dict(zip(q["words"], u))
-    n, m, k = sum(q["tf"]), sum(d["tf"]), len(q["words"])
+    near: dict[str, list[tuple[str, float]]] = {}
+    for r in q["rare"].split("\n") if q["rare"] else ():
+        t, v, k, f = r.split(" ")
+        near.setdefault(t, []).append((v[2:], w.idf(int(k)) * float(f)))
+    known, rare = w.words, w.rare
+    n, m = sum(q["tf"]), sum(d["tf"])
     dt = dict(zip(d["words"], d["tf"]))
+    weight: dict[str, float] = {}
     score = own = 0.0
-    for f, (x, found) in zip(q["tf"], known[:k]):
-        own += x * w.impact(f, n) * WEIGHTS["t"]
-        score += WEIGHTS["t"] * max((y * w.impact(dt[v[2:]], m) for v, y, _ in found if v[2:] in dt), default=0.0)
-    for a, x in zip(q["authors"], u[k:]):
-        own += x * WEIGHTS["a"]
-        score += x * WEIGHTS["a"] * (a in d["authors"])
+    for t, f in zip(q["words"], q["tf"]):
+        x = known.get(t)
+        if x is not None:
+            if t in dt:
+                score += x * w.impact(dt[t], m)
+        elif found := near.get(f"t:{t}"):
+            x = max(y for _, y in found)
+            score += max((y * w.impact(dt[v], m) for v, y in found if v in dt), default=0.0)
+        else:
+            x = rare
+        weight[t] = x
+        own += x * w.impact(f, n)
+    score, own = score * WEIGHTS["t"], own * WEIGHTS["t"]
+    for a in q["authors"]:
+        x = WEIGHTS["a"] * (w.w[f"a:{a}"][0] if f"a:{a}" in w.w else max((y for _, y in near.get(f"a:{a}", ())), default=rare))
+        own += x
+        score += x * (a in d["authors"])
     year = 0
     if q["year"] is not None:
-        own += u[-1] * WEIGHTS["y"]
+        x = WEIGHTS["y"] * (w.w[y][0] if (y := f"y:{q['year']}") in w.w else max((z for _, z in near.get(y, ())), default=rare))
+        own += x
         if d["year"] is not None:
             apart = abs(q["year"] - d["year"])
-            score += u[-1] * WEIGHTS["y"] * (apart == 0)
+            score += x * (apart == 0)
             year = 1 if apart == 0 else 2 if apart == 1 else -1
     page = 0 if not q["page"] or not d["page"] else 1 if q["page"] == d["page"] else -1
+    fits = page >= 0 and year >= 0 and not (q["part"] and d["part"] and q["part"] != d["part"])
+    share = score / own if own else 0.0
+    if not fits or share < (KEEP_PAGE if page == 1 else KEEP_OTHER) - 1e-3:
+        return score, share, 0.0, 0.0, 1.0, 0.0, page, year, 0, False  # below the bound nothing else is asked
     author = 0
     if q["authors"] and d["authors"]:
         author = 1 if any(x == y or namelink.edit(x, y, 1) <= 1 or len(x) > 6 and (x in y or y in x) for x in q["authors"] for y in d["authors"]) else -1
-    fits = page >= 0 and year >= 0 and not (q["part"] and d["part"] and q["part"] != d["part"])
+    for t in d["words"]:
+        if t not in weight:
+            weight[t] = known.get(t, rare)
     mass = math.log1p(sum(weight[t] for t in q["words"]))
     title, miss = _soft(q["words"], d["words"], weight)
     back, _ = _soft(d["words"], q["words"], weight)
-    return score, score / own if own else 0.0, title, back, miss / w.rare if w.rare else 0.0, mass, page, year, author, fits
+    return score, share, title, back, miss / rare if rare else 0.0, mass, page, year, author, True
 
 
 _MEASURES = ("score", "share", "title", "back", "miss", "mass", "page", "year", "author", "fits", "parts")
@@ -529,7 +552,7 @@ def matched(refs: DataFrame, resources: DataFrame, labelled: DataFrame | None =
     ranked = store(_ranked(_measured(_candidates(queries, resources, w), queries, resources, w)))
     coefficients = _fitted(labelled.join(sigs, "sig").select("q", "truth"), ranked) if labelled is not None else PRIOR
     z = reduce(lambda a, b: a + b, [F.lit(float(c)) * x for c, x in zip(coefficients, _features())])
-    found = (F.col("share") >= F.when(F.col("page") == 1, KEEP_PAGE).otherwise(KEEP_OTHER) - 1e-3) & F.col("fits") & (F.col("rank") == F.col("first"))
+    found = F.col("fits") & (F.col("rank") == F.col("first"))
     best = ranked.where(found).select("q", "br", "share", "gap", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
     mine = rows.select("id", "file", "cited", "sig").join(sigs, "sig").join(best, "q").drop("q", "sig")
     # mutual nearest within the citing file; rows of one citation that were delivered again stand together

@@ -217,6 +217,9 @@ def solve(left: str, run: str, right: str) -> tuple[float, float, str, tuple[str
         return hit
     own = cost(left, html.unescape(run) if "&" in run else run, right)  # an escape is as plausible as what it stands for
     best = (own, run, ())
+    if len(run) == 1 and own < PAIR_MARGIN and run < "\u2e80" and not (right[:1] == " " and run in "ÃÂ├√"):
+        _solved[key] = out = (own, own, run, ())  # one such byte is no UTF-8, and no other letter costs enough less
+        return out
     heap, seen = [(own, 0, run, ())], {run}
     if right[:1] == " " and run[-1:] in "ÃÂ├√":  # the second byte became an ordinary space
         heap.append((own + 0.1, 0, run + "\xa0", ()))
@@ -283,9 +286,13 @@ def utf7(value: str) -> list[str]:
     return [*pieces, value[last:]]
 
 
+#: Text whose characters beyond ASCII are usual small letters, one at a time within words.
+_SIMPLE = re.compile(f"(?:[\\x00-\\x7f]|(?<=[A-Za-z])[{''.join(sorted(_PLAIN))}](?![A-Z\\x80-\\U0010ffff])|[{''.join(sorted(_PLAIN))}](?=[a-z]))*")
+
+
 def repair(value: str | None) -> tuple[str | None, bool, bool]:
     """(text, whether it was garbled, whether characters are lost for good)."""
-    if not value:
+    if not value or "?" not in value and "&" not in value and "+" not in value and _SIMPLE.fullmatch(value):
         return value, False, False
     if "+" in value and len(pieces := utf7(value)) > 1:  # decoded groups stay, the text between them is repaired as any other
         return "".join(x if i % 2 else repair(x)[0] for i, x in enumerate(pieces)), True, repair("".join(pieces))[2]
