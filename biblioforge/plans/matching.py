@@ -13,6 +13,7 @@ from ..functions import native as N
 from ..operators import evaluate, graph, resolve, scoring, stats
 from ..operators import strategies as S
 from ..session import store, table
+from ..sources import evaluation, files
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,6 +422,59 @@ def lookup_success(spark, d):
     return g.join(pred.select("base", "doi").withColumn("hit", F.lit(1.0)), ["base", "doi"], "left").groupBy("base").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("success_rate"))
 
 
+_DOIS = f"""{X.ALL_SQL}, dois as (select source_file as base, 'b' || k as reference_id, r_doi as doi from prep where r_doi <> ''), known as (select * from kg where k % 11 <> 0)"""
+
+
+def _dois(spark, d):
+    """(cited DOIs, properties of the DOIs that a lookup knows)."""
+    g = store(_kg(spark, d))
+    refs = X.refs(g)
+    dois = S.prepare(refs, CFG).join(refs.select("ref_id", "k"), "ref_id").where("r_doi <> ''").select(F.col("source_file").alias("base"), F.concat(F.lit("b"), F.col("k").cast("string")).alias("reference_id"), F.col("r_doi").alias("doi"))
+    pair = lambda p, c: F.struct(F.lit(p).alias("p"), F.col(c).alias("o"))
+    return dois, g.where("k % 11 <> 0").select("doi", F.explode(F.array(pair("dcterms:title", "title"), pair("prism:publicationDate", "pub_date"))).alias("t")).select("doi", "t.*")
+
+
+@query(f"""{_DOIS} select base, reference_id, d.doi as "DOI", title as "dcterms:title", pub_date as "prism:publicationDate" from dois d join known k on d.doi = k.doi""")
+def doi_results(spark, d):
+    dois, props = _dois(spark, d)
+    return evaluation.doi_results(evaluation.looked_up(dois, props)[0], props, ["dcterms:title", "prism:publicationDate"])
+
+
+@query(f"""{_DOIS} select base, reference_id, doi as "DOI" from dois where doi not in (select doi from known)""")
+def unmatched_dois(spark, d):
+    return evaluation.unmatched_dois(evaluation.looked_up(*_dois(spark, d))[1])
+
+
+@query(f"""{_DOIS}, c as (select base, count(*) as n, count(k.doi) as m from dois d left join known k on d.doi = k.doi group by 1)
+select base, 0 as at, 'Total queries' as "Metric", n::varchar as "Value" from c union all select base, 1, 'Successful queries', m::varchar from c union all select base, 2, 'Success rate', printf('%.2f%%', m / n * 100) from c""")
+def lookup_statistics(spark, d):
+    dois, props = _dois(spark, d)
+    return evaluation.statistics(dois, evaluation.looked_up(dois, props)[0])
+
+
+@query(f"""{_EV}, g as (select base, doi, 'b' || max(k) as reference_id from gold where k % 7 <> 0 group by 1, 2), p as (select source_file as base, lower(doi) as doi, max(ref_id) as reference_id from acc group by 1, 2),
+x as (select 'missed' as kind, base, reference_id, doi from g where (base, doi) not in (select (base, doi) from p) union all select 'earned', base, reference_id, doi from p where (base, doi) not in (select (base, doi) from g))
+select *, count(*) over (partition by kind) as total from x""")
+def comparison_table(spark, d):
+    pos, _, _ = _sets(spark, d)
+    gold = pos.select("base", F.concat(F.lit("b"), F.col("k").cast("string")).alias("reference_id"), "doi", F.col("k").alias("ordinal"))
+    won = resolve.accepted(_won(spark, d), CFG).select(F.col("source_file").alias("base"), F.col("ref_id").alias("reference_id"), "doi", F.col("ref_id").alias("ordinal"))
+    return evaluation.compared(gold, won)
+
+
+@query(f"""{X.ALL_SQL}, n as (select source_file, count(*) as n_references from prep group by 1), m as (select source_file, count(*) as n_matches from acc group by 1), t as (select n.source_file, n_references, coalesce(n_matches, 0) as n_matches from n left join m using (source_file))
+select 'files_processed' as counter, count(*) as n from t union all select 'total_files_attempted', count(*) from t union all select 'total_references', sum(n_references)::bigint from t union all select 'matches_found', sum(n_matches)::bigint from t""")
+def aggregated_files(spark, d):
+    """Counters of all files' statistics, as they would be read from their texts."""
+    prep, g = _both(spark, d)
+    prep = store(prep)
+    won = resolve.accepted(resolve.winners(scoring.score(S.all_candidates(prep, g, CFG), CFG), CFG), CFG)
+    r = stats.rates(prep, won).where("source_file is not null")
+    line = lambda k, c: F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value"))
+    texts = store(r.select("source_file", F.explode(F.array(line("Total references processed", "n_references"), line("Total matches found", "n_matches"))).alias("l")).select("source_file", "l.*"))
+    return files.aggregated(files.stats_counters(texts), texts)
+
+
 # ---- lines and order
 
 

@@ -46,3 +46,20 @@ def chunked(df: DataFrame, order: str, size: int, buckets: int = 64) -> DataFram
 def write_chunks(df: DataFrame, column: str, path: str, size: int = 100) -> None:
     """Text files of at most ``size`` lines, line breaks within a line as blanks; no empty file is left."""
     df.select(F.regexp_replace(column, r"[\r\n]", " ").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", size).text(path)
+
+
+def output_problems(outputs: DataFrame, least_csv: int = 100, least_stats: int = 500) -> DataFrame:
+    """(source_file, reason) of files whose outputs are missing or too small to be whole.
+
+    ``outputs`` has source_file, csv_bytes and stats_bytes, null where a file is missing.
+    """
+    c, s = F.col("csv_bytes"), F.col("stats_bytes")
+    reason = F.when(c.isNull(), "CSV missing").when(c < least_csv, "CSV empty").when(s.isNull(), "Stats missing").when(s < least_stats, "Stats too small")
+    return outputs.withColumn("reason", reason).where("reason is not null").select("source_file", "reason")
+
+
+def failed_files(problems: DataFrame) -> DataFrame:
+    """(line): the report of failed files, its lines in the order of names; one row a line, so of any length."""
+    lines = problems.select(F.lit(1).alias("at"), F.concat("source_file", F.lit(": "), "reason").alias("line"))
+    head = problems.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("at"), F.concat(F.lit("Files that failed validation: "), F.col("n").cast("string")).alias("line"))
+    return head.unionByName(lines).orderBy("at", "line").select("line")
