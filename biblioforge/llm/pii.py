@@ -45,9 +45,21 @@ _PARTS = {"van", "von", "der", "de", "la", "del", "ter", "du", "di", "da", "zu",
 _STREET = {"street", "st", "road", "rd", "lane", "avenue", "ave", "crescent", "close", "blvd", "court", "way", "drive", "square", "rue", "bd", "boulevard", "place", "calle", "avda", "avenida", "plaza", "c", "flat", "apt", "paseo", "allee", "quai"}
 
 
+class _Shapes(dict):
+    """What each character looks like, worked out once: letters of Western Europe by case, digits, others as they are."""
+
+    def __missing__(self, c: int) -> str:
+        ch = chr(c)
+        self[c] = out = "9" if ch.isdecimal() else "a" if "a" <= ch <= "z" or "ß" <= ch <= "ö" or "ø" <= ch <= "ÿ" else "A" if "A" <= ch <= "Z" or "À" <= ch <= "Ö" or "Ø" <= ch <= "Þ" else ch
+        return out
+
+
+_SHAPES, _RUNS = _Shapes(), re.compile(r"(.)\1{2,}")
+_WHOLE_EMAIL, _STREETS, _DIGITS = re.compile(_EMAIL), re.compile(r"(?:str|straße|weg|platz|gasse)$"), re.compile(r"\d+")
+
+
 def shape(w: str) -> str:
-    s = re.sub(r"[A-ZÀ-ÖØ-Þ]", "A", re.sub(r"[a-zß-öø-ÿ]", "a", re.sub(r"\d", "9", w)))
-    return re.sub(r"(.)\1{2,}", r"\1\1+", s)
+    return _RUNS.sub(r"\1\1+", w.translate(_SHAPES))
 
 
 def tokens(text: str) -> list[str]:
@@ -63,11 +75,11 @@ def features(piece: str) -> list[str]:
     low = w.lower()
     if w[0] == "\n":
         return ["newline"]
-    if len(w) > 5 and re.fullmatch(_EMAIL, w):
+    if len(w) > 5 and ("@" in w or " " in w) and _WHOLE_EMAIL.fullmatch(w):
         return ["email"]
     digits = sum(c.isdigit() for c in w)
     if digits:
-        groups = re.sub(r"\d+", lambda m: str(len(m[0])), w)
+        groups = _DIGITS.sub(lambda m: str(len(m[0])), w)
         out = ["num", "s:" + shape(w), f"d:{digits}", "g:" + groups[:24], "h:" + w[:2]]
         out += ["plus"] * (w[0] == "+" or w[:2] == "(+") + ["paren"] * (w[0] == "(") + ["letters"] * any(c.isalpha() for c in w) + ["spaces"] * (" " in w) + ["dashes"] * ("-" in w) + [f"long{min(digits, 12) // 3}"] + ["caps2"] * w[:2].isalpha()
         return out
@@ -80,7 +92,7 @@ def features(piece: str) -> list[str]:
         out.append("title")
     if low in _PARTS:
         out.append("part")
-    if low in _STREET or re.search(r"(?:str|straße|weg|platz|gasse)$", low) and len(low) > 4:
+    if low in _STREET or len(low) > 4 and _STREETS.search(low):
         out.append("street")
     if w[0].isupper():
         out.append("initial" if len(w) == 1 else "inits" if w == w.upper() and len(w) < 4 else "caps" if w == w.upper() else "cap")
@@ -156,15 +168,18 @@ def viterbi(em: np.ndarray, trans: np.ndarray, start: np.ndarray, bounds: np.nda
     labels = np.zeros(len(em), np.int8)
     score = start + em[first[: active[0]]] if n else None
     finals = np.zeros(len(size), np.int8)
+    m = em.shape[1]
+    into, rows = np.ascontiguousarray(trans.T), np.arange(len(size) * m) * m  # from the label before, last
     for k in range(1, n):
         a = active[k]
         if a < len(score):
             finals[a : len(score)] = score[a:].argmax(axis=1)
             score = score[:a]
-        cand = score[:, :, None] + trans
-        best = cand.argmax(axis=1)
-        back[first[:a] + k] = best
-        score = np.take_along_axis(cand, best[:, None, :], 1)[:, 0] + em[first[:a] + k]
+        cand = score[:, None, :] + into
+        at = first[:a] + k
+        best = cand.argmax(axis=2)
+        back[at] = best
+        score = cand.reshape(-1)[rows[: a * m] + best.reshape(-1)].reshape(a, m) + em[at]
     if n:
         finals[: len(score)] = score.argmax(axis=1)
     cur = finals.copy()

@@ -180,6 +180,33 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(sizes, "size_name").select("size_name", "n_containers", "n_tokens", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("unused_share"))
 
 
+@query
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must not happen, counted by container size: overfull containers, needless splits, texts and tokens that are lost."""
+    sizes, sized = table(spark, sf_dir, "container_size").where("capacity_tokens > 0"), _sized(spark, sf_dir)
+    p = store(packing.packed(sized, sizes)).join(sizes, "size_name")
+    over = p.groupBy("size_name", "container").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("t"), F.first("capacity_tokens").alias("c")).groupBy("size_name").agg(F.count_if(F.col("t") > F.col("c")).alias("n_overfull"))
+    docs = p.groupBy("size_name", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n_tokens").cast("bigint")).alias("t"), F.first("capacity_tokens").alias("c")).join(sized.groupBy("doc_id").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("own"), F.count(F.lit(1)).alias("times")), "doc_id")
+    each = docs.groupBy("size_name").agg(F.count_if((F.col("k") > F.col("times")) & (F.col("own") <= F.col("c"))).alias("n_split"), F.count_if(F.col("t") != F.col("own")).alias("n_changed"), F.count(F.lit(1)).alias("n_docs"))
+    return over.join(each, "size_name").select("size_name", "n_overfull", "n_split", "n_changed", "n_docs")
+
+
+ORACLES["p7_invariants"] = "select size_name, 0 as n_overfull, 0 as n_split, 0 as n_changed, (select count(distinct doc_id) from documents) as n_docs from container_size where capacity_tokens > 0"
+
+
+@query
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source: texts used too often, uses of texts of another source, and whether the share is within a point of its target."""
+    t, docs = table(spark, sf_dir, "mix_target"), table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own"))
+    mix = store(mixing.mixed(_sized(spark, sf_dir, "source"), t))
+    uses = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(t.select("source", "max_repeat"), "source").join(docs, "doc_id")
+    bad = uses.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeat")).alias("n_overused"), F.count_if(F.col("own") != F.col("source")).alias("n_foreign"))
+    return mixing.shares(mix, t).join(bad, "source").select("source", "n_overused", "n_foreign", (F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01).alias("near_target"))
+
+
+ORACLES["p8_invariants"] = "select source, 0 as n_overused, 0 as n_foreign, true as near_target from mix_target"
+
+
 @query
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix: slots in order with their texts."""
