@@ -81,10 +81,10 @@ def norm_title(c: Column) -> Column:
 
     Letters of other scripts are spelt by their code points, so that only equal texts become equal.
     """
-    for a, b in TITLE_SIGNS + GREEK + ISOTOPES:
+    for a, b in ISOTOPES:
         c = F.replace(c, F.lit(a), F.lit(b))
-    far = c
-    for a, b in SPELT:
+    far = c  # all below only where there is more than ASCII
+    for a, b in TITLE_SIGNS + GREEK + SPELT:
         far = F.replace(far, F.lit(a), F.lit(b))
     far = F.regexp_replace(F.translate(far, "".join(LETTERS), "".join(LETTERS.values())), r"\p{M}", "")
     far = F.regexp_replace(far, r"\p{Z}", " ")
@@ -120,6 +120,11 @@ def newline_free(c: Column) -> Column:
     return F.regexp_replace(c, r"[\r\n]", " ")
 
 
+def citation_text(c: Column) -> Column:
+    """A raw citation as a parser gets it: without bytes that are no UTF-8."""
+    return F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
+
+
 def repair_garbled(c: Column) -> Column:
     """Opt-in: the fixed garbled sequences only."""
     for a, b in GARBLED:

@@ -25,5 +25,5 @@ def enrich(refs: DataFrame, parser: Callable[[DataFrame], DataFrame] = by_patter
     """References whose empty fields are filled from what the parser finds in the raw citation; a given first page stays, a missing one too."""
     from .resolve import merge_if_empty
 
-    found = parser(refs.where("unstructured <> ''").select("ref_id", "unstructured"))
+    found = parser(refs.where("unstructured <> ''").select("ref_id", N.citation_text(F.col("unstructured")).alias("unstructured")))
     return merge_if_empty(refs, found, [c for c in ("doi", "year", "first_author_lastname", "volume", "article_title") if c in found.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DOI_SCHEME, P
+from ..session import store
 
 
 def pattern(triples: DataFrame, predicate: str, s: str, o: str, value: str | None = None) -> DataFrame:
@@ -44,7 +45,11 @@ def pages(triples: DataFrame) -> DataFrame:
 
 
 def candidates(triples: DataFrame) -> DataFrame:
-    """The wide table all strategies read: every optional block joined to the titles and dates, distinct."""
+    """The wide table all strategies read: every optional block joined to the titles and dates, distinct.
+
+    The triples in use are stored once, in the order of their predicates, so that each pattern reads its own only.
+    """
+    triples = store(triples.where(F.col("p").isin(*P.values())).sortWithinPartitions("p"))
     brs = triples.where(F.col("p").isin(P["title"], P["date"], P["identifier"])).select(F.col("s").alias("br")).distinct()
     out = bgp(brs, pattern(triples, P["title"], "br", "title"), pattern(triples, P["date"], "br", "pub_date"), identifiers(triples), authors(triples), volumes(triples), pages(triples), how="left")
     return out.select("br", "title", "pub_date", "doi", "author_name", "volume_num", "start_page", "end_page").distinct()

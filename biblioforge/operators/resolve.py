@@ -1,10 +1,10 @@
-"""The winner of each reference, acceptance and the cascade of passes, as hash aggregates."""
+"""The winner of each reference, acceptance and the cascade of passes, by limited windows and hash aggregates."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
@@ -15,16 +15,15 @@ from . import enrich, scoring, strategies
 ORDER = ["prio", "br", "doi", "title", "author_name", "volume_num", "start_page", "end_page", "pub_date"]
 
 
-def _order() -> Column:
-    return F.struct(F.col("prio"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ORDER[1:]])
-
-
 def winners(scored: DataFrame, cfg: MatchConfig = MatchConfig(), early_stop: bool = True) -> DataFrame:
-    """One candidate a reference: the first at the threshold, else the first of the highest score above 0."""
-    row = F.struct(*[c for c in scored.columns if c != "ref_id"])
+    """One candidate a reference: the first at the threshold, else the first of the highest score above 0.
+
+    Spark limits the groups before they are shuffled, so a reference with very many candidates sends few.
+    """
     late = F.col("score") < cfg.threshold if early_stop else F.lit(True)
-    key = F.struct(late.alias("late"), F.when(late, -F.col("score")).otherwise(0).alias("s"), _order().alias("o"))
-    return scored.where("score > 0").groupBy("ref_id").agg(F.min_by(row, key).alias("w")).select("ref_id", "w.*")
+    order = [late, F.when(late, -F.col("score")).otherwise(0), F.col("prio"), *[F.coalesce(F.col(c), F.lit("")) for c in ORDER[1:]]]
+    nth = F.row_number().over(Window.partitionBy("ref_id").orderBy(*order))
+    return scored.where("score > 0").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 
 def accepted(won: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

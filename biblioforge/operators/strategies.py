@@ -129,4 +129,4 @@ def all_candidates(refs: DataFrame, kg: DataFrame, cfg: MatchConfig = MatchConfi
     """Union of the strategies; those by DOI only where DOIs block."""
     use = [s for s in strategies or STRATEGIES if cfg.use_doi or "r_doi" not in s.requires]
     r, c = _numbered(refs, kg)
-    return _wide(reduce(DataFrame.unionByName, [_pairs(r, c, s, cfg) for s in use]), r, c)
+    return _wide(store(reduce(DataFrame.unionByName, [_pairs(r, c, s, cfg) for s in use])), r, c)

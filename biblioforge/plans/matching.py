@@ -48,7 +48,7 @@ def _prep(spark, d):
 def _both(spark, d):
     """(prepared references, candidates), the graph's tables read once."""
     g = store(_kg(spark, d))
-    return S.prepare(X.refs(g), CFG), g
+    return S.prepare(store(X.refs(g)), CFG), g
 
 
 def _scored(spark, d, fuzzy_titles=False):

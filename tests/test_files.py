@@ -59,6 +59,17 @@ def test_stream_resumes(spark, tmp_path):
     (src / "b.json").write_text(json.dumps(DOC))
     assert go() == 1
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert batches.progress(str(tmp_path / "ck")) == {"begun": 2, "finished": 2}
+    assert batches.archive(str(tmp_path / "ck")) and batches.archive(str(tmp_path / "ck")) is None and go() == 1
+
+
+def test_stream_of_tei(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.xml").write_bytes("<TEI>l\xe4ke</TEI>".encode("cp1252"))
+    (src / "b.txt").write_text("no")
+    assert batches.run(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"), lambda d: d, tei=True) == 1
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("source_file", "tei").collect()] == [("a.xml", "<TEI>läke</TEI>")]
 
 
 def test_report(spark):

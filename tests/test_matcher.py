@@ -52,6 +52,11 @@ def test_titles_are_spelt_in_ascii(spark, v, want):
     assert one(spark, v, N.norm_title).replace("u044c", "") == want
 
 
+def test_citation_text(spark):
+    df = spark.createDataFrame([(b"a\xff b",), ("c\ufffdd".encode(),), (None,)], "v binary")
+    assert [r.o for r in df.select(N.citation_text(F.col("v").cast("string")).alias("o")).collect()] == ["a b", "c\ufffdd", None]
+
+
 def test_titles_of_other_scripts_are_equal_to_themselves_only(spark):
     a, b = one(spark, "代謝の侵食", N.norm_title), one(spark, "水と記憶", N.norm_title)
     assert a and b and a != b and a == one(spark, "代謝の侵食。", N.norm_title)
