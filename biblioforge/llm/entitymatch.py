@@ -63,6 +63,7 @@ RIDGE = 0.05
 _WORD = re.compile(r"[^\W_]+")
 _PART = re.compile(r"(?::\s*([ivx]+)\.\s*\w+|\bpart\s+([ivx]+|\d+)|\(([ivx]+|\d+)\)|(?<=[\w,:;.])\s([ivx]+|\d{1,2}))\s*[.…]*\s*$")
 _TAIL = re.compile(r"(?:\s*\([^()]*[^\w\s()'’.,-][^()]*\)|\s+[^\w\s()]+)\s*$")  # signs at the end, or a bracket that holds some
+_LOST = re.compile(r"\ufffd|(?<=\w)\?(?=\w)")  # characters lost for good; a letter in their place keeps a word whole and near its like
 _TAG = re.compile(r"<[^<>]{1,20}>")
 _ROMAN = {r: i for i, r in enumerate(("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"), 1)}
 _HAN = re.compile("[぀-ヿ㐀-鿿가-힣]")
@@ -144,8 +145,9 @@ def _read(df: DataFrame, title: str, authors: str, year: str, page: str, *others
             words, tf, part, keys = [], [], [], []
             for t, n, a in zip(raw, titles, au):
                 if t and not (t.isascii() and "+" not in t and "?" not in t):
-                    fixed, bad, _ = mojibake.repair(t)
+                    fixed, bad, lossy = mojibake.repair(t)
                     n = fixed if bad else n
+                    n = _LOST.sub("q", n) if lossy else n
                 c, p = clean_title(n)
                 w = words_of(c)
                 words.append(list(w))
