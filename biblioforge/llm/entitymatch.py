@@ -53,6 +53,7 @@ KEEP_PAGE, KEEP_OTHER = 0.5, 0.75
 GAP = 0.25  # shares by which a runner-up can lie below the best and still change the confidence
 MIN_CONFIDENCE = 0.5
 SCALE = 1000  # of bounds as whole numbers
+SKETCHED = 100  # most terms of a query whose pairs are looked at by their sketch
 CHEAP = 500  # postings of a term over all pages that are probed in a page's shard although the bound doesn't ask for it
 
 FEATURES = ("one", "share", "gap", "title", "back", "miss", "mass", "page", "year", "near", "author", "stranger", "parts")
@@ -345,7 +346,8 @@ def _probes(queries: DataFrame, w: Weights, paged: bool, years: list[int]) -> Da
                 need = max(KEEP_PAGE if paged else KEEP_OTHER, (best or 0.0) - GAP) * own
                 found = [t for _, y in weights for t in y]
                 probes, rest = essential(found, need, cheap)
-                bounds = [bit(v) << 24 | min(math.ceil(m * SCALE), (1 << 24) - 1) for v, _, m in found]
+                # every probe carries them, so a very long title goes without this first look at its pairs
+                bounds = [bit(v) << 24 | min(math.ceil(m * SCALE), (1 << 24) - 1) for v, _, m in found] if len(found) <= SKETCHED else None
                 for k, v in zip(out, ([s for s, _ in probes], [u for _, u in probes], need, rest, own, bounds)):
                     out[k].append(v)
             cols = [pa.array(v, t) for v, t in zip(out.values(), (_STRINGS, pa.list_(pa.float32()), *[pa.float32()] * 3, pa.list_(pa.int32())))]
@@ -377,7 +379,7 @@ def _candidates(queries: DataFrame, resources: DataFrame, w: Weights) -> DataFra
         # a resource's sketch bounds what it can have of a query's terms before any pair is shuffled
         there = lambda b: F.getbit("sketch", F.shiftright(b, 24)).cast("int") * b.bitwiseAND(F.lit((1 << 24) - 1))
         reach = F.aggregate("bounds", F.lit(0).cast("bigint"), lambda a, b: a + there(b))
-        x = _postings(resources, w, paged).join(probes, "key").where(reach + 1 >= F.col("need") * SCALE).groupBy("q", "d").agg(F.sum(F.col("w") * F.col("imp")).alias("s"), *[F.max(c).alias(c) for c in ("need", "rest", "own")])
+        x = _postings(resources, w, paged).join(probes, "key").where(F.col("bounds").isNull() | (reach + 1 >= F.col("need") * SCALE)).groupBy("q", "d").agg(F.sum(F.col("w") * F.col("imp")).alias("s"), *[F.max(c).alias(c) for c in ("need", "rest", "own")])
         return x.where(F.col("s") + F.col("rest") >= F.col("need") - 1e-3).select("q", "d", (F.col("s") / F.col("own")).cast("float").alias("low"), ((F.col("s") + F.col("rest")) / F.col("own")).cast("float").alias("high"))
 
     first = store(met(queries.where("page is not null").withColumn("best", F.lit(0.0)), True))

@@ -191,6 +191,15 @@ def test_entity_match(spark):
     got = entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg)).collect()
     assert {(r.id, r.br) for r in got} == {(1, "br/1"), (2, "br/1")} and all(0 <= r.confidence <= 1 for r in got)
     assert entitymatch.matched(entitymatch.read_refs(bib.limit(0)), entitymatch.read_resources(kg)).count() == 0
+    assert entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg.limit(0)), entitymatch.read_labelled(bib, kg.withColumn("doi", F.lit("10.1/x")).limit(0))).count() == 0
+
+
+def test_long_titles_and_lost_characters(spark):
+    long = " ".join(f"word{i}" for i in range(5_000))
+    bib = spark.createDataFrame([(1, "f", "r1", None, long, "Lee", "2001", "7"), (2, "f", "r2", None, "Fr?a inversi�n en Kocotibones", "Roe", "1999", "5")], BIB)
+    kg = spark.createDataFrame([("br/1", long.upper(), "2001", "Lee", "7"), ("br/2", "Fría inversión en Kocotibones", "1999", "Roe", "5"), ("br/3", "Other", "1999", "Roe", "6")], KG)
+    got = entitymatch.matched(entitymatch.read_refs(bib), entitymatch.read_resources(kg)).collect()
+    assert {(r.id, r.br) for r in got} == {(1, "br/1"), (2, "br/2")}
 
 
 WORDS = "deep lakes rivers and of growth wounds stems leaves erosion drought memory lipids toxins".split()
