@@ -33,7 +33,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,9 @@ _PART = re.compile(r"(?::\s*([ivx]+)\.\s*\w+|\bpart\s+([ivx]+|\d+)|\(([ivx]+|\d+
 _TAIL = re.compile(r"(?:\s*\([^()]*[^\w\s()'’.,-][^()]*\)|\s+[^\w\s()]+)\s*$")  # signs at the end, or a bracket that holds some
 _LOST = re.compile(r"\ufffd|(?<=\w)\?(?=\w)")  # characters lost for good; a letter in their place keeps a word whole and near its like
 _TAG = re.compile(r"<[^<>]{1,20}>")
+_YEAR = re.compile(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)")
+_PAGE_NUMBER = re.compile(r"[a-z]?\d+")
+KEPT = 20_000  # most terms whose place in a sketch is kept in a task
 _ROMAN = {r: i for i, r in enumerate(("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii"), 1)}
 _HAN = re.compile("[぀-ヿ㐀-鿿가-힣]")
 
@@ -87,27 +90,31 @@ def clean_title(s: str | None) -> tuple[str, int]:
         n, at = _ROMAN.get(p) or (int(p) if p.isdigit() else 0), m.start() + max(0, len(s) - 40)
         if n and at > 8:
             part, s = n, s[:at]
-    return " ".join(_WORD.findall(namelink.fold(s))), part
+    return " ".join(_WORD.findall(s if s.isascii() else namelink.fold(s))), part  # folding only turns one sign of ASCII into another
 
 
 def words_of(title: str) -> dict[str, int]:
     """Different words with their counts; scripts without blanks give pairs of characters."""
     out: list[str] = []
-    for w in title.split():
-        if len(w) > 2 and not w.isascii() and _HAN.search(w):
-            out += [w[i : i + 2] for i in range(len(w) - 1)]
-        elif len(w) > 1:
-            out.append(w)
-    return Counter(out) if len(set(out)) < len(out) else dict.fromkeys(out, 1)
+    if title.isascii() or not _HAN.search(title):
+        out = [w for w in title.split() if len(w) > 1]
+    else:
+        for w in title.split():
+            if len(w) > 2 and _HAN.search(w):
+                out += [w[i : i + 2] for i in range(len(w) - 1)]
+            elif len(w) > 1:
+                out.append(w)
+    once = dict.fromkeys(out, 1)
+    return once if len(once) == len(out) else Counter(out)
 
 
 def year_of(s: str | None) -> int | None:
-    m = re.search(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)", s or "")
+    m = _YEAR.search(s or "")
     return int(m[1]) if m else None
 
 
 def page_of(s: str | None) -> str | None:
-    m = re.search(r"[a-z]?\d+", (s or "").lower())
+    m = _PAGE_NUMBER.search((s or "").lower())
     return m[0].lstrip("e").lstrip("0") or None if m else None
 
 
@@ -115,15 +122,18 @@ _RECORD = "words array<string>, tf array<int>, part int, year int, page string,
 _STRINGS = pa.list_(pa.string())
 
 
+@lru_cache(KEPT)
 def bit(term: str) -> int:
     """A term's place in a record's sketch of 64 bits."""
     return zlib.crc32(term.encode()) & 63
 
 
 def _sketch(words: list[str], authors: list[str], year: int | None) -> int:
-    out = 0
-    for s in (*(f"t:{w}" for w in words), *(f"a:{a}" for a in authors), f"y:{year}"):
-        out |= 1 << bit(s)
+    out = 1 << bit(f"y:{year}")
+    for w in words:
+        out |= 1 << bit("t:" + w)
+    for a in authors:
+        out |= 1 << bit("a:" + a)
     return out - (1 << 64) if out >> 63 else out
 
 
@@ -136,7 +146,10 @@ def _read(df: DataFrame, title: str, authors: str, year: str, page: str, *others
         known: dict[str, str] = {}
         for b in batches:
             raw, au, ye, pg = (b.column(b.num_columns - 4 + i).to_pylist() for i in range(4))
-            titles = lookalike.normalise(b.column(b.num_columns - 4))[0].to_pylist()
+            titles = list(raw)
+            beyond = [i for i, t in enumerate(raw) if t and not t.isascii()]  # plain ASCII is in its one form
+            for i, n in zip(beyond, lookalike.normalise(pa.array([raw[i] for i in beyond], pa.string()))[0].to_pylist() if beyond else ()):
+                titles[i] = n
             if len(known) > 200_000:
                 known.clear()
             new = list({a for x in au for a in x or () if a and a not in known})
@@ -183,9 +196,13 @@ def read_resources(kg: DataFrame) -> DataFrame:
 
 
 def read_labelled(bib: DataFrame, kg: DataFrame, most: int = LABELLED) -> DataFrame:
-    """At most ``most`` references whose DOI a resource has, with that resource as ``truth``; chosen by a hash."""
+    """At most ``most`` references whose DOI a resource has, with that resource as ``truth``; chosen by a hash.
+
+    They are drawn once and stored, so the references are read once and only the first by hash of each part are sorted.
+    """
     doi = hotdedup.canonical_doi(F.col("doi"))
-    some = bib.where(F.col("doi").contains("10.") & F.col("article_title").rlike(r"\S")).orderBy(F.xxhash64("ref_row_id", F.lit(3))).limit(2 * most).withColumn("__doi", doi)
+    drawn = store(bib.where(F.col("doi").contains("10.") & F.col("article_title").rlike(r"\S")).orderBy(F.xxhash64("ref_row_id", F.lit(3))).limit(2 * most))
+    some = drawn.withColumn("__doi", doi)
     truth = kg.where("br is not null and doi is not null").select(F.lower(F.trim("doi")).alias("__doi"), "br").join(F.broadcast(some.select("__doi").distinct()), "__doi", "left_semi")
     got = store(some.join(F.broadcast(truth.groupBy("__doi").agg(F.min("br").alias("truth"))), "__doi").limit(most))  # at most 2 x most DOIs on either side
     return _refs(got).join(F.broadcast(got.select(F.col("ref_row_id").cast("bigint").alias("id"), "truth").distinct()), "id")
@@ -217,10 +234,10 @@ class Weights:
             own.setdefault(s, []).append((v, self.idf(int(n)) * float(f)))
         out = []
         for s in terms:
-            most = self.most if s[0] == "t" else WEIGHTS[s[0]]
             if (k := self.w.get(s)) is not None:
                 out.append((k[0], [(s, k[0], k[0] * k[1])]))
             elif s in own:
+                most = self.most if s[0] == "t" else WEIGHTS[s[0]]
                 found = [(v, u, u * most) for v, u in own[s]]
                 out.append((max(u for _, u, _ in found), found))
             else:
@@ -332,24 +349,33 @@ def _probes(queries: DataFrame, w: Weights, paged: bool, years: list[int]) -> Da
 
      ``queries`` has ``best``, the share that another resource has for sure.
     """
-    cheap = w.idf(min(w.n, CHEAP)) if paged else math.inf
+    cheap, of_title = w.idf(min(w.n, CHEAP)) if paged else math.inf, WEIGHTS["t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("s", "w", "need", "rest", "own", "bounds")}
             for best, *record in zip(*(b.column(i).to_pylist() for i in range(1, 9))):
                 x = _record(*record)
-                names = [*(f"t:{t}" for t in x["words"]), *(f"a:{t}" for t in x["authors"]), *[f"y:{x['year']}"] * (x["year"] is not None)]
+                names = [f"t:{t}" for t in x["words"]]
+                titled = len(names)
+                names += [f"a:{t}" for t in x["authors"]]
+                if x["year"] is not None:
+                    names.append(f"y:{x['year']}")
                 weights, tf = w.weights(names, x["rare"]), x["tf"]
                 n = sum(tf)
-                own = sum(u * (w.impact(tf[i], n) if i < len(tf) else 1.0) * WEIGHTS[s[0]] for i, (s, (u, _)) in enumerate(zip(names, weights)))  # the best of near words
+                one = w.impact(1, n)
+                parts = [u * (one if k == 1 else w.impact(k, n)) * of_title for k, (u, _) in zip(tf, weights)]  # the best of near words
+                own = sum(parts + [u * WEIGHTS[s[0]] for s, (u, _) in zip(names[titled:], weights[titled:])])
                 need = max(KEEP_PAGE if paged else KEEP_OTHER, (best or 0.0) - GAP) * own
                 found = [t for _, y in weights for t in y]
                 probes, rest = essential(found, need, cheap)
+                out["s"].append([s for s, _ in probes])
+                out["w"].append([u for _, u in probes])
+                out["need"].append(need)
+                out["rest"].append(rest)
+                out["own"].append(own)
                 # every probe carries them, so a very long title goes without this first look at its pairs
-                bounds = [bit(v) << 24 | min(math.ceil(m * SCALE), (1 << 24) - 1) for v, _, m in found] if len(found) <= SKETCHED else None
-                for k, v in zip(out, ([s for s, _ in probes], [u for _, u in probes], need, rest, own, bounds)):
-                    out[k].append(v)
+                out["bounds"].append([bit(v) << 24 | min(math.ceil(m * SCALE), (1 << 24) - 1) for v, _, m in found] if len(found) <= SKETCHED else None)
             cols = [pa.array(v, t) for v, t in zip(out.values(), (_STRINGS, pa.list_(pa.float32()), *[pa.float32()] * 3, pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(6), b.column(5), *cols], names=["q", "page", "year", *out])
 
@@ -391,6 +417,8 @@ def _candidates(queries: DataFrame, resources: DataFrame, w: Weights) -> DataFra
 def _soft(x: list[str], y: list[str], weight: dict[str, float]) -> tuple[float, float]:
     """(share of the weight of the words of ``x`` found in ``y``, near spellings in part; greatest weight that is missing)."""
     have, own = set(y), set(x)
+    if own <= have:
+        return float(any(weight[t] for t in x)), 0.0
     total = got = miss = 0.0
     free = None
     for t in x:
@@ -424,21 +452,22 @@ def measure(q: dict, d: dict, w: Weights) -> tuple[float, float, float, float, f
         near.setdefault(t, []).append((v[2:], w.idf(int(k)) * float(f)))
     known, rare = w.words, w.rare
     n, m = sum(q["tf"]), sum(d["tf"])
+    one, other = w.impact(1, n), w.impact(1, m)  # of words that occur once
     dt = dict(zip(d["words"], d["tf"]))
     weight: dict[str, float] = {}
     score = own = 0.0
     for t, f in zip(q["words"], q["tf"]):
         x = known.get(t)
         if x is not None:
-            if t in dt:
-                score += x * w.impact(dt[t], m)
+            if k := dt.get(t):
+                score += x * (other if k == 1 else w.impact(k, m))
         elif found := near.get(f"t:{t}"):
             x = max(y for _, y in found)
             score += max((y * w.impact(dt[v], m) for v, y in found if v in dt), default=0.0)
         else:
             x = rare
         weight[t] = x
-        own += x * w.impact(f, n)
+        own += x * (one if f == 1 else w.impact(f, n))
     score, own = score * WEIGHTS["t"], own * WEIGHTS["t"]
     for a in q["authors"]:
         x = WEIGHTS["a"] * (w.w[f"a:{a}"][0] if f"a:{a}" in w.w else max((y for _, y in near.get(f"a:{a}", ())), default=rare))
@@ -459,7 +488,7 @@ def measure(q: dict, d: dict, w: Weights) -> tuple[float, float, float, float, f
         return score, share, 0.0, 0.0, 1.0, 0.0, page, year, 0, False  # below the bound nothing else is asked
     author = 0
     if q["authors"] and d["authors"]:
-        author = 1 if any(x == y or namelink.edit(x, y, 1) <= 1 or len(x) > 6 and (x in y or y in x) for x in q["authors"] for y in d["authors"]) else -1
+        author = 1 if not set(q["authors"]).isdisjoint(d["authors"]) or any(namelink.edit(x, y, 1) <= 1 or len(x) > 6 and (x in y or y in x) for x in q["authors"] for y in d["authors"]) else -1
     for t in d["words"]:
         if t not in weight:
             weight[t] = known.get(t, rare)
@@ -486,7 +515,8 @@ def _measured(pairs: DataFrame, queries: DataFrame, resources: DataFrame, w: Wei
             for x in zip(*(b.column(i).to_pylist() for i in range(3, 16))):
                 q, d = _record(*x[:7]), _record(*x[7:])
                 rows.append((*measure(q, d, shared.value), (q["part"] > 0) != (d["part"] > 0)))
-            cols = [pa.array([r[i] for r in rows], pa.float32() if i < 6 else pa.int8() if i < 9 else pa.bool_()) for i in range(11)]
+            of = list(zip(*rows)) or [()] * 11
+            cols = [pa.array(of[i], pa.float32() if i < 6 else pa.int8() if i < 9 else pa.bool_()) for i in range(11)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], names=["q", "d", "br", *_MEASURES])
 
     return both.select("q", "d", "br", *order).mapInArrow(run, "q bigint, d bigint, br string, score float, share float, title float, back float, miss float, mass float, page tinyint, year tinyint, author tinyint, fits boolean, parts boolean")
@@ -499,7 +529,8 @@ def _ranked(measured: DataFrame) -> DataFrame:
     """
     rank = F.col("share") * F.when(F.col("fits"), 1.0).otherwise(0.5)
     by = Window.partitionBy("q").orderBy(F.desc("rank"), "d")
-    x = measured.withColumn("rank", rank).withColumn("nth", F.row_number().over(by)).withColumn("first", F.max("rank").over(Window.partitionBy("q"))).withColumn("second", F.max(F.when(F.col("nth") > 1, F.col("rank"))).over(Window.partitionBy("q")))
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = measured.withColumn("rank", rank).select("*", F.row_number().over(by).alias("nth"), F.first("rank").over(every).alias("first"), F.nth_value("rank", 2).over(every).alias("second"))
     other = F.when(F.col("nth") == 1, F.coalesce("second", F.lit(0.0))).otherwise(F.col("first"))
     return x.withColumn("gap", F.greatest(F.lit(-GAP), F.least(F.lit(GAP), F.col("rank") - other)))
 
@@ -558,7 +589,7 @@ def matched(refs: DataFrame, resources: DataFrame, labelled: DataFrame | None =
     z = reduce(lambda a, b: a + b, [F.lit(float(c)) * x for c, x in zip(coefficients, _features())])
     found = F.col("fits") & (F.col("rank") == F.col("first"))
     best = ranked.where(found).select("q", "br", "share", "gap", (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
-    mine = rows.select("id", "file", "cited", "sig").join(sigs, "sig").join(best, "q").drop("q", "sig")
+    mine = store(rows.select("id", "file", "cited", "sig").join(sigs, "sig").join(best, "q").drop("q", "sig"))  # read twice
     # mutual nearest within the citing file; rows of one citation that were delivered again stand together
     near = F.struct("confidence", "share", "cited")
     top = mine.groupBy("file", "br").agg(F.max(near).alias("top")).select("file", "br", F.col("top.cited").alias("cited"))

@@ -202,6 +202,30 @@ def test_long_titles_and_lost_characters(spark):
     assert {(r.id, r.br) for r in got} == {(1, "br/1"), (2, "br/2")}
 
 
+def test_labelled_sample_reads_the_references_once(spark):
+    rows = [(k, "f", f"r{k}", f"10.1/{k}", f"Title {k}", "Lee", "2001", str(k)) for k in range(200)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    bib = spark.createDataFrame(rows, BIB).mapInArrow(counted, BIB)
+    kg = spark.createDataFrame([(f"br/{k}", f"10.1/{k}") for k in range(0, 200, 2)], "br string, doi string")
+    got = entitymatch.read_labelled(bib, kg, 20).select("id", "truth").collect()
+    assert read.value == 200
+    first = {k for (k,) in spark.createDataFrame(rows, BIB).orderBy(F.xxhash64("ref_row_id", F.lit(3))).limit(40).select("ref_row_id").collect()}
+    assert len(got) == min(20, sum(k % 2 == 0 for k in first)) and all(r.id in first and r.truth == f"br/{r.id}" for r in got)
+
+
+def test_plain_titles_read_as_folded_ones_and_repeated_words_count():
+    for t in ("It`s a `Deep' lake", "Deep_lakes: and (rivers)", "A deep deep lake II", "Études of deep ﬁelds"):
+        c, _ = entitymatch.clean_title(t)
+        assert c == " ".join(entitymatch._WORD.findall(namelink.fold(c))) and sum(entitymatch.words_of(c).values()) == sum(len(w) > 1 for w in c.split())
+    assert entitymatch.words_of("deep deep lake") == {"deep": 2, "lake": 1} and entitymatch.words_of("深い湖 ab") == {"深い": 1, "い湖": 1, "ab": 1}
+
+
 WORDS = "deep lakes rivers and of growth wounds stems leaves erosion drought memory lipids toxins".split()
 
 
