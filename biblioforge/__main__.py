@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import report
 from .config import MatchConfig
-from .operators import evaluate, graph, resolve, scoring, stats
+from .operators import evaluate, graph, resolve, stats
 from .operators import strategies as S
 from .session import store
 from .sources import evaluation, files, sinks
@@ -60,7 +60,7 @@ def match(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.use_parser:
         won, left = resolve.cascade(refs, kg, cfg, fuzzy_titles=not a.exact_titles)
     else:
-        won = resolve.accepted(resolve.winners(scoring.score(S.all_candidates(S.prepare(refs, cfg), kg, cfg), cfg, not a.exact_titles), cfg), cfg)
+        won = resolve.accepted(resolve.best(S.prepare(refs, cfg), kg, cfg, not a.exact_titles), cfg)
         left = None
     won = store(won)
     mode = "append" if a.skip_existing else "overwrite"

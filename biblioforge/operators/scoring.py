@@ -9,21 +9,20 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions import fuzzy
-from ..functions import native as N
-from ..session import store
+from ..session import merged, store
 from .strategies import TITLES
 
 
 def points(cfg: MatchConfig = MatchConfig()) -> dict[str, Column]:
-    """Components but the title."""
+    """Components but the title, of the forms that references and candidates are stored with."""
     hit = lambda cond, n: F.when(cond, n).otherwise(0)
     r, c = (lambda x: F.col(f"r_{x}")), F.col
     return {
-        "c_doi": hit((r("doi") != "") & (F.lower(F.trim(r("doi"))) == F.lower(F.trim(c("doi")))), cfg.doi),
-        "c_author": hit((r("author") != "") & (N.norm_author(r("author")) == N.norm_author(c("author_name"))), cfg.author),
-        "c_year": hit(r("year") == F.substring(c("pub_date"), 1, 4).try_cast("int"), cfg.year_exact),
+        "c_doi": hit((r("doi") != "") & (r("doi_key") == c("doi_key")), cfg.doi),
+        "c_author": hit((r("author") != "") & (r("author_key") == c("author_key")), cfg.author),
+        "c_year": hit(r("year") == c("c_year"), cfg.year_exact),
         "c_volume": hit((r("volume") != "") & (r("volume") == c("volume_num")), cfg.volume),
-        "c_page": hit((r("page") != "") & (N.page_key(r("page")) == N.page_key(c("start_page"))), cfg.page),
+        "c_page": hit((r("page") != "") & (r("page_key") == c("page_key")), cfg.page),
     }
 
 
@@ -60,7 +59,7 @@ def score(cands: DataFrame, cfg: MatchConfig = MatchConfig(), fuzzy_titles: bool
         pairs = store(pairs.withColumn("sim", fuzzy.similarity_udf(F.col("a"), F.col("b"))))
         sims = []
         for t in TITLES:
-            out = out.join(pairs.select(F.col("a").alias(f"nt_{t}"), F.col("b").alias("nt_title"), F.col("sim").alias(f"sim_{t}")), [f"nt_{t}", "nt_title"], "left")
+            out = merged(out, pairs.select(F.col("a").alias(f"nt_{t}"), F.col("b").alias("nt_title"), F.col("sim").alias(f"sim_{t}")), [f"nt_{t}", "nt_title"], "left")
             sims.append(F.coalesce(F.col(f"sim_{t}"), F.lit(0)))
         out = out.withColumn("title_sim", F.coalesce(exact, F.when(need, F.greatest(*sims)), F.lit(0))).drop(*[f"sim_{t}" for t in TITLES])
     out = out.withColumn("c_title", title_points(F.col("title_sim"), cfg))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.native import percentage
+from ..session import merged
 
 FIELDS = ("author", "title", "doi", "year", "volume", "page")
 
@@ -31,7 +32,7 @@ def distribution(won: DataFrame) -> DataFrame:
 def rates(prepared: DataFrame, won: DataFrame, by: str = "source_file") -> DataFrame:
     """References, matches and match rate per file and in all; files without matches stay."""
     m = won.select("ref_id", F.lit(1).alias("hit"))
-    out = prepared.join(m, "ref_id", "left").rollup(by).agg(F.count(F.lit(1)).alias("n_references"), F.count("hit").alias("n_matches"))
+    out = merged(prepared, m, "ref_id", "left").rollup(by).agg(F.count(F.lit(1)).alias("n_references"), F.count("hit").alias("n_matches"))
     return out.withColumn("match_rate", F.round(percentage(F.col("n_matches"), F.col("n_references")), 6))
 
 

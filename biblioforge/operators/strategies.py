@@ -1,9 +1,11 @@
 """Candidate generation: six strategies, each one equi-join with a residual condition, in order of priority.
 
 Year windows are keys, not residuals: a reference stands in three rows, one per year allowed. References and
-candidates are prepared and stored once; strategies join their keys only and give pairs of row numbers, to which
-the columns come in the end. The strategy by author and title would meet a hot author's rows all with all, so
-these are keyed by four letters of a title's word as well, which a matching title must have.
+candidates are prepared and stored once, with what scores compare. Pairs can grow with the square of the data
+(many resources share year, volume and page), so they are never shuffled or stored: joins bring the columns that
+are asked for, and what reads the pairs sums them up where they arise. The strategy by author and title would meet
+a hot author's rows all with all, so these are keyed by four letters of a title's word as well, which a matching
+title must have.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import fuzzy
 from ..functions import native as N
-from ..session import store
+from ..session import merged, store
 
 HOT_AUTHOR = 10_000  # candidate rows from which an author's are keyed by letters of the title too
 TITLES = ("article", "volume", "journal")
+#: A total order on candidates: results don't depend on how rows arrive.
+ORDER = ["prio", "br", "doi", "title", "author_name", "volume_num", "start_page", "end_page", "pub_date"]
+KEYS = ["r_doi_key", "r_author_key", "r_page_key", "doi_key", "author_key", "page_key"]  # what scores compare
 CANDIDATE = ["br", "title", "pub_date", "doi", "author_name", "volume_num", "start_page", "end_page"]
 
 
@@ -64,13 +69,24 @@ def prepare(refs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     return x.withColumn("r_pattern", N.title_pattern(F.col("r_title"), cfg))
 
 
-def prepare_candidates(kg: DataFrame) -> DataFrame:
-    """Distinct candidates with their year and normalised title."""
-    return kg.select(*CANDIDATE).distinct().withColumns({"c_year": F.substring("pub_date", 1, 4).try_cast("int"), "nt_title": N.norm_title(F.col("title"))})
+def numbered(refs: DataFrame) -> DataFrame:
+    """Prepared references with a number ``rid`` and the forms that scores compare, stored."""
+    keys = {"r_doi_key": F.lower(F.trim("r_doi")), "r_author_key": N.norm_author(F.col("r_author")), "r_page_key": N.page_key(F.col("r_page"))}
+    return store(refs.withColumns(keys | {"rid": F.monotonically_increasing_id()}))
 
 
-def _pairs(refs: DataFrame, cands: DataFrame, strategy: Strategy, cfg: MatchConfig) -> DataFrame:
-    """(rid, cid, prio, query_type) of one strategy. The frames are prepared and carry rid and cid."""
+def ordered(kg: DataFrame) -> DataFrame:
+    """Distinct candidates, stored, with the forms that scores compare and a number ``cid`` that follows ORDER: of equal points the lesser wins."""
+    kg = kg.select(*CANDIDATE).distinct().sort(*[F.coalesce(c, F.lit("")) for c in ORDER[1:]])
+    keys = {"c_year": F.substring("pub_date", 1, 4).try_cast("int"), "nt_title": N.norm_title(F.col("title")), "doi_key": F.lower(F.trim("doi")), "author_key": N.norm_author(F.col("author_name")), "page_key": N.page_key(F.col("start_page"))}
+    at = F.monotonically_increasing_id()  # partition and row: rows of a partition follow each other
+    x = store(kg.withColumns(keys | {"__part": F.shiftright(at, 33), "__row": at.bitwiseAND((1 << 33) - 1)}))
+    n = x.agg(F.coalesce(F.max("__row") + 1, F.lit(1))).first()[0]
+    return x.withColumn("cid", F.col("__part") * n + F.col("__row")).drop("__part", "__row")
+
+
+def pairs(refs: DataFrame, cands: DataFrame, strategy: Strategy, cfg: MatchConfig) -> DataFrame:
+    """Pairs of one strategy: all columns of both, prio, query_type. ``refs`` is numbered, ``cands`` ordered."""
     prio = [s.name for s in STRATEGIES].index(strategy.name) + 1 if strategy in STRATEGIES else len(STRATEGIES) + 1
     r, c = refs, cands
     for x in strategy.requires:
@@ -79,15 +95,20 @@ def _pairs(refs: DataFrame, cands: DataFrame, strategy: Strategy, cfg: MatchConf
         near = F.filter(F.array(F.col("r_year") - 1, F.col("r_year"), F.col("r_year") + 1), lambda y: y.between(cfg.min_year, cfg.max_year))
         r = r.withColumn("year_key", F.explode(near))
     if not strategy.sees_author and cfg.author_edge == "reference":
-        c = c.withColumn("author_name", F.lit(None).cast("string"))
-    name = strategy.name
+        c = c.withColumns({x: F.lit(None).cast("string") for x in ("author_name", "author_key")})
     if strategy.keys == (("r_author", "author_name"),) and cfg.regex_mode == "quoted":
         out = _by_author(r, c)
     else:
-        out = r.join(c, reduce(lambda a, b: a & b, [r[a] == c[b] for a, b in strategy.keys]))
+        out = merged(r, c, reduce(lambda a, b: a & b, [r[a] == c[b] for a, b in strategy.keys]))
     if strategy.residual is not None:
         out = out.where(strategy.residual(cfg))
-    return out.select("rid", "cid", F.lit(prio).alias("prio"), F.lit(name).alias("query_type"))
+    return out.select(*refs.columns, *cands.columns, F.lit(prio).alias("prio"), F.lit(strategy.name).alias("query_type"))
+
+
+def all_pairs(refs: DataFrame, cands: DataFrame, cfg: MatchConfig, strategies: list[Strategy] | None = None) -> DataFrame:
+    """Union of the strategies' pairs; those by DOI only where DOIs block."""
+    use = [s for s in strategies or STRATEGIES if cfg.use_doi or "r_doi" not in s.requires]
+    return reduce(DataFrame.unionByName, [pairs(refs, cands, s, cfg) for s in use])
 
 
 def _by_author(r: DataFrame, c: DataFrame) -> DataFrame:
@@ -99,7 +120,7 @@ def _by_author(r: DataFrame, c: DataFrame) -> DataFrame:
     """
     hot = store(c.where("author_name is not null").groupBy("author_name").count().where(F.col("count") >= HOT_AUTHOR).select(F.col("author_name").alias("__hot")))
     if hot.isEmpty():
-        return r.join(c, r["r_author"] == c["author_name"])
+        return merged(r, c, r["r_author"] == c["author_name"])
     marked = lambda df, k: df.join(hot, df[k] == F.col("__hot"), "left")
     r, c = marked(r, "r_author"), marked(c, "author_name")
     bare = F.transform(F.split(F.lower("r_pattern"), r"\.\*"), lambda w: F.replace(w, F.lit("\\"), F.lit("")))
@@ -108,25 +129,14 @@ def _by_author(r: DataFrame, c: DataFrame) -> DataFrame:
     low, n = F.lower("title"), F.greatest(F.length("title") - 3, F.lit(0))
     grams = F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(low, i, F.lit(4))))
     c = c.withColumn("__letters", F.explode(F.when(F.col("__hot").isNotNull(), grams).otherwise(F.array(F.lit("")))))
-    return r.drop("__hot").join(c.drop("__hot"), (r["r_author"] == c["author_name"]) & (F.col("__gram") == F.col("__letters"))).drop("__gram", "__letters")
-
-
-def _numbered(refs: DataFrame, kg: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return store(refs.withColumn("rid", F.monotonically_increasing_id())), kg if "cid" in kg.columns else store(prepare_candidates(kg).withColumn("cid", F.monotonically_increasing_id()))
-
-
-def _wide(pairs: DataFrame, refs: DataFrame, cands: DataFrame) -> DataFrame:
-    return pairs.join(refs, "rid").join(cands, "cid").select(*[x for x in refs.columns if x != "rid"], *[x for x in cands.columns if x != "cid"], "prio", "query_type")
+    return merged(r.drop("__hot"), c.drop("__hot"), (r["r_author"] == c["author_name"]) & (F.col("__gram") == F.col("__letters"))).drop("__gram", "__letters")
 
 
 def generate(refs: DataFrame, kg: DataFrame, strategy: Strategy, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """(reference's columns, candidate's columns, prio, query_type) of one strategy, distinct. ``refs`` is prepared, ``kg`` is not."""
-    r, c = _numbered(refs, kg)
-    return _wide(_pairs(r, c, strategy, cfg), r, c)
+    return pairs(numbered(refs), ordered(kg), strategy, cfg).drop("rid", "cid")
 
 
 def all_candidates(refs: DataFrame, kg: DataFrame, cfg: MatchConfig = MatchConfig(), strategies: list[Strategy] | None = None) -> DataFrame:
     """Union of the strategies; those by DOI only where DOIs block."""
-    use = [s for s in strategies or STRATEGIES if cfg.use_doi or "r_doi" not in s.requires]
-    r, c = _numbered(refs, kg)
-    return _wide(store(reduce(DataFrame.unionByName, [_pairs(r, c, s, cfg) for s in use])), r, c)
+    return all_pairs(numbered(refs), ordered(kg), cfg, strategies).drop("rid", "cid")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import merged, table
 
 
 def kg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def kg(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     text = lambda x: x.cast("string")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("p_partkey") == k % 200).select(
+    return merged(merged(o, c, F.col("o_custkey") == F.col("c_custkey")), p, F.col("p_partkey") == k % 200).select(
         F.concat(F.lit("br/"), text(k)).alias("br"), k.alias("k"),
         F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" series "), text(k % 50)).alias("title"),
         F.substring(text(F.col("o_orderdate")), 1, 10).alias("pub_date"),

@@ -12,7 +12,7 @@ from ..functions import fuzzy
 from ..functions import native as N
 from ..operators import evaluate, graph, resolve, scoring, stats
 from ..operators import strategies as S
-from ..session import store, table
+from ..session import merged, store, table
 from ..sources import evaluation, files
 from . import fixtures as X
 
@@ -51,12 +51,12 @@ def _both(spark, d):
     return S.prepare(store(X.refs(g)), CFG), g
 
 
-def _scored(spark, d, fuzzy_titles=False):
-    return scoring.score(S.all_candidates(*_both(spark, d), CFG), CFG, fuzzy_titles)
+def _scored(spark, d):
+    return scoring.score(S.all_candidates(*_both(spark, d), CFG), CFG)
 
 
 def _won(spark, d, **kw):
-    return resolve.winners(_scored(spark, d, **kw), CFG)
+    return resolve.best(*_both(spark, d), CFG, **kw)
 
 
 # ---- scalar functions
@@ -225,7 +225,7 @@ def score_native(spark, d):
 
 @query(f"{X.BASE_SQL}, {X.SCORED_SQL}, b as (select *, row_number() over (partition by ref_id order by score desc, prio, br) as rn from scored where score > 0) select ref_id, br, query_type, score from b where rn = 1")
 def winner_best(spark, d):
-    return resolve.winners(_scored(spark, d), CFG, early_stop=False).select("ref_id", "br", "query_type", *_i("score"))
+    return _won(spark, d, early_stop=False).select("ref_id", "br", "query_type", *_i("score"))
 
 
 @query(f"{X.ALL_SQL} select ref_id, br, query_type, score from won")

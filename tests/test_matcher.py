@@ -200,3 +200,44 @@ def test_cascade(spark):
     assert (n.n_references, n.n_pass_1, n.n_pass_2, n.n_attempts, n.n_successes, n.n_unmatched) == (4, 2, 1, 2, 1, 1)
     empty = resolve.cascade(refs.limit(0), kg, CFG)
     assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def crowd(spark, n=40):
+    """References and candidates that all share year, volume and page, with a few differences that points and ties turn on."""
+    titles = ["Deep water rocks", "Deep water rocks and sands", "Shallow lakes", "", "Deep WATER rocks."]
+    refs = spark.createDataFrame([(f"r{i}", "1999", "3", "7" if i % 3 else "07", ["Lee", "lee", "Ng", ""][i % 4], titles[i % 5], "", titles[(i + 2) % 5], f"10.1/{i}" if i % 6 == 0 else "", "") for i in range(n)], RAW)
+    kg = graph_of(spark, *[(f"br/{i:03}", titles[i * 3 % 5] or None, f"{1998 + i % 3}-01", f"10.1/{i}" if i % 2 else None, ["Lee", "Ng", None][i % 3], "3" if i % 7 else "4", "7", None) for i in range(n)])
+    return S.prepare(refs), kg
+
+
+@pytest.mark.parametrize(("cfg", "fuzzy_titles", "early_stop"), [(CFG, True, True), (MatchConfig(author_edge="reference"), False, True), (MatchConfig(threshold=12), True, False)])
+def test_best_is_the_winner_of_all_candidates(spark, cfg, fuzzy_titles, early_stop):
+    refs, kg = crowd(spark)
+    rows = lambda d: sorted((r.ref_id, r.br, r.query_type, r.score, r.title_sim) for r in d.collect())
+    want = rows(resolve.winners(scoring.score(S.all_candidates(refs, kg, cfg), cfg, fuzzy_titles), cfg, early_stop))
+    assert len(want) > 20 and rows(resolve.best(refs, kg, cfg, fuzzy_titles, early_stop)) == want
+
+
+def test_pairs_are_not_stored(spark, monkeypatch):
+    refs, kg = crowd(spark, 60)
+    seen = []
+
+    def store(df):
+        seen.append((out := keep(df)).count())
+        return out
+
+    keep = S.store
+    for module in (S, scoring, resolve):
+        monkeypatch.setattr(module, "store", store)
+    assert S.all_candidates(refs, kg, CFG).count() > 1000
+    assert resolve.best(refs, kg, CFG).count() == 50 and seen and max(seen) <= 60
+
+
+def test_no_side_of_the_pairs_goes_through_the_driver(spark):
+    refs, kg = crowd(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for df in (S.all_candidates(refs, kg, CFG), matching._refs(spark, "/root/testdata/sf0.001"), resolve.best(refs, kg, CFG)):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
