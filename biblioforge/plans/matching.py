@@ -261,8 +261,8 @@ def enriched_pass(spark, d):
 
     g = store(_kg(spark, d))
     refs = store(X.refs(g))
-    won = resolve.winners(scoring.score(S.all_candidates(S.prepare(refs, CFG), g, CFG), CFG), CFG)
-    return enrich.enrich(refs.join(resolve.accepted(won, CFG).select("ref_id"), "ref_id", "left_anti")).select("ref_id", "doi", "year", "first_author_lastname", "article_title")
+    won = resolve.best(S.prepare(refs, CFG), g, CFG)
+    return enrich.enrich(merged(refs, resolve.accepted(won, CFG).select("ref_id"), "ref_id", "left_anti")).select("ref_id", "doi", "year", "first_author_lastname", "article_title")
 
 
 @query(f"""{X.ALL_PASSES_SQL} select count(*) as n_references, (select count(*) from acc) as n_pass_1, (select count(*) from acc2) as n_pass_2, (select count(*) from acc3) as n_pass_3,
