@@ -364,8 +364,8 @@ def _sets(spark, d):
     kg = store(_kg(spark, d))
     refs = store(X.refs(kg))
     prep = store(S.prepare(refs, CFG))
-    g = prep.join(refs.select("ref_id", "k"), "ref_id").join(kg.select("k", F.col("doi").alias("own")), "k").select(F.col("source_file").alias("base"), "k", F.when(F.col("r_doi") == "", F.col("own")).otherwise(F.col("r_doi")).alias("doi"))
-    won = resolve.winners(scoring.score(S.all_candidates(prep, kg, CFG), CFG), CFG)
+    g = merged(merged(prep, refs.select("ref_id", "k"), "ref_id"), kg.select("k", F.col("doi").alias("own")), "k").select(F.col("source_file").alias("base"), "k", F.when(F.col("r_doi") == "", F.col("own")).otherwise(F.col("r_doi")).alias("doi"))
+    won = resolve.best(prep, kg, CFG)
     pred = resolve.accepted(won, CFG).select(F.col("source_file").alias("base"), F.lower("doi").alias("doi"), "score").dropDuplicates(["base", "doi"])
     return g.where("k % 7 <> 0"), g.where("k % 7 = 0"), pred
 
