@@ -468,7 +468,7 @@ def aggregated_files(spark, d):
     """Counters of all files' statistics, as they would be read from their texts."""
     prep, g = _both(spark, d)
     prep = store(prep)
-    won = resolve.accepted(resolve.winners(scoring.score(S.all_candidates(prep, g, CFG), CFG), CFG), CFG)
+    won = resolve.accepted(resolve.best(prep, g, CFG), CFG)
     r = stats.rates(prep, won).where("source_file is not null")
     line = lambda k, c: F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value"))
     texts = store(r.select("source_file", F.explode(F.array(line("Total references processed", "n_references"), line("Total matches found", "n_matches"))).alias("l")).select("source_file", "l.*"))
