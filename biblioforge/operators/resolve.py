@@ -1,4 +1,4 @@
-"""The winner of each reference, acceptance and the cascade of passes, by hash aggregates over pairs that are never stored."""
+"""The winner of each reference, acceptance and the cascade of passes, by hash aggregates where pairs arise."""
 
 from __future__ import annotations
 
